@@ -106,18 +106,18 @@ class Evaluation:
     flag_columns: list = field(default_factory=list)
     base_columns: list = field(default_factory=list)
 
-    def counts(self) -> DataFrame:
-        """(rule_name, severity, rows_checked, rows_failed, passed) — one aggregate."""
+    def counts(self, by: Sequence[str] = ()) -> DataFrame:
+        """(*by, rule_name, severity, rows_checked, rows_failed, passed) — one aggregate."""
         aggs = [F.count(F.lit(1)).alias("_total")]
         aggs += [F.sum(F.col(f).cast("long")).alias(f) for f in self.flag_columns]
-        one = self.flagged.agg(*aggs)
+        one = self.flagged.groupBy(*by).agg(*aggs)
         rows = F.array(*[
             F.struct(F.lit(r.name).alias("rule_name"), F.lit(r.severity).alias("severity"),
                      F.col("_total").cast("long").alias("rows_checked"),
                      F.coalesce(F.col(f), F.lit(0)).cast("long").alias("rows_failed"))
             for r, f in zip(self.rules, self.flag_columns)
         ])
-        return one.select(F.inline(rows)).withColumn("passed", F.col("rows_failed") == 0)
+        return one.select(*by, F.inline(rows)).withColumn("passed", F.col("rows_failed") == 0)
 
     def failed_rules(self) -> Column:
         names = [F.when(F.col(f), F.lit(r.name)) for r, f in zip(self.rules, self.flag_columns)

@@ -106,6 +106,22 @@ transfers_failing_ids AS (
     SELECT DISTINCT id FROM transfers_flags
     WHERE f_not_null_from OR f_not_null_to OR f_positive_amount OR f_ri_from OR f_ri_to
 ),
+batch_events AS (
+    SELECT 'b-' || CAST(event_id AS VARCHAR) AS batch_id,
+           'run-' || CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y-%m-%d') AS dag_run_id,
+           (['contract', 'bronze', 'bronze', 'bronze', 'silver', 'silver', 'silver', 'dq_gx', 'gold',
+             'reconcile', 'dq_checks'])[(CAST(json_extract_string(props, '$.k') AS INTEGER) % 11) + 1] AS layer,
+           (['source', 'accounts', 'ledger_entries', 'transfers', 'accounts', 'ledger_entries', 'transfers',
+             'silver', 'gold_aggregate', 'ledger_entries', 'sql_checks'])
+             [(CAST(json_extract_string(props, '$.k') AS INTEGER) % 11) + 1] AS source_table,
+           strftime(ts, '%Y-%m-%d') AS business_date,
+           CASE event_type WHEN 'purchase' THEN 'SUCCESS' WHEN 'view' THEN 'SUCCESS' WHEN 'signup' THEN 'SUCCESS'
+                WHEN 'click' THEN 'RUNNING' WHEN 'error' THEN 'FAILED' ELSE 'FAILED' END AS status,
+           ts AS started_at,
+           CAST(floor(value) AS BIGINT) AS rows_read,
+           CASE WHEN value >= 1 THEN CAST(floor(value) AS BIGINT) END AS rows_written
+    FROM events
+),
 silver_transfers AS (
     SELECT * EXCLUDE (f_not_null_from, f_not_null_to, f_positive_amount, f_ri_from, f_ri_to)
     FROM transfers_flags f

@@ -102,20 +102,20 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _customer_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # one-row aggregate; broadcast of a single row is bounded by construction
-    return table(spark, sf_dir, "customer", "c_custkey").agg(F.count(F.lit(1)).alias("_n_customers"))
+def _customer_count(spark: SparkSession, sf_dir: str) -> Column:
+    # scalar subquery over a one-row aggregate
+    return table(spark, sf_dir, "customer", "c_custkey").agg(F.count(F.lit(1))).scalar()
 
 
 def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
-    n = F.broadcast(_customer_count(spark, sf_dir))
-    return orders.crossJoin(n).select(
+    n = _customer_count(spark, sf_dir)
+    return orders.select(
         F.col("o_orderkey").alias("id"),
         F.concat(F.lit("k"), F.col("o_custkey").cast("string"), F.lit("-"),
                  F.date_format("o_orderdate", "yyyyMMdd")).alias("idempotency_key"),
         F.col("o_custkey").alias("from_account_id"),
-        F.pmod(F.col("o_custkey") + 1 + F.pmod(F.col("o_orderkey"), F.lit(7)), F.col("_n_customers")).alias("to_account_id"),
+        F.pmod(F.col("o_custkey") + 1 + F.pmod(F.col("o_orderkey"), F.lit(7)), n).alias("to_account_id"),
         money(F.col("o_totalprice")).alias("amount"),
         F.col("o_orderdate").alias("created_at"),
     )
@@ -224,3 +224,45 @@ def register_views(spark: SparkSession, sf_dir: str) -> None:
         "login_attempts": login_attempts, "refresh_tokens": refresh_tokens,
     }.items():
         fn(spark, sf_dir).createOrReplaceTempView(name)
+
+
+def transfer_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a customer transfer request, sent by the account's owner."""
+    t = transfers(spark, sf_dir)
+    return t.select(
+        F.col("id").alias("request_id"), "idempotency_key", "from_account_id", "to_account_id", "amount",
+        F.col("created_at").alias("requested_at"), F.col("from_account_id").alias("caller_user_id"),
+    )
+
+
+# The eleven batch slots, in order, for the derived run log.
+_SLOTS = [
+    ("contract", "source"), ("bronze", "accounts"), ("bronze", "ledger_entries"), ("bronze", "transfers"),
+    ("silver", "accounts"), ("silver", "ledger_entries"), ("silver", "transfers"), ("dq_gx", "silver"),
+    ("gold", "gold_aggregate"), ("reconcile", "ledger_entries"), ("dq_checks", "sql_checks"),
+]
+EVENT_BATCH_STATUS = {"purchase": "SUCCESS", "view": "SUCCESS", "signup": "SUCCESS", "click": "RUNNING",
+                      "error": "FAILED"}
+
+
+def batch_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch-control event log derived from ``events``.
+
+    One run per (user, day); the slot is chosen by the event's ``k`` property,
+    the status by its type; rows_written is missing on events with value < 1.
+    """
+    ev = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
+    slot_idx = F.pmod(F.get_json_object("props", "$.k").cast("int"), F.lit(len(_SLOTS)))
+    slots = F.array(*[F.struct(F.lit(l).alias("layer"), F.lit(t).alias("source_table")) for l, t in _SLOTS])
+    bd = F.date_format("ts", "yyyy-MM-dd")
+    return ev.select(
+        F.concat(F.lit("b-"), F.col("event_id").cast("string")).alias("batch_id"),
+        F.concat(F.lit("run-"), F.col("user_id").cast("string"), F.lit("-"), bd).alias("dag_run_id"),
+        F.element_at(slots, slot_idx + 1)["layer"].alias("layer"),
+        F.element_at(slots, slot_idx + 1)["source_table"].alias("source_table"),
+        bd.alias("business_date"),
+        _case(F.col("event_type"), EVENT_BATCH_STATUS, "FAILED").alias("status"),
+        F.col("ts").alias("started_at"),
+        F.floor("value").cast("long").alias("rows_read"),
+        F.when(F.col("value") >= 1, F.floor("value").cast("long")).alias("rows_written"),
+    )
