@@ -36,11 +36,23 @@ def expected_slots_column() -> Column:
     return F.array(*[F.struct(F.lit(l).alias("layer"), F.lit(t).alias("source_table")) for l, t in EXPECTED_SLOTS])
 
 
+def batch_states(events: DataFrame) -> DataFrame:
+    """Current state of every batch: its newest event (a terminal status wins a
+    timestamp tie with RUNNING), stamped with the batch's first event time."""
+    terminal = F.when(F.col("status") == "RUNNING", F.lit(0)).otherwise(F.lit(1))
+    last = F.max(F.struct(F.col("started_at").alias("t"), terminal.alias("k"), F.col("status").alias("s")))
+    return events.groupBy("batch_id", "dag_run_id", *SLOT).agg(
+        last.alias("_last"), F.min("started_at").alias("started_at")).select(
+        "batch_id", "dag_run_id", *SLOT, F.col("_last.s").alias("status"), "started_at")
+
+
 def latest_per_slot(events: DataFrame, statuses: Iterable[str] | None = HOLDING) -> DataFrame:
-    """Newest event per slot (ties broken by batch id), via a partial aggregate."""
-    ev = events if statuses is None else events.filter(F.col("status").isin(list(statuses)))
+    """Newest batch per slot among batches in ``statuses`` (ties broken by batch
+    id), via partial aggregates (a hot slot collapses map-side)."""
+    b = batch_states(events)
+    b = b if statuses is None else b.filter(F.col("status").isin(list(statuses)))
     packed = F.struct("started_at", "batch_id", "status", "dag_run_id")
-    return ev.groupBy(*SLOT).agg(F.max(packed).alias("_l")).select(
+    return b.groupBy(*SLOT).agg(F.max(packed).alias("_l")).select(
         *SLOT, F.col("_l.status").alias("latest_status"), F.col("_l.dag_run_id").alias("latest_run"),
         F.col("_l.started_at").alias("latest_started_at"))
 
