@@ -32,55 +32,96 @@ LOGIN_SCHEMA = (
 )
 
 
+class LoginMachine:
+    """Limiter + lockout state of one username (times in epoch microseconds).
+
+    Shared by the batch operator and the streaming one, so both apply the
+    same rules; ``export``/``restore`` turn the state into plain arrays for a
+    streaming state store.
+    """
+
+    def __init__(self, window_us: int, max_requests: int, lock_after: int, lock_us: int):
+        self.window_us, self.max_requests, self.lock_after, self.lock_us = window_us, max_requests, lock_after, lock_us
+        self.windows: dict = {}
+        self.failures = 0
+        self.locked_until = None
+
+    def step(self, ip, now: int, success: bool):
+        """Returns (outcome, retry_after_seconds, failures, locked_until)."""
+        w = self.windows.get(ip)
+        if w is None or now >= w[0] + self.window_us:
+            w = (now, 1)
+        else:
+            w = (w[0], w[1] + 1)
+        self.windows[ip] = w
+        retry = 0
+        if w[1] > self.max_requests:
+            outcome = "RATE_LIMITED"
+            retry = max(0, (w[0] + self.window_us - now) // 1_000_000)
+        elif self.locked_until is not None and self.locked_until > now:
+            outcome = "LOCKED"
+        elif not success:
+            self.failures += 1
+            if self.failures >= self.lock_after:
+                self.locked_until = now + self.lock_us
+            outcome = "FAILED"
+        else:
+            self.windows.pop(ip, None)
+            self.failures, self.locked_until = 0, None
+            outcome = "SUCCESS"
+        return outcome, retry, self.failures, self.locked_until
+
+    def export(self) -> tuple:
+        ips = list(self.windows)
+        return (ips, [self.windows[i][0] for i in ips], [self.windows[i][1] for i in ips], self.failures,
+                self.locked_until)
+
+    def restore(self, state: tuple) -> None:
+        ips, starts, counts, failures, locked = state
+        self.windows = {ip: (int(s), int(c)) for ip, s, c in zip(ips, starts, counts)}
+        self.failures = int(failures)
+        self.locked_until = None if locked is None or pd.isna(locked) else int(locked)
+
+
+def apply_machine(machine: LoginMachine, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Run ``machine`` over rows already in (ts, attempt_id) order of one user."""
+    n = len(pdf)
+    ips = pdf["ip"].to_numpy(object)
+    t = pdf["_t"].to_numpy(np.int64)
+    ok = pdf["success"].to_numpy(object)
+    outcome = np.empty(n, dtype=object)
+    retry = np.zeros(n, dtype=np.int64)
+    fails = np.zeros(n, dtype=np.int32)
+    locked = np.full(n, np.nan)
+    for i in range(n):
+        o, r, f, lu = machine.step(ips[i], int(t[i]), bool(ok[i]))
+        outcome[i], retry[i], fails[i] = o, r, f
+        if lu is not None:
+            locked[i] = lu
+    out = pdf.drop(columns=["_t"]).copy()
+    out["outcome"] = outcome
+    out["retry_after_seconds"] = retry
+    out["failed_attempts"] = fails
+    out["locked_until"] = pd.to_datetime(pd.Series(locked), unit="us")
+    return out
+
+
 def _login_stream(window_us: int, max_requests: int, lock_after: int, lock_us: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user = None
-        windows: dict = {}
-        failures = 0
-        locked_until = None
+        user, machine = None, None
         for pdf in batches:
-            n = len(pdf)
             users = pdf["username"].to_numpy(object)
-            ips = pdf["ip"].to_numpy(object)
-            t = pdf["_t"].to_numpy(np.int64)
-            ok = pdf["success"].to_numpy(object)
-            outcome = np.empty(n, dtype=object)
-            retry = np.zeros(n, dtype=np.int64)
-            fails = np.zeros(n, dtype=np.int32)
-            locked = np.full(n, None, dtype=object)
-            for i in range(n):
-                if users[i] != user:
-                    user, windows, failures, locked_until = users[i], {}, 0, None
-                now = int(t[i])
-                key = ips[i]
-                w = windows.get(key)
-                if w is None or now >= w[0] + window_us:
-                    w = (now, 1)
-                else:
-                    w = (w[0], w[1] + 1)
-                windows[key] = w
-                if w[1] > max_requests:
-                    outcome[i] = "RATE_LIMITED"
-                    retry[i] = max(0, (w[0] + window_us - now) // 1_000_000)
-                elif locked_until is not None and locked_until > now:
-                    outcome[i] = "LOCKED"
-                elif not bool(ok[i]):
-                    failures += 1
-                    if failures >= lock_after:
-                        locked_until = now + lock_us
-                    outcome[i] = "FAILED"
-                else:
-                    windows.pop(key, None)
-                    failures, locked_until = 0, None
-                    outcome[i] = "SUCCESS"
-                fails[i] = failures
-                locked[i] = locked_until
-            out = pdf.drop(columns=["_t"]).copy()
-            out["outcome"] = outcome
-            out["retry_after_seconds"] = retry
-            out["failed_attempts"] = fails
-            out["locked_until"] = pd.to_datetime(pd.Series(locked, dtype="float64"), unit="us")
-            yield out
+            # split the sorted batch into runs of one user; state carries across batches
+            starts = [0] + [i for i in range(1, len(pdf)) if users[i] != users[i - 1]] + [len(pdf)]
+            parts = []
+            for a, b in zip(starts[:-1], starts[1:]):
+                if a == b:
+                    continue
+                if users[a] != user:
+                    user, machine = users[a], LoginMachine(window_us, max_requests, lock_after, lock_us)
+                parts.append(apply_machine(machine, pdf.iloc[a:b]))
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
 
     return run
 
