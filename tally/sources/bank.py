@@ -109,7 +109,11 @@ def _customer_count(spark: SparkSession, sf_dir: str) -> Column:
 
 def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
-    n = _customer_count(spark, sf_dir)
+    return transfers_from_orders(orders, _customer_count(spark, sf_dir))
+
+
+def transfers_from_orders(orders: DataFrame, n: Column) -> DataFrame:
+    """Map order rows (batch or streaming) to transfers; ``n`` = number of customers."""
     return orders.select(
         F.col("o_orderkey").alias("id"),
         F.concat(F.lit("k"), F.col("o_custkey").cast("string"), F.lit("-"),

@@ -34,7 +34,8 @@ def ingest_files(spark: SparkSession, landing_dir: str, schema: T.StructType, ro
 
     def land(df: DataFrame, epoch_id: int) -> None:
         tagged = tag_bronze(df, f"stream-{table}-{epoch_id}")
-        tagged.write.mode("overwrite").partitionBy("business_date").parquet(f"{target}/_epoch={epoch_id}")
+        # rebalance: one file set per date, AQE splits a hot date and merges tiny ones
+        tagged.hint("rebalance", "business_date").write.mode("overwrite").partitionBy("business_date").parquet(f"{target}/_epoch={epoch_id}")
 
     return (src.writeStream.foreachBatch(land)
             .option("checkpointLocation", checkpoint or checkpoint_location(spark, f"ingest-{table}"))
