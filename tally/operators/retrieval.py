@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tally.functions.text import DOCUMENT_PREFIX, QUERY_PREFIX, is_blank, with_prefix, yen_amounts
-from tally.functions.vectors import cosine_distance, fake_embedding, has_dimensions
+from tally.functions.vectors import cosine_distance, dot_fixed, fake_embedding, has_dimensions, norm_fixed
 
 MAX_BROADCAST_QUERIES = 10_000
 DISTANCE_DIGITS = 9
@@ -59,21 +59,36 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str = "faq_id") -> Dat
     return keep.unionByName(incoming.select(*existing.columns))
 
 
-def _scored(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    q = F.broadcast(queries.select("query_id", F.col("query_embedding").alias("_qv")))
+def _scored(docs: DataFrame, queries: DataFrame, dim: int | None) -> DataFrame:
+    """(query_id, doc_id, distance) for every document and every query of a
+    broadcast-sized query slice.  With a known common dimension the norms are
+    computed once per side and the per-pair dot product is unrolled (codegen);
+    otherwise higher-order functions handle any length."""
     d = docs.filter(F.col("embedding").isNotNull()).select("doc_id", "embedding")
-    return d.join(q, how="cross").select(
-        "query_id", "doc_id", F.round(cosine_distance(F.col("embedding"), F.col("_qv")), DISTANCE_DIGITS).alias("distance"))
+    if dim is None:
+        q = F.broadcast(queries.select("query_id", F.col("query_embedding").alias("_qv")))
+        dist = cosine_distance(F.col("embedding"), F.col("_qv"))
+        return d.join(q, how="cross").select("query_id", "doc_id", F.round(dist, DISTANCE_DIGITS).alias("distance"))
+    d = d.filter(F.size("embedding") == dim).withColumn("_dn", norm_fixed(F.col("embedding"), dim))
+    q = F.broadcast(queries.select("query_id", F.col("query_embedding").alias("_qv"))
+                    .withColumn("_qn", norm_fixed(F.col("_qv"), dim)))
+    dist = F.lit(1.0) - dot_fixed(F.col("embedding"), F.col("_qv"), dim) / (F.col("_dn") * F.col("_qn"))
+    return d.join(q, how="cross").select("query_id", "doc_id", F.round(dist, DISTANCE_DIGITS).alias("distance"))
 
 
 def cosine_topk(docs: DataFrame, queries: DataFrame, k: int, max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
     """Nearest ``k`` documents per query (ties by doc_id), exact.
 
     ``docs``: (doc_id, embedding); ``queries``: (query_id, query_embedding).
+    The query side is sized first (one small aggregate): it is broadcast only
+    up to ``max_broadcast`` rows, larger sets are scored slice by slice.
     """
     if k <= 0:
         raise ValueError("limit must be greater than zero")
-    n = queries.count()
+    stats = queries.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("query_embedding")).alias("lo"),
+                        F.max(F.size("query_embedding")).alias("hi")).first()
+    n = stats["n"]
+    dim = stats["lo"] if stats["lo"] is not None and stats["lo"] == stats["hi"] and stats["lo"] > 0 else None
     if n <= max_broadcast:
         slices = [queries]
     else:
@@ -81,7 +96,8 @@ def cosine_topk(docs: DataFrame, queries: DataFrame, k: int, max_broadcast: int
         sliced = queries.withColumn("_slice", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
         slices = [sliced.filter(F.col("_slice") == i).drop("_slice") for i in range(parts)]
     w = Window.partitionBy("query_id").orderBy("distance", "doc_id")
-    ranked = [_scored(docs, s).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k) for s in slices]
+    ranked = [_scored(docs, s, dim).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+              for s in slices]
     return reduce(DataFrame.unionByName, ranked)
 
 
@@ -104,8 +120,11 @@ def retrieve(docs: DataFrame, queries: DataFrame, limit: int = 3, provider: Embe
         "query_id", provider.embed_query(F.col("query_text")).alias("query_embedding"),
         yen_amounts(F.col("query_text")).alias("_qa"))
     cand = cosine_topk(docs, q.select("query_id", "query_embedding"), overfetch(limit), max_broadcast)
-    meta = docs.select("doc_id", yen_amounts(F.col("question")).alias("_da"))
-    j = cand.join(meta, "doc_id").join(q.select("query_id", "_qa"), "query_id")
+    # Candidates are bounded (checked query count x over-fetch), so they are
+    # broadcast against the corpus; amounts are computed for candidate rows only.
+    j = (docs.select("doc_id", "question").join(F.broadcast(cand), "doc_id")
+         .withColumn("_da", yen_amounts(F.col("question"))).drop("question")
+         .join(F.broadcast(q.select("query_id", "_qa")), "query_id"))
     match = F.when(F.size("_qa") > 0, F.arrays_overlap("_qa", "_da").cast("int")).otherwise(F.lit(0))
     w = Window.partitionBy("query_id").orderBy(F.desc("_match"), "rank")
     return (j.withColumn("_match", F.coalesce(match, F.lit(0)))
