@@ -11,9 +11,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from typing import Iterator
+
+import pandas as pd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tally.functions.text import DOCUMENT_PREFIX, QUERY_PREFIX, is_blank, with_prefix, yen_amounts
 from tally.functions.vectors import cosine_distance, dot_fixed, fake_embedding, has_dimensions, norm_fixed
@@ -153,3 +157,46 @@ def label_centroids(vectors: DataFrame, id_col: str = "label", vec_col: str = "e
     vec = per_dim.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("_p"))
     v = F.transform(F.col("_p"), lambda s: s["m"])
     return vec.select(F.col(id_col).alias("query_id"), v.alias("query_embedding"))
+
+
+class ModelProvider:
+    """Provider backed by a real embedding model.
+
+    ``load`` returns a function ``texts -> vectors``; it is called once per
+    Python worker (iterator pandas UDF), never per row, and every vector is
+    checked for the declared length.  Model libraries are optional: nothing
+    is imported here.
+    """
+
+    def __init__(self, load, dimensions: int, document_prefix: str = DOCUMENT_PREFIX, query_prefix: str = QUERY_PREFIX):
+        if dimensions <= 0:
+            raise ValueError("dimensions must be greater than zero")
+        self.load, self.dimensions = load, dimensions
+        self.document_prefix, self.query_prefix = document_prefix, query_prefix
+        self._udf = self._make_udf()
+
+    def _make_udf(self):
+        load, dims = self.load, self.dimensions
+
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            model = load()
+            for texts in batches:
+                blank = texts.isna() | (texts.fillna("").str.strip() == "")
+                out = pd.Series([None] * len(texts), dtype=object)
+                idx = [i for i in range(len(texts)) if not blank.iloc[i]]
+                if idx:
+                    vecs = model([texts.iloc[i] for i in idx])
+                    for i, v in zip(idx, vecs):
+                        if len(v) != dims:
+                            raise ValueError(f"Expected embedding with {dims} dimensions, got {len(v)}")
+                        out.iloc[i] = [float(x) for x in v]
+                yield out
+
+        return embed
+
+    def embed_document(self, text: Column) -> Column:
+        return self._udf(with_prefix(text, self.document_prefix))
+
+    def embed_query(self, text: Column) -> Column:
+        return self._udf(with_prefix(text, self.query_prefix))

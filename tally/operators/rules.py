@@ -17,7 +17,7 @@ Semantics kept from the reference:
 """
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -37,10 +37,13 @@ class Expectation:
     ref_column: str | None = None
     frame_check: Callable[[DataFrame], DataFrame] | None = None
     severity: str = CRITICAL
+    allow_null: bool = False  # ref rules: a NULL key passes (optional foreign key)
 
     def with_severity(self, severity: str) -> "Expectation":
-        return Expectation(self.name, self.kind, self.predicate, self.column, self.ref, self.ref_column,
-                           self.frame_check, severity)
+        return replace(self, severity=severity)
+
+    def renamed(self, name: str) -> "Expectation":
+        return replace(self, name=name)
 
 
 def row_rule(name: str, failing: Column, severity: str = CRITICAL) -> Expectation:
@@ -91,9 +94,11 @@ def unique(column: str) -> Expectation:
     return Expectation(f"unique:{column}", "unique", column=column)
 
 
-def referential_integrity(column: str, ref: DataFrame, ref_column: str) -> Expectation:
+def referential_integrity(column: str, ref: DataFrame, ref_column: str, allow_null: bool = False) -> Expectation:
+    """Rows whose key has no match in ``ref``.  A NULL key fails unless
+    ``allow_null`` (for optional foreign keys)."""
     return Expectation(f"referential_integrity:{column}->{ref_column}", "ref", column=column, ref=ref,
-                       ref_column=ref_column)
+                       ref_column=ref_column, allow_null=allow_null)
 
 
 @dataclass
@@ -184,7 +189,10 @@ def evaluate(df: DataFrame, rules: Sequence[Expectation], id_column: str = "id")
         elif r.kind == "ref":
             key = f"_refkey_{i}"
             known = r.ref.select(F.col(r.ref_column).alias(key)).distinct()
-            out = out.join(known, out[r.column] == known[key], "left").withColumn(flag, F.col(key).isNull()).drop(key)
+            miss = F.col(key).isNull()
+            if r.allow_null:
+                miss = miss & F.col(r.column).isNotNull()
+            out = out.join(known, out[r.column] == known[key], "left").withColumn(flag, miss).drop(key)
         elif r.kind == "frame":
             key, hit = f"_frkey_{i}", f"_frhit_{i}"
             failing = (r.frame_check(out.select(*base, "_row_id")).select(F.col("_row_id").alias(key)).distinct()

@@ -145,3 +145,58 @@ SELECT CAST(l.n AS BIGINT) AS only_left, CAST(r.n AS BIGINT) AS only_right, l.n
 def posting_vs_source(spark, sf_dir):
     """Multiset comparison of a clean re-posting with the source ledger."""
     return audit.multiset_equal(ledger.post_transfers(bank.transfers(spark, sf_dir)), bank.ledger_entries(spark, sf_dir))
+
+
+@register("batch_status_counts", """
+SELECT layer, source_table, status, CAST(count(*) AS BIGINT) AS batches
+FROM batch_events GROUP BY layer, source_table, status
+""")
+def batch_status_counts(spark, sf_dir):
+    return (audit.batch_states(bank.batch_events(spark, sf_dir)).groupBy("layer", "source_table", "status")
+            .agg(F.count(F.lit(1)).cast("long").alias("batches")))
+
+
+@register("foreign_key_audit", """
+, tok AS (SELECT event_id AS id, user_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS replaced_by
+          FROM events)
+SELECT 'accounts.owner_user_id' AS relation, CAST(count(*) AS BIGINT) AS rows_checked,
+       CAST(count(*) FILTER (WHERE owner_user_id IS NOT NULL
+                             AND NOT EXISTS (SELECT 1 FROM users u WHERE u.id = a.owner_user_id)) AS BIGINT) AS orphans
+FROM accounts a
+UNION ALL
+SELECT 'ledger_entries.account_id', count(*),
+       count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM accounts a WHERE a.id = l.account_id)) FROM ledger_entries l
+UNION ALL
+SELECT 'transfers.from_account_id', count(*),
+       count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM accounts a WHERE a.id = t.from_account_id)) FROM transfers t
+UNION ALL
+SELECT 'transfers.to_account_id', count(*),
+       count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM accounts a WHERE a.id = t.to_account_id)) FROM transfers t
+UNION ALL
+SELECT 'refresh_tokens.user_id', count(*),
+       count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.id = k.user_id)) FROM tok k
+UNION ALL
+SELECT 'refresh_tokens.replaced_by', count(*),
+       count(*) FILTER (WHERE replaced_by IS NOT NULL
+                        AND NOT EXISTS (SELECT 1 FROM tok k2 WHERE k2.id = k.replaced_by)) FROM tok k
+""".replace("\n, tok AS", ", tok AS", 1))
+def foreign_key_audit(spark, sf_dir):
+    """Referential integrity of every foreign key (optional keys may be NULL)."""
+    from tally.operators import rules as R
+
+    acc, users = bank.accounts(spark, sf_dir), bank.users(spark, sf_dir)
+    tok = bank.refresh_tokens(spark, sf_dir)
+    checks = [
+        ("accounts.owner_user_id", acc, R.referential_integrity("owner_user_id", users, "id", allow_null=True)),
+        ("ledger_entries.account_id", bank.ledger_entries(spark, sf_dir), R.referential_integrity("account_id", acc, "id")),
+        ("transfers.from_account_id", bank.transfers(spark, sf_dir), R.referential_integrity("from_account_id", acc, "id")),
+        ("transfers.to_account_id", bank.transfers(spark, sf_dir), R.referential_integrity("to_account_id", acc, "id")),
+        ("refresh_tokens.user_id", tok, R.referential_integrity("user_id", users, "id")),
+        ("refresh_tokens.replaced_by", tok, R.referential_integrity("replaced_by", tok, "id", allow_null=True)),
+    ]
+    out = None
+    for name, df, rule in checks:
+        c = R.evaluate(df, [rule]).counts().select(F.lit(name).alias("relation"), "rows_checked",
+                                                   F.col("rows_failed").alias("orphans"))
+        out = c if out is None else out.unionByName(c)
+    return out
