@@ -14,15 +14,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], veto: str | None = None) -> DataFrame:
+    """Newest row per key.  With ``veto`` (a boolean column), keys having any
+    TRUE veto row are dropped entirely; the veto column is not returned."""
     keys = list(keys)
     order = list(order)
-    rest = [c for c in df.columns if c not in keys and c not in order]
+    cols_out = [c for c in df.columns if c != veto]
+    rest = [c for c in cols_out if c not in keys and c not in order]
     packed = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
                       *[F.col(c).alias(f"_r{i}") for i, c in enumerate(rest)])
-    agg = df.groupBy(*keys).agg(F.max(packed).alias("_w"))
+    aggs = [F.max(packed).alias("_w")]
+    if veto is not None:
+        aggs.append(F.bool_or(F.col(veto)).alias("_veto"))
+    agg = df.groupBy(*keys).agg(*aggs)
+    if veto is not None:
+        agg = agg.filter(~F.coalesce(F.col("_veto"), F.lit(False)))
     cols = []
-    for c in df.columns:
+    for c in cols_out:
         if c in keys:
             cols.append(F.col(c))
         elif c in order:

@@ -139,31 +139,30 @@ class Evaluation:
         return out
 
     def failing_ids(self) -> DataFrame:
-        """Distinct non-NULL ids having at least one critically failing row."""
-        return (self.flagged.filter(self._row_failed() & F.col(self.id_column).isNotNull())
-                .select(F.col(self.id_column).alias("_qid")).distinct())
-
-    def _null_id_failed(self) -> Column:
-        """Scalar: does any row with a NULL id fail?  (NULL ids form one group.)"""
-        return self.flagged.filter(self._row_failed() & F.col(self.id_column).isNull()).agg(
-            F.count(F.lit(1)) > 0).scalar()
+        """Distinct ids (NULL included) having at least one critically failing row."""
+        return self.flagged.filter(self._row_failed()).select(F.col(self.id_column).alias("_qid")).distinct()
 
     def quarantined(self) -> DataFrame:
         """Every row whose id has a failing row, with the rules that row failed."""
         ids = self.failing_ids()
-        key = F.col(self.id_column)
-        hit = self.flagged.join(ids, key == ids["_qid"], "left")
-        keep = F.col("_qid").isNotNull() | (key.isNull() & self._null_id_failed())
-        return hit.filter(keep).select(*self.base_columns, self.failed_rules().alias("failed_rules"))
+        hit = self.flagged.join(ids, self.flagged[self.id_column].eqNullSafe(ids["_qid"]), "left_semi")
+        return hit.select(*self.base_columns, self.failed_rules().alias("failed_rules"))
 
     def clean(self) -> DataFrame:
-        """Rows whose id never fails.  A plain equi-join on the id (NULL ids are
-        handled by one scalar), so a following aggregate on the id can reuse
-        the join's partitioning."""
+        """Rows whose id never fails (all of them, duplicates kept)."""
         ids = self.failing_ids()
-        key = F.col(self.id_column)
-        keep = self.flagged.join(ids, key == ids["_qid"], "left_anti")
-        return keep.filter(key.isNotNull() | ~self._null_id_failed()).select(*self.base_columns)
+        keep = self.flagged.join(ids, self.flagged[self.id_column].eqNullSafe(ids["_qid"]), "left_anti")
+        return keep.select(*self.base_columns)
+
+    def clean_latest(self, order: Sequence[str]) -> DataFrame:
+        """Newest row (by ``order``) of every id that never fails, in ONE grouped
+        aggregate: the id's failure flag and its newest row are combined
+        map-side, so a hot id costs no more than a cold one and no self-join is
+        needed.  NULL ids form one group, as in the reference."""
+        from tally.operators.dedup import latest_per_key
+
+        return latest_per_key(self.flagged.select(*self.base_columns, self._row_failed().alias("_failed")),
+                              [self.id_column], order, veto="_failed")
 
 
 def evaluate(df: DataFrame, rules: Sequence[Expectation], id_column: str = "id") -> Evaluation:

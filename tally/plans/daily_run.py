@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tally.operators import audit, checks, contract, gold, rules
-from tally.operators.dedup import latest_per_key
 from tally.plans import medallion as M
 from tally.sources import lake
 
@@ -129,7 +128,7 @@ def run_day(spark: SparkSession, sources: dict, root: str, business_date: str, r
             ev.flagged = ev.flagged.persist(StorageLevel.MEMORY_AND_DISK)
             try:
                 r.record_dq(batch_id, ev.counts(), "silver", t)
-                clean = latest_per_key(ev.clean(), ["id"], ["_ingested_at"])
+                clean = ev.clean_latest(["_ingested_at"])
                 oc, oq = Observation(f"c_{batch_id[:8]}"), Observation(f"q_{batch_id[:8]}")
                 lake.write_partition(clean.observe(oc, F.count(F.lit(1)).alias("n")), root, "silver", t, business_date)
                 lake.write_partition(ev.quarantined().observe(oq, F.count(F.lit(1)).alias("n")), root, "silver",

@@ -112,9 +112,10 @@ def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transfers_from_orders(orders, _customer_count(spark, sf_dir))
 
 
-def transfers_from_orders(orders: DataFrame, n: Column) -> DataFrame:
+def transfers_from_orders(orders: DataFrame, n: Column, keep=()) -> DataFrame:
     """Map order rows (batch or streaming) to transfers; ``n`` = number of customers."""
     return orders.select(
+        *keep,
         F.col("o_orderkey").alias("id"),
         F.concat(F.lit("k"), F.col("o_custkey").cast("string"), F.lit("-"),
                  F.date_format("o_orderdate", "yyyyMMdd")).alias("idempotency_key"),
@@ -126,8 +127,10 @@ def transfers_from_orders(orders: DataFrame, n: Column) -> DataFrame:
 
 
 def transfers_with_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority")
-    return transfers(spark, sf_dir).join(orders, F.col("id") == F.col("o_orderkey"))
+    """Transfers plus the order's settlement columns, from one scan of orders."""
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate",
+                   "o_orderstatus", "o_orderpriority")
+    return transfers_from_orders(orders, _customer_count(spark, sf_dir), keep=("o_orderstatus", "o_orderpriority"))
 
 
 def ledger_entries(spark: SparkSession, sf_dir: str) -> DataFrame:

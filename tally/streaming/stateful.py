@@ -20,6 +20,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tally.operators import aml, sessions
 
 
+def _set_timeout(state: GroupState, ms: int) -> None:
+    """Event-time timeout, never at or behind the current watermark."""
+    state.setTimeoutTimestamp(max(ms, state.getCurrentWatermarkMs() + 1))
+
+
 # ---------------------------------------------------------------- ST2: AML velocity + structuring
 
 AML_OUT = ("id long, from_account_id long, created_at timestamp_ntz, amount decimal(19,4), "
@@ -67,7 +72,7 @@ def aml_stream(transfers: DataFrame, velocity_count: int = aml.VELOCITY_COUNT, v
         sc = cum_q[upto] - cum_q[s_from]
         keep = all_t > all_t.max() - horizon
         state.update((all_t[keep].tolist(), all_q[keep].astype(int).tolist()))
-        state.setTimeoutTimestamp(int(all_t.max() // 1000 + horizon // 1000))
+        _set_timeout(state, int(all_t.max() // 1000 + horizon // 1000))
         yield pd.DataFrame({
             "id": new["id"], "from_account_id": new["from_account_id"], "created_at": new["created_at"],
             "amount": new["amount"], "velocity_count": vc, "structuring_count": sc,
@@ -109,7 +114,7 @@ def replay_stream(requests: DataFrame, retention: str = "24 hours", lateness: st
                 status = "CONFLICT"
             out.append((r.request_id, r.idempotency_key, status))
         state.update(first)
-        state.setTimeoutTimestamp(int(first[1] // 1000 + keep_ms))
+        _set_timeout(state, int(first[1] // 1000 + keep_ms))
         yield pd.DataFrame(out, columns=["request_id", "idempotency_key", "replay_status"])
 
     return src.groupBy("idempotency_key").applyInPandasWithState(
@@ -149,7 +154,7 @@ def login_stream(attempts: DataFrame, window_seconds: int = sessions.LIMIT_WINDO
         ips, starts, counts, failures, locked = m.export()
         state.update((ips, starts, counts, failures, locked))
         last = int(new["_t"].max())
-        state.setTimeoutTimestamp(int(max(last + window_seconds * 1_000_000, locked or 0, last + lock_us) // 1000))
+        _set_timeout(state, int(max(last + window_seconds * 1_000_000, locked or 0, last + lock_us) // 1000))
         yield out[_LOGIN_COLS]
 
     return src.groupBy("username").applyInPandasWithState(
