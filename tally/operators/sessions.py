@@ -139,7 +139,7 @@ def login_outcomes(attempts: DataFrame, window_seconds: int = LIMIT_WINDOW_SECON
     while locked are ignored; success resets; the counter is not reset when a
     lock expires, so the next failure locks again.
     """
-    n = partitions or attempts.sparkSession.sparkContext.defaultParallelism
+    n = partitions or int(attempts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     src = attempts.select(
         "attempt_id", "ip", "username", F.col("ts").cast("timestamp_ntz").alias("ts"), "success",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("_t"),
