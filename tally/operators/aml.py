@@ -7,10 +7,11 @@
                the current transfer need not qualify itself
 * flags        one record per (transfer, failed rule), customer senders only
 
-Look-back windows are evaluated per (account, time bucket of length W): each
-transfer is copied into its own bucket and the next one, so every look-back
-frame lies inside one partition and a single busy account is spread over its
-buckets instead of landing in one task.
+Look-back windows are evaluated per (account, time bucket): each transfer is
+copied into its own bucket and the next ``fanout`` ones (bucket = W / fanout),
+so every look-back frame lies inside one partition and a busy account is
+spread over its buckets instead of landing in one task; partitions are
+bounded by one account's traffic within one bucket.
 """
 from __future__ import annotations
 
@@ -44,34 +45,43 @@ def _ts_micros(col: str = "created_at"):
 
 
 def window_counts(transfers: DataFrame, window: str, qualifying=None, account: str = "from_account_id",
-                  ts: str = "created_at", out: str = "window_count") -> DataFrame:
+                  ts: str = "created_at", out: str = "window_count", fanout: int = 1) -> DataFrame:
     """For every transfer: how many (qualifying) transfers of the same account
-    fall in (t - window, t], peers with equal t included."""
+    fall in (t - window, t], peers with equal t included.
+
+    Time is cut into buckets of ``window / fanout``; every row is also copied
+    into the next ``fanout`` buckets, so each look-back frame lies inside one
+    (account, bucket) partition.  ``fanout`` trades replication for smaller
+    partitions when one account is very busy inside a single window.
+    """
+    if fanout < 1:
+        raise ValueError("fanout must be >= 1")
     w = _micros(window)
-    base = transfers.withColumn("_t", _ts_micros(ts)).withColumn("_b", F.floor(F.col("_t") / F.lit(w)))
-    q = (qualifying if qualifying is not None else F.lit(True))
-    own = base.withColumn("_own", F.lit(True)).withColumn("_q", q.cast("int"))
-    ctx = base.withColumn("_b", F.col("_b") + 1).withColumn("_own", F.lit(False)).withColumn("_q", q.cast("int"))
-    both = own.unionByName(ctx)
+    size = -(-w // fanout)
+    q = (qualifying if qualifying is not None else F.lit(True)).cast("int")
+    base = transfers.withColumn("_t", _ts_micros(ts)).withColumn("_q", q)
+    copies = base.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(fanout)))).withColumn(
+        "_b", F.floor(F.col("_t") / F.lit(size)) + F.col("_k"))
     frame = Window.partitionBy(account, "_b").orderBy("_t").rangeBetween(-(w - 1), 0)
-    counted = both.withColumn(out, F.sum("_q").over(frame).cast("long"))
-    return counted.filter("_own").drop("_t", "_b", "_own", "_q")
+    counted = copies.withColumn(out, F.sum("_q").over(frame).cast("long"))
+    return counted.filter(F.col("_k") == 0).drop("_t", "_b", "_k", "_q")
 
 
 def threshold_hits(transfers: DataFrame, threshold: str = THRESHOLD) -> DataFrame:
     return transfers.filter(F.col("amount") > F.lit(threshold).cast(MONEY))
 
 
-def velocity(transfers: DataFrame, count: int = VELOCITY_COUNT, window: str = VELOCITY_WINDOW) -> DataFrame:
-    return window_counts(transfers, window, out="velocity_count").withColumn(
+def velocity(transfers: DataFrame, count: int = VELOCITY_COUNT, window: str = VELOCITY_WINDOW,
+             fanout: int = 1) -> DataFrame:
+    return window_counts(transfers, window, out="velocity_count", fanout=fanout).withColumn(
         "velocity_flag", F.col("velocity_count") >= count)
 
 
 def structuring(transfers: DataFrame, count: int = STRUCTURING_COUNT, window: str = STRUCTURING_WINDOW,
-                minimum: str = STRUCTURING_MINIMUM, threshold: str = THRESHOLD) -> DataFrame:
+                minimum: str = STRUCTURING_MINIMUM, threshold: str = THRESHOLD, fanout: int = 1) -> DataFrame:
     qualifies = (F.col("amount") >= F.lit(minimum).cast(MONEY)) & (F.col("amount") <= F.lit(threshold).cast(MONEY))
     return window_counts(transfers, window, qualifying=F.coalesce(qualifies, F.lit(False)),
-                         out="structuring_count").withColumn("structuring_flag", F.col("structuring_count") >= count)
+                         out="structuring_count", fanout=fanout).withColumn("structuring_flag", F.col("structuring_count") >= count)
 
 
 def aml_flags(transfers: DataFrame, accounts: DataFrame, threshold: str = THRESHOLD,
@@ -87,7 +97,7 @@ def aml_flags(transfers: DataFrame, accounts: DataFrame, threshold: str = THRESH
         F.col("id").alias("_acc"), F.col("owner_user_id").alias("user_id"))
     t = transfers.join(senders, transfers.from_account_id == senders._acc).drop("_acc")
     t = velocity(t, velocity_count, velocity_window)
-    t = structuring(t, structuring_count, structuring_window, structuring_minimum, threshold).drop()
+    t = structuring(t, structuring_count, structuring_window, structuring_minimum, threshold)
     reasons = F.array_compact(F.array(
         F.when(F.col("amount") > F.lit(threshold).cast(MONEY), F.lit("THRESHOLD")),
         F.when(F.col("velocity_flag"), F.lit("VELOCITY")),

@@ -344,3 +344,52 @@ FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
 def duplicate_line_keys(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber")
     return duplicate_keys(li, ["l_orderkey", "l_linenumber"])
+
+
+# ---------------------------------------------------------------- deposits, account numbers, calendar
+
+CLEARING_ACCOUNT = bank.SYSTEM_ID_OFFSET  # supplier 0 acts as the clearing account
+
+
+@register("deposit_posting", f"""
+SELECT id * 2 AS id, id AS transaction_id, account_id, entry_type, amount, created_at FROM (
+    SELECT c_custkey AS id, {CLEARING_ACCOUNT} AS account_id, 'DEBIT' AS entry_type,
+           CAST(c_acctbal AS DECIMAL(19,4)) AS amount, TIMESTAMP '1994-12-31 00:00:00' AS created_at
+    FROM customer WHERE c_acctbal > 0)
+UNION ALL
+SELECT c_custkey * 2 + 1, c_custkey, c_custkey, 'CREDIT', CAST(c_acctbal AS DECIMAL(19,4)),
+       TIMESTAMP '1994-12-31 00:00:00'
+FROM customer WHERE c_acctbal > 0
+""")
+def deposit_posting(spark, sf_dir):
+    """Opening deposits: every customer with a positive balance is funded from the clearing account."""
+    acc = bank.accounts(spark, sf_dir).filter((F.col("account_type") == "CUSTOMER") & (F.col("balance") > 0))
+    deposits = acc.select("id", F.col("id").alias("to_account_id"), F.col("balance").alias("amount"), "created_at")
+    return ledger.post_deposits(deposits, CLEARING_ACCOUNT)
+
+
+@register("account_numbers_from_keys", """
+SELECT c_custkey AS id, 'ACC-' || upper(substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 8)) AS account_number
+FROM customer
+""")
+def account_numbers_from_keys(spark, sf_dir):
+    from tally.functions.text import account_number_from_key
+
+    c = table(spark, sf_dir, "customer", "c_custkey")
+    return c.select(F.col("c_custkey").alias("id"), account_number_from_key(F.col("c_custkey")).alias("account_number"))
+
+
+@register("business_calendar", """
+SELECT d AS business_date, isodow(CAST(d AS DATE)) <= 5 AS is_weekday,
+       strftime(CAST(d AS DATE) - CAST(CASE isodow(CAST(d AS DATE)) WHEN 1 THEN 3 WHEN 7 THEN 2 ELSE 1 END AS INTEGER),
+                '%Y-%m-%d') AS previous_weekday
+FROM (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders)
+""")
+def business_calendar(spark, sf_dir):
+    from tally.functions.dates import is_weekday, previous_weekday
+
+    d = table(spark, sf_dir, "orders", "o_orderdate").select(
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("business_date")).distinct()
+    day = F.col("business_date").cast("date")
+    return d.select("business_date", is_weekday(day).alias("is_weekday"),
+                    F.date_format(previous_weekday(day), "yyyy-MM-dd").alias("previous_weekday"))
