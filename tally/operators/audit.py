@@ -162,3 +162,14 @@ def multiset_equal(a: DataFrame, b: DataFrame) -> DataFrame:
 def insert_if_absent(target: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """Rows of ``incoming`` whose key is not in ``target`` (ON CONFLICT DO NOTHING)."""
     return incoming.join(target.select(key), key, "left_anti")
+
+
+def run_failures(dq_results: DataFrame, batches: DataFrame, run_id: str, layer: str | None = None,
+                 severity: str = "critical") -> DataFrame:
+    """Failed rules of one run: rule results joined to their batches on batch_id."""
+    b = batches.filter(F.col("dag_run_id") == run_id).select("batch_id", "dag_run_id",
+                                                            F.col("layer").alias("batch_layer")).distinct()
+    out = dq_results.join(b, "batch_id").filter((F.col("severity") == severity) & ~F.col("passed"))
+    if layer is not None:
+        out = out.filter(F.col("batch_layer") == layer)
+    return out

@@ -17,6 +17,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tally import __version__
 from tally.operators import audit, checks, contract, gold, rules
 from tally.plans import medallion as M
 from tally.sources import lake
@@ -50,9 +51,11 @@ class Run:
                                          "layer string, source_table string, business_date string, dag_run_id string")
         return audit.slot_decision(req, events).first()["decision"]
 
-    def record_dq(self, batch_id: str, counts: DataFrame, layer: str, table: str, details: str = "{}") -> list:
+    def record_dq(self, batch_id: str, counts: DataFrame, layer: str, table: str) -> list:
+        details = F.to_json(F.struct(F.lit("tally").alias("engine"), F.lit(__version__).alias("version"),
+                                     F.lit(self.run_id).alias("run")))
         rows = counts.withColumn("batch_id", F.lit(batch_id)).withColumn("layer", F.lit(layer)).withColumn(
-            "table_name", F.lit(table)).withColumn("details", F.lit(details)).withColumn(
+            "table_name", F.lit(table)).withColumn("details", details).withColumn(
             "business_date", F.lit(self.date)).select(*[c.split()[0] for c in DQ_SCHEMA.split(", ")])
         collected = rows.collect()  # one row per rule: bounded by the rule set
         lake.append(self.spark.createDataFrame(collected, DQ_SCHEMA), self.root, "audit", "dq_results")

@@ -109,6 +109,13 @@ def test_gate_stops_gold_when_rules_bypassed(spark, tmp_root):
     with pytest.raises(RuntimeError, match="gate failed"):
         daily_run.run_day(spark, src, tmp_root, D, "run-1")
     assert lake.read_table(spark, tmp_root, "gold", "reconciliation_summary") is None
+    dq = lake.read_events(spark, tmp_root, "audit", "dq_results")
+    ev = lake.read_events(spark, tmp_root, "audit", "batch_control")
+    failed = daily_run.audit.run_failures(dq, ev, "run-1", layer="dq_gx")
+    # the injected copy repeats an account number and carries a bad status
+    assert {r["rule_name"] for r in failed.collect()} == {"gx:expect_column_values_to_be_in_set:status",
+                                                          "gx:expect_column_values_to_be_unique:account_number"}
+    assert '"engine":"tally"' in dq.first()["details"]
 
 
 def test_sql_checks_find_bad_source_rows(spark):
