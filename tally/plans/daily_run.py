@@ -198,3 +198,29 @@ def run_day(spark: SparkSession, sources: dict, root: str, business_date: str, r
         return len(results), len(results)
     r.step("sql_checks", "dq_checks", "sql_checks", _checks)
     return r
+
+
+def main(argv=None) -> None:
+    """Run one business date of the bank tables derived from a test-data folder."""
+    import argparse
+
+    from tally.session import ensure_checkpoint_dir, local_session
+    from tally.sources import bank
+
+    ap = argparse.ArgumentParser(description=main.__doc__)
+    ap.add_argument("--sf-dir", required=True)
+    ap.add_argument("--date", required=True)
+    ap.add_argument("--run-id", required=True)
+    ap.add_argument("--root", help="lake root (default: <spark.checkpoint.dir>/lake)")
+    ap.add_argument("--fail-at", default=None)
+    a = ap.parse_args(argv)
+    spark = local_session()
+    root = a.root or f"{ensure_checkpoint_dir(spark).rstrip('/')}/lake"
+    sources = {"accounts": bank.accounts(spark, a.sf_dir), "ledger_entries": bank.ledger_entries(spark, a.sf_dir),
+               "transfers": bank.transfers(spark, a.sf_dir)}
+    run_day(spark, sources, root, a.date, a.run_id, fail_at=a.fail_at)
+    print(root)
+
+
+if __name__ == "__main__":
+    main()

@@ -132,3 +132,23 @@ def test_sql_checks_find_bad_source_rows(spark):
                    "sql:unbalanced_ledger_transactions": 1}
     with pytest.raises(C.ChecksFailed):
         C.raise_on_failures(C.run_checks(spark, checks, D))
+
+
+def test_daily_run_on_testdata_detects_quarantine_gap(spark, tmp_root):
+    """On the derived bank tables, entries of quarantined (overdrawn) accounts are
+    held back from Silver, so Gold no longer reconciles with the source: the run
+    stops at the reconcile step and records the difference."""
+    from tests.conftest import SF
+    from tally.sources import bank
+
+    src = {"accounts": bank.accounts(spark, SF), "ledger_entries": bank.ledger_entries(spark, SF),
+           "transfers": bank.transfers(spark, SF)}
+    led = src["ledger_entries"]
+    q = daily_run.M.silver_all(daily_run.M.bronze_tables(spark, SF))["ledger_entries"].quarantined
+    day = q.select("business_date").orderBy("business_date").first()[0]
+    with pytest.raises(RuntimeError, match="reconciliation mismatch"):
+        daily_run.run_day(spark, src, tmp_root, day, "run-td")
+    rec = lake.read_events(spark, tmp_root, "audit", "reconciliation_results").first()
+    assert not rec["within_tolerance"] and rec["diff_amount"] > 0
+    src_rows = led.filter(F.date_format("created_at", "yyyy-MM-dd") == day).count()
+    assert rec["source_row_count"] == src_rows and rec["gold_row_count"] < src_rows
