@@ -190,15 +190,18 @@ def token_family_audit(presentations: DataFrame, tokens: DataFrame) -> DataFrame
         F.coalesce(F.col("active_tokens_revoked"), F.lit(0)).cast("long").alias("active_tokens_revoked"))
 
 
-def previous_value(df: DataFrame, key: str, order: list, value: str, bucket: Column, out: str = "prev") -> DataFrame:
-    """``lag(value)`` per key in ``order``, computed per (key, bucket) with a
-    fix-up from the previous non-empty bucket, so one busy key is spread
-    over its buckets."""
+def previous_value(df: DataFrame, key: str, order: list, value: str, bucket: Column, out: str = "prev",
+                   descending: bool = False) -> DataFrame:
+    """``lag(value)`` per key in ``order`` (``lead`` when ``descending``),
+    computed per (key, bucket) with a fix-up from the neighbouring non-empty
+    bucket, so one busy key is spread over its buckets instead of one task."""
     b = df.withColumn("_bk", bucket)
-    w = Window.partitionBy(key, "_bk").orderBy(*order)
+    ords = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
+    w = Window.partitionBy(key, "_bk").orderBy(*ords)
     inner = b.withColumn("_lag", F.lag(value).over(w)).withColumn("_rn", F.row_number().over(w))
-    last = b.groupBy(key, "_bk").agg(F.max(F.struct(*[F.col(c) for c in order], F.col(value).alias("_v"))).alias("_last"))
-    wb = Window.partitionBy(key).orderBy("_bk")
+    edge = F.min if descending else F.max  # the row a neighbouring bucket hands over
+    last = b.groupBy(key, "_bk").agg(edge(F.struct(*[F.col(c) for c in order], F.col(value).alias("_v"))).alias("_last"))
+    wb = Window.partitionBy(key).orderBy(F.col("_bk").desc() if descending else F.col("_bk").asc())
     carry = last.select(key, "_bk", F.lag(F.col("_last._v")).over(wb).alias("_carry"))
     return (inner.join(carry, [key, "_bk"])
             .withColumn(out, F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_lag")))

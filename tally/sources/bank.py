@@ -172,33 +172,38 @@ def refresh_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event rotates its user's token: the new token replaces the previous one.
 
     The rotation chain is one family per user; ``revoked_at``/``replaced_by``
-    point at the next token of the same user.
+    point at the next token of the same user (a bucketed ``lead``, so one very
+    active user is not one task).
     """
-    from pyspark.sql import Window
+    from tally.operators.sessions import previous_value
 
     ev = table(spark, sf_dir, "events", "event_id", "ts", "user_id")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return ev.select(
+    day = F.date_trunc("day", F.col("ts"))
+    nxt = ev.withColumn("_next", F.struct(F.col("ts").alias("ts"), F.col("event_id").alias("id")))
+    nxt = previous_value(nxt, "user_id", ["ts", "event_id"], "_next", day, out="_n", descending=True)
+    return nxt.select(
         F.col("event_id").alias("id"),
         F.col("user_id"),
         F.sha2(F.concat(F.lit("tok-"), F.col("event_id").cast("string")), 256).alias("token_hash"),
         F.concat(F.lit("fam-"), F.col("user_id").cast("string")).alias("family_id"),
         (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("expires_at"),
         F.col("ts").alias("created_at"),
-        F.lead("ts").over(w).alias("revoked_at"),
-        F.lead("event_id").over(w).alias("replaced_by"),
+        F.col("_n.ts").alias("revoked_at"),
+        F.col("_n.id").alias("replaced_by"),
     )
 
 
 def token_presentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event presents its user's current token; error events replay an older one."""
-    from pyspark.sql import Window
+    from tally.operators.sessions import previous_value
 
     ev = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    presented = F.when(F.col("event_type") == "error", F.lag("event_id", 2).over(w)).otherwise(F.lag("event_id", 1).over(w))
+    day = F.date_trunc("day", F.col("ts"))
+    p1 = previous_value(ev, "user_id", ["ts", "event_id"], "event_id", day, out="_p1")
+    p2 = previous_value(p1, "user_id", ["ts", "event_id"], "_p1", day, out="_p2")
+    presented = F.when(F.col("event_type") == "error", F.col("_p2")).otherwise(F.col("_p1"))
     return (
-        ev.select(F.col("event_id").alias("presentation_id"), presented.alias("_tok"), F.col("ts"))
+        p2.select(F.col("event_id").alias("presentation_id"), presented.alias("_tok"), F.col("ts"))
         .filter(F.col("_tok").isNotNull())
         .select("presentation_id", F.concat(F.lit("tok-"), F.col("_tok").cast("string")).alias("raw_token"), "ts")
     )
