@@ -1,10 +1,14 @@
 """Parquet table reader for the driver-generated star schema.
 
 Columns are always selected explicitly so the scan's ReadSchema holds only what
-the caller uses.
+the caller uses.  The files are immutable inputs, so the resolved relation
+(schema discovered once) is reused per session instead of re-reading parquet
+footers for every query that touches the table.
 """
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -12,9 +16,15 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
+_RELATIONS: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table: {name}")
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    cache = _RELATIONS.setdefault(spark, {})
+    df = cache.get(path)
+    if df is None:
+        df = cache[path] = spark.read.parquet(path)
     return df.select(*columns) if columns else df
