@@ -393,3 +393,76 @@ def business_calendar(spark, sf_dir):
     day = F.col("business_date").cast("date")
     return d.select("business_date", is_weekday(day).alias("is_weekday"),
                     F.date_format(previous_weekday(day), "yyyy-MM-dd").alias("previous_weekday"))
+
+
+# ---------------------------------------------------------------- single rules: the failing rows
+
+def _failing(df, rule, id_col="id"):
+    from tally.operators import rules as R
+
+    ev = R.evaluate(df, [rule], id_column=id_col)
+    return ev.flagged.filter(F.col(ev.flag_columns[0])).select(*df.columns)
+
+
+@register("rule_not_null", """
+SELECT id, owner_user_id FROM accounts WHERE owner_user_id IS NULL
+""")
+def rule_not_null(spark, sf_dir):
+    from tally.operators import rules as R
+
+    acc = bank.accounts(spark, sf_dir).select("id", "owner_user_id")
+    return _failing(acc, R.not_null("owner_user_id"))
+
+
+@register("rule_positive", """
+SELECT id, balance FROM accounts WHERE NOT (balance > 0)
+""")
+def rule_positive(spark, sf_dir):
+    from tally.operators import rules as R
+
+    return _failing(bank.accounts(spark, sf_dir).select("id", "balance"), R.positive("balance"))
+
+
+@register("rule_non_negative_unless", """
+SELECT id, balance, account_type FROM accounts WHERE balance < 0 AND NOT (account_type = 'SYSTEM')
+""")
+def rule_non_negative_unless(spark, sf_dir):
+    from tally.operators import rules as R
+
+    acc = bank.accounts(spark, sf_dir).select("id", "balance", "account_type")
+    return _failing(acc, R.non_negative("balance", unless=F.col("account_type") == "SYSTEM"))
+
+
+@register("rule_isin", """
+SELECT id, o_orderpriority AS priority FROM (SELECT o_orderkey AS id, o_orderpriority FROM orders)
+WHERE NOT (o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM'))
+""")
+def rule_isin(spark, sf_dir):
+    from tally.operators import rules as R
+
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"))
+    return _failing(o, R.isin("priority", ["1-URGENT", "2-HIGH", "3-MEDIUM"]))
+
+
+@register("rule_unique", """
+SELECT id, idempotency_key FROM transfers
+WHERE idempotency_key IN (SELECT idempotency_key FROM transfers WHERE idempotency_key IS NOT NULL
+                          GROUP BY idempotency_key HAVING count(*) > 1)
+""")
+def rule_unique(spark, sf_dir):
+    from tally.operators import rules as R
+
+    return _failing(bank.transfers(spark, sf_dir).select("id", "idempotency_key"), R.unique("idempotency_key"))
+
+
+@register("rule_referential_integrity", """
+SELECT l.id, l.account_id FROM ledger_entries l
+WHERE NOT EXISTS (SELECT 1 FROM silver_accounts s WHERE s.id = l.account_id)
+""")
+def rule_referential_integrity(spark, sf_dir):
+    from tally.operators import rules as R
+
+    acc = _silver(spark, sf_dir)["accounts"].clean
+    le = bank.ledger_entries(spark, sf_dir).select("id", "account_id")
+    return _failing(le, R.referential_integrity("account_id", acc, "id"))
