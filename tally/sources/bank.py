@@ -247,12 +247,6 @@ def transfer_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# The eleven batch slots, in order, for the derived run log.
-_SLOTS = [
-    ("contract", "source"), ("bronze", "accounts"), ("bronze", "ledger_entries"), ("bronze", "transfers"),
-    ("silver", "accounts"), ("silver", "ledger_entries"), ("silver", "transfers"), ("dq_gx", "silver"),
-    ("gold", "gold_aggregate"), ("reconcile", "ledger_entries"), ("dq_checks", "sql_checks"),
-]
 EVENT_BATCH_STATUS = {"purchase": "SUCCESS", "view": "SUCCESS", "signup": "SUCCESS", "click": "RUNNING",
                       "error": "FAILED"}
 
@@ -263,6 +257,8 @@ def batch_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     One run per (user, day); the slot is chosen by the event's ``k`` property,
     the status by its type; rows_written is missing on events with value < 1.
     """
+    from tally.operators.audit import EXPECTED_SLOTS as _SLOTS
+
     ev = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
     slot_idx = F.pmod(F.get_json_object("props", "$.k").cast("int"), F.lit(len(_SLOTS)))
     slots = F.array(*[F.struct(F.lit(l).alias("layer"), F.lit(t).alias("source_table")) for l, t in _SLOTS])
