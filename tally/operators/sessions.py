@@ -102,7 +102,8 @@ def apply_machine(machine: LoginMachine, pdf: pd.DataFrame) -> pd.DataFrame:
     out["outcome"] = outcome
     out["retry_after_seconds"] = retry
     out["failed_attempts"] = fails
-    out["locked_until"] = pd.to_datetime(pd.Series(locked), unit="us")
+    # positional (the batch slice keeps its own index)
+    out["locked_until"] = pd.to_datetime(pd.Series(locked), unit="us").to_numpy()
     return out
 
 

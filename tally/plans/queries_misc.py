@@ -157,17 +157,64 @@ def kyc_status_transitions(spark, sf_dir):
                                         bucket_unit="week")
 
 
-@register("login_limiter")
+# The per-user state machine written as a recursive CTE (one step per attempt
+# in (ts, attempt_id) order).  Valid for this data, where every user logs in
+# from a single address; the Spark operator keeps one window per address.
+_LOGIN_SQL = """
+, a AS (SELECT event_id AS attempt_id, '10.0.' || CAST(user_id AS VARCHAR) AS ip,
+               'user' || CAST(user_id AS VARCHAR) AS username, ts, event_type <> 'error' AS success,
+               row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+        FROM events),
+RECURSIVE_PLACEHOLDER
+"""
+
+
+def _login_oracle(select: str) -> str:
+    step = """
+        SELECT a.username, a.rn, a.attempt_id, a.ip, a.ts,
+               nw.ws, nw.wc,
+               o.outcome,
+               CASE WHEN o.outcome = 'RATE_LIMITED'
+                    THEN greatest(0, (epoch_us(nw.ws) + 60000000 - epoch_us(a.ts)) // 1000000) ELSE 0 END AS retry,
+               CASE WHEN o.outcome = 'FAILED' THEN p.fails + 1 WHEN o.outcome = 'SUCCESS' THEN 0 ELSE p.fails END AS fails,
+               CASE WHEN o.outcome = 'FAILED' AND p.fails + 1 >= 3 THEN a.ts + INTERVAL 24 HOUR
+                    WHEN o.outcome = 'SUCCESS' THEN NULL ELSE p.lock_until END AS lock_until,
+               o.outcome <> 'SUCCESS' AS has_w
+        FROM prev p JOIN a ON a.username = p.username AND a.rn = p.rn + 1,
+        LATERAL (SELECT CASE WHEN NOT p.has_w OR a.ts >= p.ws + INTERVAL 60 SECOND THEN a.ts ELSE p.ws END AS ws,
+                        CASE WHEN NOT p.has_w OR a.ts >= p.ws + INTERVAL 60 SECOND THEN 1 ELSE p.wc + 1 END AS wc) nw,
+        LATERAL (SELECT CASE WHEN nw.wc > 5 THEN 'RATE_LIMITED'
+                             WHEN p.lock_until IS NOT NULL AND p.lock_until > a.ts THEN 'LOCKED'
+                             WHEN NOT a.success THEN 'FAILED' ELSE 'SUCCESS' END AS outcome) o
+    """
+    seed = """
+        SELECT a.username, a.rn, a.attempt_id, a.ip, a.ts, a.ts AS ws, 1 AS wc,
+               CASE WHEN a.success THEN 'SUCCESS' ELSE 'FAILED' END AS outcome, CAST(0 AS BIGINT) AS retry,
+               CASE WHEN a.success THEN 0 ELSE 1 END AS fails, CAST(NULL AS TIMESTAMP) AS lock_until,
+               NOT a.success AS has_w
+        FROM a WHERE a.rn = 1
+    """
+    rec = ("s AS (SELECT * FROM (WITH RECURSIVE prev(username, rn, attempt_id, ip, ts, ws, wc, outcome, retry, fails, "
+           "lock_until, has_w) AS (" + seed + " UNION ALL " + step.replace("FROM prev p", "FROM prev p") +
+           ") SELECT * FROM prev))")
+    return _LOGIN_SQL.replace("RECURSIVE_PLACEHOLDER", rec) + select
+
+
+@register("login_limiter", _login_oracle("""
+SELECT attempt_id, ip, username, outcome <> 'RATE_LIMITED' AS allowed, CAST(retry AS BIGINT) AS retry_after_seconds FROM s
+"""))
 def login_limiter(spark, sf_dir):
-    """Rows-only: sequential per-key limiter (brute-force tested in tests/)."""
+    """Sequential per-key limiter; oracle: recursive CTE, plus a brute-force test."""
     out = sessions.login_outcomes(bank.login_attempts(spark, sf_dir))
     return out.select("attempt_id", "ip", "username", (F.col("outcome") != "RATE_LIMITED").alias("allowed"),
                       "retry_after_seconds")
 
 
-@register("lockout")
+@register("lockout", _login_oracle("""
+SELECT attempt_id, username, outcome, CAST(fails AS INTEGER) AS failed_attempts, lock_until AS locked_until FROM s
+"""))
 def lockout(spark, sf_dir):
-    """Rows-only: lockout state after every attempt (brute-force tested in tests/)."""
+    """Lockout state after every attempt; oracle: recursive CTE, plus a brute-force test."""
     out = sessions.login_outcomes(bank.login_attempts(spark, sf_dir))
     return out.select("attempt_id", "username", "outcome", "failed_attempts", "locked_until")
 

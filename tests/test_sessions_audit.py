@@ -45,7 +45,7 @@ def test_lockout_golden(spark):
     assert out[7]["failed_attempts"] == 1 and out[7]["locked_until"] is None
 
 
-def _brute(rows, window=60, max_req=5, lock_after=3, lock_h=24):
+def _brute(rows, window=60, max_req=5, lock_after=3, lock_h=24, with_lock=False):
     out, state = {}, {}
     for aid, ip, user, ts, ok in sorted(rows, key=lambda r: (r[2], r[3], r[0])):
         st = state.setdefault(user, {"w": {}, "f": 0, "lock": None})
@@ -68,14 +68,17 @@ def _brute(rows, window=60, max_req=5, lock_after=3, lock_h=24):
             st["w"].pop(ip, None)
             st["f"], st["lock"] = 0, None
             out[aid] = "SUCCESS"
+        if with_lock:
+            out[aid] = (out[aid], st["f"], st["lock"])
     return out
 
 
 def test_login_outcomes_match_brute_force_on_events(spark):
     att = bank.login_attempts(spark, SF)
     rows = [tuple(r) for r in att.collect()]
-    want = _brute(rows)
-    got = {r["attempt_id"]: r["outcome"] for r in sessions.login_outcomes(att, partitions=3).collect()}
+    want = _brute(rows, with_lock=True)
+    got = {r["attempt_id"]: (r["outcome"], r["failed_attempts"], r["locked_until"])
+           for r in sessions.login_outcomes(att, partitions=3).collect()}
     assert got == want
 
 
