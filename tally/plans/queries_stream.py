@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tally.plans.queries_aml import CAT_STRUCT_COUNT, CAT_STRUCT_MIN, CAT_STRUCT_WINDOW, CAT_THRESHOLD, \
     CAT_VELOCITY_COUNT, CAT_VELOCITY_WINDOW, _US_30D, _US_365D
+from tally.plans.queries_misc import _login_oracle
 from tally.plans.registry import register
 from tally.session import ensure_checkpoint_dir
 from tally.sources import bank
@@ -69,9 +70,12 @@ def stream_replay(spark, sf_dir):
     return _drain(spark, stateful.replay_stream(t, retention="36500 days", lateness="1 day"), "replay")
 
 
-@register("stream_login")
+@register("stream_login", _login_oracle("""
+SELECT attempt_id, username, outcome, CAST(fails AS INTEGER) AS failed_attempts FROM s
+"""), prelude=True)
 def stream_login(spark, sf_dir):
-    """Rows-only: streaming limiter + lockout (batch agreement is tested)."""
+    """Streaming limiter + lockout; one micro-batch holds every attempt, so it
+    equals the batch state machine (same recursive-CTE oracle)."""
     ev = _stream_of(spark, sf_dir, "events")
     att = ev.select(F.col("event_id").alias("attempt_id"),
                     F.concat(F.lit("10.0."), F.col("user_id").cast("string")).alias("ip"),
@@ -81,12 +85,29 @@ def stream_login(spark, sf_dir):
         "attempt_id", "username", "outcome", "failed_attempts")
 
 
-@register("stream_velocity_windows")
+@register("stream_velocity_windows", f"""
+, w AS (SELECT from_account_id, created_at,
+               (SELECT max(created_at) FROM transfers) - INTERVAL 1 DAY AS wm FROM transfers),
+b AS (SELECT from_account_id, created_at, wm,
+             unnest(generate_series(0, 2)) AS k FROM w),
+win AS (SELECT from_account_id, wm,
+               epoch_ms(CAST(floor(epoch_ms(created_at) / 864000000.0) AS BIGINT) * 864000000 - k * 864000000)
+                 AS window_start
+        FROM b)
+SELECT window_start, window_start + INTERVAL 30 DAY AS window_end, from_account_id,
+       CAST(count(*) AS BIGINT) AS transfers
+FROM win
+WHERE window_start + INTERVAL 30 DAY <= wm
+GROUP BY window_start, from_account_id, wm
+HAVING count(*) >= {CAT_VELOCITY_COUNT}
+""".replace("\n, w AS", ", w AS", 1))
 def stream_velocity_windows(spark, sf_dir):
-    """Rows-only: sliding-window dashboard (windows closed by the watermark)."""
+    """Sliding-window dashboard: windows closed by the final watermark."""
     s = dashboard.velocity_windows(_stream_transfers(spark, sf_dir), "30 days", "10 days", CAT_VELOCITY_COUNT,
                                    lateness="1 day")
-    return _drain(spark, s, "dashboard")
+    out = _drain(spark, s, "dashboard")
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).withColumn(
+        "window_end", F.col("window_end").cast("timestamp_ntz"))
 
 
 @register("stream_bronze_ingest", """
