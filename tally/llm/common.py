@@ -75,3 +75,8 @@ def attach_groups(df: DataFrame, keys: list[str], partial: dict[str, Column], fi
     whole = parts.groupBy(*keys).agg(*[c.alias(n) for n, c in final.items()])
     spread = same(parts.select(*keys, "_salt"), whole, keys, "inner")
     return same(df, spread, [*keys, "_salt"], "inner")
+
+
+def bounded_batches(spark: SparkSession, megabytes: int = 8) -> None:
+    """Arrow batches end at so many bytes: a worker holds one batch, however long texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))

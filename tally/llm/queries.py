@@ -3,13 +3,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tally.llm.common import table
 from tally.llm.decontamination import contained_items
 from tally.llm.exact_dedup import exact_groups
+from tally.llm.packing import pack
 from tally.llm.sharding import interleaved_shards
+from tally.llm.token_file import token_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -66,3 +69,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = interleaved_shards(table(spark, sf_dir, "documents"), 24)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+@query("op1_best_fit_packing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens."""
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op6_token_file")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token file of all documents, written and read back."""
+    return token_file(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 50257)
