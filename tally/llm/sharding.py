@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tally.llm.common import same, written
 
-ROWS_PER_BUCKET = 4096  # aimed at; buckets grow beyond 2^MOST_BITS of them
+ROWS_PER_BUCKET = 256  # aimed at; buckets grow beyond 2^MOST_BITS of them
 MOST_BITS = 14
 
 
