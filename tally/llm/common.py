@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,15 +65,19 @@ def salted(df: DataFrame, *tie: str) -> DataFrame:
     return df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in tie]), F.lit(salts(df.sparkSession))).cast("int"))
 
 
-def attach_groups(df: DataFrame, keys: list[str], partial: dict[str, Column], final: dict[str, Column]) -> DataFrame:
+def attach_groups(df: DataFrame, keys: list[str], partial: dict[str, Column], final: dict[str, Column],
+                  enrich: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Joins group results back to the rows without gathering a hot group.
 
     ``df`` has ``_salt``.  Rows are first reduced per (key, salt); a key then has
     at most ``salts`` rows, whether it holds two rows or a third of the table, and
-    the result returns to the rows along (key, salt).
+    the result returns to the rows along (key, salt).  ``enrich`` may add columns to
+    the table of one row per key before that.
     """
     parts = df.groupBy(*keys, "_salt").agg(*[c.alias(n) for n, c in partial.items()])
     whole = parts.groupBy(*keys).agg(*[c.alias(n) for n, c in final.items()])
+    if enrich:
+        whole = enrich(whole)
     spread = same(parts.select(*keys, "_salt"), whole, keys, "inner")
     return same(df, spread, [*keys, "_salt"], "inner")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tally.llm.common import table
 from tally.llm.decontamination import contained_items
 from tally.llm.exact_dedup import exact_groups
+from tally.llm.ngram_join import near_classes
 from tally.llm.packing import pack
 from tally.llm.sharding import interleaved_shards
 from tally.llm.token_file import token_file
@@ -81,3 +82,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token file of all documents, written and read back."""
     return token_file(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 50257)
+
+
+@query("op10_ngram_jaccard_join")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-equal documents: set size and component of every document."""
+    return near_classes(table(spark, sf_dir, "documents"))
