@@ -11,6 +11,7 @@ from tally.llm import toxicity
 from tally.llm.common import table
 from tally.llm.decontamination import contained_items
 from tally.llm.exact_dedup import exact_groups
+from tally.llm.html_text import main_text
 from tally.llm.ngram_join import near_classes
 from tally.llm.packing import pack
 from tally.llm.sharding import interleaved_shards
@@ -103,3 +104,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op3_html_extraction")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return main_text(table(spark, sf_dir, "pages"))

@@ -97,7 +97,9 @@ def log_probability(counts: np.ndarray) -> np.ndarray:
     one /= one.sum()
     pairs = counts.sum(axis=0)
     two = (pairs + 20 * one) / (pairs.sum(axis=1, keepdims=True) + 20)
-    return np.log((counts + 20 * two) / (counts.sum(axis=2, keepdims=True) + 20))
+    out = np.log((counts + 20 * two) / (counts.sum(axis=2, keepdims=True) + 20))
+    out[:, 0, :] = np.log(two[0])  # what came before a break says nothing
+    return out
 
 
 def _readings(token: str, i: int) -> list[tuple[str, int, float]]:
