@@ -12,6 +12,8 @@ from tally.llm.common import table
 from tally.llm.decontamination import contained_items
 from tally.llm.exact_dedup import exact_groups
 from tally.llm.html_text import main_text
+from tally.llm.licenses import license_of_files
+from tally.llm.line_dedup import remove_repeated_lines
 from tally.llm.ngram_join import near_classes
 from tally.llm.packing import pack
 from tally.llm.sharding import interleaved_shards
@@ -110,3 +112,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op2_line_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the multi-line chunks that stand elsewhere before."""
+    return remove_repeated_lines(table(spark, sf_dir, "documents"))
+
+
+@query("op5_license_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license of every document, as a file ``source/lang/doc_id.txt``."""
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return license_of_files(table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path")))
