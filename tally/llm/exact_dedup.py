@@ -81,3 +81,18 @@ def _result(members: DataFrame, id_col: str) -> DataFrame:
     return members.select(F.col("id").alias(id_col), "keep_id", F.col("size").cast("long").alias("group_size"),
                           (F.col("rid") == F.col("keep_rid")).alias("kept"), F.col("sha").alias("text_sha256"),
                           F.col("n").alias("n_chars"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay, with all their columns."""
+    decided = exact_groups(docs, id_col, text_col).select(F.col(id_col).alias("id"), "kept", "text_sha256", "n_chars")
+    counts = decided.groupBy("id").agg(F.count("*").alias("rows"), F.max("kept").alias("any_kept"))
+    wanted = counts.filter("any_kept").select(F.col("id").alias(id_col), "rows")
+    alone = same(docs, wanted.filter("rows = 1").select(id_col), [id_col], "left_semi")
+    # rows that repeat an id: by text, one of each
+    several = same(docs, wanted.filter("rows > 1").select(id_col), [id_col], "left_semi")
+    text = F.col(text_col).cast("string")
+    several = several.withColumns({"_sha": F.sha2(normalised(text), 256), "_n": F.char_length(F.coalesce(text, F.lit(""))).cast("long")})
+    stay = decided.filter("kept").select(F.col("id").alias(id_col), F.col("text_sha256").alias("_sha"), F.col("n_chars").alias("_n"))
+    several = same(several, stay, [id_col, "_sha", "_n"], "left_semi").dropDuplicates([id_col, "_sha"])
+    return alone.unionByName(several.select(*docs.columns))

@@ -285,10 +285,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE,
     return model
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Adds ``score`` to every row; all columns stay."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
+    """Adds the score to every row as column ``name`` (which it replaces); all other columns stay."""
     bounded_batches(docs.sparkSession)
-    name = "score"
     others = [c for c in docs.columns if c != name]
     schema = T.StructType([*(docs.schema[c] for c in others), T.StructField(name, T.DoubleType())])
     at = others.index(text_col)
