@@ -34,7 +34,7 @@ STEPS = 80  # most prices set in one solution
 ETA = 4.0  # how fast the weight of a covered class falls
 PACE = 0.05  # share of a class that one configuration may cover between two prices
 NEAR = 0.02  # configurations so near the best one are used too
-COVER = 0.9  # share of every class that a solution covers; the rest keeps the mixture
+COVERS = (0.9, 0.5)  # share of every class that a solution covers; the rest keeps the mixture
 FEW = 20_000  # pieces that best fit places one by one
 RANKS = 40  # bits of a rank within its length class
 
@@ -54,8 +54,8 @@ def price(value: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.nda
     return best, take
 
 
-def fractional(lengths: np.ndarray, need: np.ndarray, capacity: int) -> dict[tuple[int, ...], float]:
-    """Configurations (classes, sorted) and how often to use each, which cover ``COVER`` of
+def fractional(lengths: np.ndarray, need: np.ndarray, capacity: int, cover: float) -> dict[tuple[int, ...], float]:
+    """Configurations (classes, sorted) and how often to use each, which cover this share of
     every class.
 
     Multiplicative weights: a class is worth its length times a factor that falls with
@@ -64,7 +64,7 @@ def fractional(lengths: np.ndarray, need: np.ndarray, capacity: int) -> dict[tup
     """
     covered, used = np.zeros(len(lengths)), {}
     for _ in range(STEPS):
-        open_ = np.flatnonzero(covered < COVER)
+        open_ = np.flatnonzero(covered < cover)
         if not len(open_):
             break
         value = lengths[open_] * np.exp(-ETA * (covered[open_] - covered[open_].min()))
@@ -80,7 +80,7 @@ def fractional(lengths: np.ndarray, need: np.ndarray, capacity: int) -> dict[tup
                     room -= int(lengths[open_[take[room]]])
             key = tuple(sorted(config))
             at, many = np.unique(key, return_counts=True)
-            step = float((need[at] * np.clip(COVER - covered[at], 0, PACE) / many).min())
+            step = float((need[at] * np.clip(cover - covered[at], 0, PACE) / many).min())
             if step > 0:
                 covered[at] += step * many / need[at]
                 used[key] = used.get(key, 0.0) + step
@@ -104,35 +104,45 @@ def best_fit(left: Counter, capacity: int) -> list[Counter]:
     return out
 
 
+def rounded(left: Counter, capacity: int, cover: float) -> tuple[list[tuple[Counter, int]], Counter]:
+    """A fractional solution rounded down: (configuration, copies), and the pieces it leaves."""
+    lengths = np.array(sorted(left), np.int64)
+    need = np.array([left[x] for x in lengths.tolist()], float)
+    used, out, owed = fractional(lengths, need, capacity, cover), [], 0.0
+    full = {key: x for key, x in used.items() if lengths[list(key)].sum() == capacity}
+    if 2 * sum(full.values()) > sum(used.values()):
+        used = full  # what the others hold is left to the next round
+    for key, x in sorted(used.items(), key=lambda kx: (-kx[1], kx[0])):
+        config = Counter(lengths[list(key)].tolist())
+        owed += x
+        copies = min(int(owed), *(left[k] // m for k, m in config.items()))
+        if copies > 0:
+            out.append((config, copies))
+            left = left - Counter({k: m * copies for k, m in config.items()})
+            owed -= copies
+        owed = min(owed, 1.0)
+    return out, left
+
+
 def configurations(histogram: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
     """(configuration, copies) that hold exactly the pieces of the histogram.
 
     A solution is rounded down and solved again for what it left, which keeps the mixture
-    of classes, until few pieces are left for best fit; each round leaves about a tenth.
+    of classes; each round leaves about a tenth.  Of the last few pieces, as much is left to
+    best fit as makes the fewest sequences.
     """
     left = Counter({k: v for k, v in histogram.items() if v > 0})
     out: list[tuple[Counter, int]] = []
-    while left:
-        lengths = np.array(sorted(left), np.int64)
-        need = np.array([left[x] for x in lengths.tolist()], float)
-        before, owed = sum(left.values()), 0.0
-        used = fractional(lengths, need, capacity)
-        full = {key: x for key, x in used.items() if lengths[list(key)].sum() == capacity}
-        if 2 * sum(full.values()) > sum(used.values()):
-            used = full  # what the others hold is left to the next round
-        for key, x in sorted(used.items(), key=lambda kx: (-kx[1], kx[0])):
-            config = Counter(lengths[list(key)].tolist())
-            owed += x
-            copies = min(int(owed), *(left[k] // m for k, m in config.items()))
-            if copies > 0:
-                out.append((config, copies))
-                left -= Counter({k: m * copies for k, m in config.items()})
-                owed -= copies
-            owed = min(owed, 1.0)
-        after = sum(left.values())
-        if after <= FEW or after > before // 2:
+    while (before := sum(left.values())) > FEW:
+        more, left = rounded(left, capacity, COVERS[0])
+        out += more
+        if 2 * sum(left.values()) > before:
             break
-    return out + [(c, 1) for c in best_fit(left, capacity)]
+    ends = []
+    for cover in COVERS:
+        more, rest = rounded(left, capacity, cover) if left else ([], left)
+        ends.append(more + [(c, 1) for c in best_fit(rest, capacity)])
+    return out + min(ends, key=lambda end: sum(n for _, n in end))
 
 
 @dataclass

@@ -98,12 +98,13 @@ def test_page_text():
 def test_site_templates_are_removed(spark):
     """A box that a site repeats goes, though nothing marks it; repeated prose of articles stays."""
     box = "<div><span>Our other offers of this week</span></div>"
-    rows = [(i, "http://a.example/%d" % i, PAGE % ("<p>common line</p><p>own %d and more words to read here</p>%s" % (i, box))) for i in range(8)]
+    own = "<p>common line</p><p>own %d and more words to read here</p>"
+    rows = [(i, "http://a.example/%d" % i, (PAGE % (own % i + box)).replace("Title", f"Title {i}").replace("two", f"two {i}")) for i in range(8)]
     rows += [(20 + i, "http://b.example/%d" % i, "<body><div>Site name</div><p>text %d</p></body>" % i) for i in range(5)]
     rows += [(40, None, None), (41, "x", ""), (42, "http://c.example", "<p>alone</p>"), (0, *rows[0][1:])]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")
     got = {x.page_id: x for x in main_text(pages).collect()}
-    assert got[0].text.endswith("two\n\ncommon line\n\nown 0 and more words to read here")
+    assert got[0].text.endswith("two 0\n\ncommon line\n\nown 0 and more words to read here")
     assert got[21].text == "text 1" and got[40].text == got[41].text == "" and got[42].text == "alone"
     assert all(x.n_chars == len(x.text) for x in got.values()) and main_text(pages).count() == len(rows)
     assert main_text(pages.limit(0)).count() == 0
