@@ -7,8 +7,10 @@ import glob
 import os
 import re
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 HEADER = re.compile(r"^--\s*(engine|expect|description):\s*(.*)$")
 CHECK_DIR = os.path.join(os.path.dirname(os.path.dirname(__file__)), "checks", "sql")
@@ -45,15 +47,26 @@ class ChecksFailed(RuntimeError):
     pass
 
 
-def run_checks(spark: SparkSession, checks: list, business_date: str, sample: int = 5) -> list:
-    """Run every check; returns dicts (name, engine, rows_failed, passed, sample)."""
+def check_rows(spark: SparkSession, check: SqlCheck, business_date: str) -> DataFrame:
+    """The failing rows of a check, all of them."""
+    args = {"business_date": business_date} if ":business_date" in check.sql else None
+    return spark.sql(check.sql, args=args)
+
+
+def failing_rows(spark: SparkSession, checks: list, business_date: str) -> DataFrame:
+    """(rule_name, failing_row as JSON) of all checks."""
+    rows = [check_rows(spark, c, business_date).select(F.lit(f"sql:{c.name}").alias("rule_name"),
+                                                       F.to_json(F.struct("*")).alias("failing_row")) for c in checks]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def run_checks(spark: SparkSession, checks: list, business_date: str) -> list:
+    """Run every check once; returns dicts (rule_name, engine, rows_failed, passed).
+    :func:`failing_rows` gives the rows themselves, as a table to write."""
     results = []
     for c in checks:
-        args = {"business_date": business_date} if ":business_date" in c.sql else None
-        df = spark.sql(c.sql, args=args)
-        n = df.count()
-        results.append({"rule_name": f"sql:{c.name}", "engine": c.engine, "rows_failed": n, "passed": n == 0,
-                        "sample": [r.asDict() for r in df.limit(sample).collect()] if n else []})
+        n = check_rows(spark, c, business_date).count()
+        results.append({"rule_name": f"sql:{c.name}", "engine": c.engine, "rows_failed": n, "passed": n == 0})
     return results
 
 

@@ -153,55 +153,62 @@ def running_balance(entries: DataFrame, accounts: DataFrame | None = None, bucke
     )
 
 
-def replay_classification(requests: DataFrame, key: str = "idempotency_key", order=("requested_at", "request_id")) -> DataFrame:
-    """First request per key EXECUTED; later ones REPLAY (same payload) or CONFLICT.
+SAVED = "accepted"
 
-    Skew-safe: the first request per key comes from a partial aggregate
-    (min over a struct), joined back instead of a window over the key.
+
+def replay_classification(requests: DataFrame, key: str = "idempotency_key", order=("requested_at", "request_id"),
+                          accepted: str | None = None) -> DataFrame:
+    """How each request fares under its idempotency key.
+
+    A key belongs to the first request that passes every other check (boolean column
+    ``accepted``; without one all pass), as only saved transfers are looked up: that one
+    is EXECUTED.  Requests before it, or under a key that nobody owns, are REJECTED.
+    Requests after it are REPLAY with the same payload and CONFLICT with another.
+
+    Skew-safe: the owner of a key comes from a partial aggregate (min over a struct),
+    joined back instead of a window over the key.
     """
     order_struct = F.struct(*[F.col(c) for c in order])
-    first = requests.groupBy(key).agg(
+    passing = requests.filter(F.col(accepted)) if accepted else requests
+    owner = passing.groupBy(key).agg(
         F.min(F.struct(order_struct.alias("o"), F.col("from_account_id").alias("f"), F.col("to_account_id").alias("t"),
-                       F.col("amount").alias("a"))).alias("_first")
+                       F.col("amount").alias("a"))).alias("_owner")
     )
-    j = requests.join(first, key, "left")
-    is_first = F.struct(*[F.col(c) for c in order]) == F.col("_first.o")
+    j = requests.join(owner, key, "left")
     same = (
-        (F.col("from_account_id") == F.col("_first.f")) & (F.col("to_account_id") == F.col("_first.t"))
-        & (F.col("amount") == F.col("_first.a"))
+        (F.col("from_account_id") == F.col("_owner.f")) & (F.col("to_account_id") == F.col("_owner.t"))
+        & (F.col("amount") == F.col("_owner.a"))
     )
     return j.withColumn(
-        "replay_status", F.when(is_first, "EXECUTED").when(same, "REPLAY").otherwise("CONFLICT")
-    ).drop("_first")
+        "replay_status",
+        F.when(F.col("_owner").isNull() | (order_struct < F.col("_owner.o")), "REJECTED")
+        .when(order_struct == F.col("_owner.o"), "EXECUTED").when(same, "REPLAY").otherwise("CONFLICT")
+    ).drop("_owner")
 
 
-def transfer_eligibility(requests: DataFrame, accounts: DataFrame, users: DataFrame,
-                         kyc_threshold: str = KYC_TRANSFER_THRESHOLD, customer_transfer: bool = True) -> DataFrame:
-    """Decide every transfer request against a balance snapshot; the first failing reason wins.
+def own_reason(requests: DataFrame, accounts: DataFrame, users: DataFrame,
+               kyc_threshold: str = KYC_TRANSFER_THRESHOLD, customer_transfer: bool = True) -> DataFrame:
+    """Adds ``own_reason``, why a request fails whatever its key (NULL: it passes), and ``accepted``.
 
-    Order: CONFLICT/REPLAY -> SELF_TRANSFER -> ACCOUNT_NOT_FOUND -> SYSTEM_FROM ->
-    SYSTEM_TO -> NOT_OWNER -> KYC_LIMIT -> FROM_NOT_ACTIVE -> BAD_AMOUNT ->
-    INSUFFICIENT_FUNDS -> TO_NOT_ACTIVE.  Missing ids and non-positive amounts
-    are rejected first (INVALID_REQUEST), as the request validation does.
+    The first reason in this order wins: INVALID_REQUEST (missing ids, amounts not above
+    zero) -> SELF_TRANSFER -> ACCOUNT_NOT_FOUND -> SYSTEM_FROM -> SYSTEM_TO -> NOT_OWNER ->
+    KYC_LIMIT -> FROM_NOT_ACTIVE -> INSUFFICIENT_FUNDS -> TO_NOT_ACTIVE.  Works on streams
+    (accounts and users are static sides).
     """
-    r = replay_classification(requests)
     fa = accounts.select(F.col("id").alias("_f_id"), F.col("status").alias("_f_status"),
                          F.col("account_type").alias("_f_type"), F.col("balance").alias("_f_balance"),
                          F.col("owner_user_id").alias("_f_owner"))
     ta = accounts.select(F.col("id").alias("_t_id"), F.col("status").alias("_t_status"),
                          F.col("account_type").alias("_t_type"))
     u = users.select(F.col("id").alias("_u_id"), F.col("kyc_status").alias("_kyc"))
-    j = (r.join(fa, r.from_account_id == fa._f_id, "left")
-         .join(ta, r.to_account_id == ta._t_id, "left")
-         .join(u, F.col("_f_owner") == u._u_id, "left"))
+    j = (requests.join(fa, F.col("from_account_id") == F.col("_f_id"), "left")
+         .join(ta, F.col("to_account_id") == F.col("_t_id"), "left")
+         .join(u, F.col("_f_owner") == F.col("_u_id"), "left"))
     amt = F.col("amount")
+    missing = (F.col("from_account_id").isNull() | F.col("to_account_id").isNull() | amt.isNull()
+               | F.col("idempotency_key").isNull())
     reason = (
-        F.when(F.col("from_account_id").isNull() | F.col("to_account_id").isNull() | amt.isNull()
-               | F.col(
-                   "idempotency_key").isNull(), "INVALID_REQUEST")
-        .when(~(amt > 0), "INVALID_REQUEST")
-        .when(F.col("replay_status") == "CONFLICT", "CONFLICT")
-        .when(F.col("replay_status") == "REPLAY", "REPLAY")
+        F.when(missing | ~(amt > 0), "INVALID_REQUEST")
         .when(F.col("from_account_id") == F.col("to_account_id"), "SELF_TRANSFER")
         .when(F.col("_f_id").isNull() | F.col("_t_id").isNull(), "ACCOUNT_NOT_FOUND")
     )
@@ -215,12 +222,24 @@ def transfer_eligibility(requests: DataFrame, accounts: DataFrame, users: DataFr
         )
     reason = (
         reason.when(F.col("_f_status") != "ACTIVE", "FROM_NOT_ACTIVE")
-        .when(~(amt > 0), "BAD_AMOUNT")
         .when((F.col("_f_type") == "CUSTOMER") & (amt > F.col("_f_balance")), "INSUFFICIENT_FUNDS")
         .when(F.col("_t_status") != "ACTIVE", "TO_NOT_ACTIVE")
     )
+    return j.select(*requests.columns, reason.alias("own_reason")).withColumn(SAVED, F.col("own_reason").isNull())
+
+
+def transfer_eligibility(requests: DataFrame, accounts: DataFrame, users: DataFrame,
+                         kyc_threshold: str = KYC_TRANSFER_THRESHOLD, customer_transfer: bool = True) -> DataFrame:
+    """Decide every transfer request against a balance snapshot.
+
+    An invalid request is rejected before its key is looked at; then a key that an
+    earlier request owns decides (REPLAY or CONFLICT); then the request's own reason.
+    """
+    decided = replay_classification(own_reason(requests, accounts, users, kyc_threshold, customer_transfer), accepted=SAVED)
+    by_key = F.col("replay_status").isin("REPLAY", "CONFLICT") & ~F.coalesce(F.col("own_reason") == "INVALID_REQUEST", F.lit(False))
+    reason = F.when(by_key, F.col("replay_status")).otherwise(F.col("own_reason"))
     decision = F.when(reason.isNull(), "EXECUTED").when(reason == "REPLAY", "REPLAY").otherwise("REJECTED")
-    return j.select("request_id", "idempotency_key", decision.alias("decision"), reason.alias("reason"))
+    return decided.select("request_id", "idempotency_key", decision.alias("decision"), reason.alias("reason"))
 
 
 def kyc_limit_audit(transfers: DataFrame, accounts: DataFrame, users: DataFrame,

@@ -74,7 +74,7 @@ class Run:
                 raise RuntimeError(f"simulated failure injected for {task_id}")
             read, written = fn(batch_id)
         except Exception as exc:  # noqa: BLE001 - recorded, then re-raised
-            self._event(batch_id, task_id, layer, table, "FAILED", error=str(exc)[:2000])
+            self._event(batch_id, task_id, layer, table, "FAILED", error=str(exc))
             raise
         self._event(batch_id, task_id, layer, table, "SUCCESS", read, written)
         return batch_id
@@ -85,11 +85,11 @@ def run_day(spark: SparkSession, sources: dict, root: str, business_date: str, r
     """``sources``: source DataFrames ``accounts`` (full snapshot), ``ledger_entries`` and
     ``transfers`` (rows of the day are selected by created_at)."""
     r = Run(spark, root, business_date, run_id, fail_at)
-    day = {
-        "accounts": sources["accounts"],
-        "ledger_entries": sources["ledger_entries"].filter(F.date_format("created_at", "yyyy-MM-dd") == business_date),
-        "transfers": sources["transfers"].filter(F.date_format("created_at", "yyyy-MM-dd") == business_date),
-    }
+    begin = dt.date.fromisoformat(business_date)
+    # a range on the bare column, so that it reaches the scan or the database
+    of_day = (F.col("created_at") >= F.lit(begin).cast("timestamp_ntz")) & (
+        F.col("created_at") < F.lit(begin + dt.timedelta(days=1)).cast("timestamp_ntz"))
+    day = {"accounts": sources["accounts"], **{t: sources[t].filter(of_day) for t in ("ledger_entries", "transfers")}}
 
     # contract gate
     if contract_doc is not None:
@@ -127,7 +127,7 @@ def run_day(spark: SparkSession, sources: dict, root: str, business_date: str, r
         def _silver(batch_id, t=t):
             bronze = lake.read_table(spark, root, "bronze", t, [business_date]).drop(lake.SNAPSHOT)
             ref = None if t == "accounts" else silver_accounts_current()
-            ev = rules.evaluate(bronze, M.build_expectations(t, ref), id_column="id")
+            ev = rules.evaluate(bronze, M.silver_rules(t, ref), id_column="id")
             ev.flagged = ev.flagged.persist(StorageLevel.MEMORY_AND_DISK)
             try:
                 r.record_dq(batch_id, ev.counts(), "silver", t)
@@ -147,7 +147,7 @@ def run_day(spark: SparkSession, sources: dict, root: str, business_date: str, r
         failed, checked = [], 0
         for t in ("accounts", "ledger_entries"):
             df = lake.read_table(spark, root, "silver", t, [business_date])
-            rows = r.record_dq(batch_id, rules.gate_counts(df, M.gate_expectations(t)), "silver", t)
+            rows = r.record_dq(batch_id, rules.gate_counts(df, M.gate_rules(t)), "silver", t)
             checked += rows[0]["rows_checked"] if rows else 0
             failed += [f"{t}.{x['rule_name']} ({x['rows_failed']} rows)" for x in rows if not x["passed"]]
         if failed:

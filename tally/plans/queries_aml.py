@@ -124,58 +124,53 @@ def kyc_limit_audit(spark, sf_dir):
     return ledger.kyc_limit_audit(bank.transfers(spark, sf_dir), bank.accounts(spark, sf_dir), bank.users(spark, sf_dir))
 
 
-_REPLAY_SQL = """
-, r AS (SELECT id AS request_id, idempotency_key, from_account_id, to_account_id, amount,
-               created_at AS requested_at, from_account_id AS caller_user_id FROM transfers),
-firsts AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY requested_at, request_id) = 1),
-rc AS (
-    SELECT r.*, CASE WHEN r.request_id = f.request_id THEN 'EXECUTED'
-                     WHEN r.from_account_id = f.from_account_id AND r.to_account_id = f.to_account_id
-                          AND r.amount = f.amount THEN 'REPLAY'
-                     ELSE 'CONFLICT' END AS replay_status
-    FROM r LEFT JOIN firsts f ON f.idempotency_key = r.idempotency_key)
+# From the transfer service: a request is checked on its own; the transfer that is saved first under a
+# key is the one that later requests are held against; a request that fails saves nothing.
+REQUESTS_SQL = """
+, request AS (SELECT id AS request_id, idempotency_key, from_account_id, to_account_id, amount,
+                     created_at AS requested_at, from_account_id AS caller_user_id FROM transfers),
+checked AS (
+    SELECT q.*, CASE
+        WHEN q.idempotency_key IS NULL OR coalesce(q.amount <= 0, TRUE) OR coalesce(q.from_account_id, q.to_account_id) IS NULL
+             OR q.from_account_id IS NULL OR q.to_account_id IS NULL THEN 'INVALID_REQUEST'
+        WHEN q.from_account_id = q.to_account_id THEN 'SELF_TRANSFER'
+        WHEN payer.id IS NULL OR payee.id IS NULL THEN 'ACCOUNT_NOT_FOUND'
+        WHEN payer.account_type = 'SYSTEM' THEN 'SYSTEM_FROM'
+        WHEN payee.account_type = 'SYSTEM' THEN 'SYSTEM_TO'
+        WHEN payer.owner_user_id IS DISTINCT FROM q.caller_user_id OR q.caller_user_id IS NULL THEN 'NOT_OWNER'
+        WHEN q.amount > 100000.00 AND owner.kyc_status = 'UNVERIFIED' THEN 'KYC_LIMIT'
+        WHEN payer.status <> 'ACTIVE' THEN 'FROM_NOT_ACTIVE'
+        WHEN payer.account_type = 'CUSTOMER' AND payer.balance < q.amount THEN 'INSUFFICIENT_FUNDS'
+        WHEN payee.status <> 'ACTIVE' THEN 'TO_NOT_ACTIVE' END AS own
+    FROM request q LEFT JOIN accounts payer ON payer.id = q.from_account_id
+                   LEFT JOIN accounts payee ON payee.id = q.to_account_id
+                   LEFT JOIN users owner ON owner.id = payer.owner_user_id),
+saved AS (SELECT *, row_number() OVER (PARTITION BY idempotency_key ORDER BY requested_at, request_id) AS nth
+          FROM checked WHERE own IS NULL),
+held AS (
+    SELECT c.*, CASE
+        WHEN s.request_id IS NULL OR (c.requested_at, c.request_id) < (s.requested_at, s.request_id) THEN 'REJECTED'
+        WHEN c.request_id = s.request_id THEN 'EXECUTED'
+        WHEN (c.from_account_id, c.to_account_id, c.amount) = (s.from_account_id, s.to_account_id, s.amount) THEN 'REPLAY'
+        ELSE 'CONFLICT' END AS replay_status
+    FROM checked c LEFT JOIN saved s ON s.idempotency_key = c.idempotency_key AND s.nth = 1)
 """
 
 
-@register("replay_classification", _REPLAY_SQL + """
-SELECT request_id, idempotency_key, replay_status FROM rc
+@register("replay_classification", REQUESTS_SQL + """
+SELECT request_id, idempotency_key, replay_status FROM held
 """)
 def replay_classification(spark, sf_dir):
-    return ledger.replay_classification(bank.transfer_requests(spark, sf_dir)).select(
-        "request_id", "idempotency_key", "replay_status")
-
-
-@register("transfer_eligibility", _REPLAY_SQL + """
-, j AS (
-    SELECT rc.*, fa.id AS f_id, fa.status AS f_status, fa.account_type AS f_type, fa.balance AS f_balance,
-           fa.owner_user_id AS f_owner, ta.id AS t_id, ta.status AS t_status, ta.account_type AS t_type,
-           u.kyc_status AS kyc
-    FROM rc LEFT JOIN accounts fa ON fa.id = rc.from_account_id
-            LEFT JOIN accounts ta ON ta.id = rc.to_account_id
-            LEFT JOIN users u ON u.id = fa.owner_user_id),
-d AS (
-    SELECT request_id, idempotency_key,
-           CASE WHEN from_account_id IS NULL OR to_account_id IS NULL OR amount IS NULL OR idempotency_key IS NULL
-                     THEN 'INVALID_REQUEST'
-                WHEN NOT (amount > 0) THEN 'INVALID_REQUEST'
-                WHEN replay_status = 'CONFLICT' THEN 'CONFLICT'
-                WHEN replay_status = 'REPLAY' THEN 'REPLAY'
-                WHEN from_account_id = to_account_id THEN 'SELF_TRANSFER'
-                WHEN f_id IS NULL OR t_id IS NULL THEN 'ACCOUNT_NOT_FOUND'
-                WHEN f_type = 'SYSTEM' THEN 'SYSTEM_FROM'
-                WHEN t_type = 'SYSTEM' THEN 'SYSTEM_TO'
-                WHEN f_owner IS NULL OR caller_user_id IS NULL OR f_owner <> caller_user_id THEN 'NOT_OWNER'
-                WHEN amount > 100000.00 AND kyc = 'UNVERIFIED' THEN 'KYC_LIMIT'
-                WHEN f_status <> 'ACTIVE' THEN 'FROM_NOT_ACTIVE'
-                WHEN NOT (amount > 0) THEN 'BAD_AMOUNT'
-                WHEN f_type = 'CUSTOMER' AND amount > f_balance THEN 'INSUFFICIENT_FUNDS'
-                WHEN t_status <> 'ACTIVE' THEN 'TO_NOT_ACTIVE'
-           END AS reason
-    FROM j)
-SELECT request_id, idempotency_key,
-       CASE WHEN reason IS NULL THEN 'EXECUTED' WHEN reason = 'REPLAY' THEN 'REPLAY' ELSE 'REJECTED' END AS decision,
-       reason
-FROM d
+    checked = ledger.own_reason(bank.transfer_requests(spark, sf_dir), bank.accounts(spark, sf_dir), bank.users(spark, sf_dir))
+    return ledger.replay_classification(checked, accepted=ledger.SAVED).select("request_id", "idempotency_key", "replay_status")
+
+
+@register("transfer_eligibility", REQUESTS_SQL + """
+, answered AS (SELECT *, CASE WHEN own IS DISTINCT FROM 'INVALID_REQUEST' AND replay_status IN ('REPLAY', 'CONFLICT')
+                              THEN replay_status ELSE own END AS reason FROM held)
+SELECT request_id, idempotency_key, reason,
+       CASE reason WHEN 'REPLAY' THEN 'REPLAY' ELSE if(reason IS NULL, 'EXECUTED', 'REJECTED') END AS decision
+FROM answered
 """)
 def transfer_eligibility(spark, sf_dir):
     return ledger.transfer_eligibility(bank.transfer_requests(spark, sf_dir), bank.accounts(spark, sf_dir),

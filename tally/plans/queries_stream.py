@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tally.plans.queries_aml import CAT_STRUCT_COUNT, CAT_STRUCT_MIN, CAT_STRUCT_WINDOW, CAT_THRESHOLD, \
-    CAT_VELOCITY_COUNT, CAT_VELOCITY_WINDOW, _US_30D, _US_365D
+    CAT_VELOCITY_COUNT, CAT_VELOCITY_WINDOW, REQUESTS_SQL, _US_30D, _US_365D
+from tally.operators import ledger
 from tally.plans.queries_misc import _login_oracle
 from tally.plans.registry import register
 from tally.session import ensure_checkpoint_dir
@@ -19,8 +20,12 @@ from tally.streaming import dashboard, ingest, stateful
 
 
 def _stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(_landing(sf_dir, name))
+
+
+def _landing(sf_dir: str, name: str) -> str:
+    """A pattern that finds the table as one file and as a directory of part files."""
+    return f"{sf_dir.rstrip('/')}/{name}.parque[t]"
 
 
 def _stream_transfers(spark, sf_dir):
@@ -55,19 +60,19 @@ def stream_aml_counts(spark, sf_dir):
     return _drain(spark, s, "aml").select("id", "from_account_id", "velocity_count", "structuring_count")
 
 
-@register("stream_replay", """
-, firsts AS (SELECT * FROM transfers QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY created_at, id) = 1)
-SELECT t.id AS request_id, t.idempotency_key,
-       CASE WHEN t.id = f.id THEN 'EXECUTED'
-            WHEN t.from_account_id = f.from_account_id AND t.to_account_id = f.to_account_id AND t.amount = f.amount
-                 THEN 'REPLAY' ELSE 'CONFLICT' END AS replay_status
-FROM transfers t JOIN firsts f ON f.idempotency_key = t.idempotency_key
-""".replace("\n, firsts AS", ", firsts AS", 1))
+@register("stream_replay", REQUESTS_SQL + """
+SELECT request_id, idempotency_key, replay_status FROM held
+""")
 def stream_replay(spark, sf_dir):
     t = _stream_transfers(spark, sf_dir).select(
         F.col("id").alias("request_id"), "idempotency_key", "from_account_id", "to_account_id", "amount",
-        F.col("created_at").alias("requested_at"))
-    return _drain(spark, stateful.replay_stream(t, retention="36500 days", lateness="1 day"), "replay")
+        F.col("created_at").alias("requested_at"), F.col("from_account_id").alias("caller_user_id"))
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    run = uuid.uuid4().hex[:12]
+    out = f"{base}/stream-out/replay-{run}"
+    checked = ledger.own_reason(t, bank.accounts(spark, sf_dir), bank.users(spark, sf_dir))
+    stateful.replay_stream(checked, out, f"{base}/streams/replay-{run}").awaitTermination()
+    return spark.read.parquet(out).select("request_id", "idempotency_key", "replay_status")
 
 
 @register("stream_login", _login_oracle("""
@@ -119,21 +124,9 @@ def stream_bronze_ingest(spark, sf_dir):
     base = ensure_checkpoint_dir(spark).rstrip("/")
     run = uuid.uuid4().hex[:12]
     root = f"{base}/stream-lake-{run}"
-    orders_dir = sf_dir
-    schema = table(spark, sf_dir, "orders").schema
     n = table(spark, sf_dir, "customer", "c_custkey").count()
-    src = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(orders_dir)
-    t = bank.transfers_from_orders(src, F.lit(n))
-
-    def land(df, epoch_id):
-        from tally.plans.medallion import tag_bronze
-
-        tagged = tag_bronze(df, f"stream-transfers-{epoch_id}").hint("rebalance", "business_date")
-        tagged.write.mode("overwrite").partitionBy("business_date").parquet(
-            f"{ingest.stream_path(root, 'transfers')}/_epoch={epoch_id}")
-
-    q = (t.writeStream.foreachBatch(land).option("checkpointLocation", f"{base}/streams/ingest-{run}")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    ingest.ingest_files(spark, _landing(sf_dir, "orders"), table(spark, sf_dir, "orders").schema, root, "transfers",
+                        checkpoint=f"{base}/streams/ingest-{run}",
+                        shape=lambda orders: bank.transfers_from_orders(orders, F.lit(n))).awaitTermination()
     return ingest.read_landed(spark, root, "transfers").select(
         "id", "idempotency_key", "from_account_id", "to_account_id", "amount", "created_at", "business_date")

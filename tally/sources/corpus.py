@@ -23,23 +23,18 @@ class CorpusError(ValueError):
 
 
 def _first_char(spark: SparkSession, path: str) -> str:
+    """The first character that is no blank, however many blanks are before it."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    stream = fs.open(p)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(p), "UTF-8"))
     try:
-        buf = bytearray()
-        while len(buf) < 4096:
-            b = stream.read()
-            if b < 0:
-                break
-            buf.append(b)
-            text = buf.decode("utf-8", errors="ignore").lstrip("﻿ \t\r\n")
-            if text:
+        while (line := reader.readLine()) is not None:
+            if text := line.lstrip("\ufeff \t\r\n"):
                 return text[0]
         return ""
     finally:
-        stream.close()
+        reader.close()
 
 
 def load_corpus(spark: SparkSession, path: str) -> DataFrame:

@@ -1,9 +1,8 @@
 """Parquet table reader for the driver-generated star schema.
 
 Columns are always selected explicitly so the scan's ReadSchema holds only what
-the caller uses.  The files are immutable inputs, so the resolved relation
-(schema discovered once) is reused per session instead of re-reading parquet
-footers for every query that touches the table.
+the caller uses.  Files are listed anew for every query; only the schema is
+remembered per session and path, so footers are read once.
 """
 from __future__ import annotations
 
@@ -16,15 +15,15 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
-_RELATIONS: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
+_SCHEMAS: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table: {name}")
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    cache = _RELATIONS.setdefault(spark, {})
-    df = cache.get(path)
-    if df is None:
-        df = cache[path] = spark.read.parquet(path)
+    known = _SCHEMAS.setdefault(spark, {})
+    if path not in known:
+        known[path] = spark.read.parquet(path).schema
+    df = spark.read.schema(known[path]).parquet(path)
     return df.select(*columns) if columns else df

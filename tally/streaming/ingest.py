@@ -7,6 +7,8 @@ same files instead of duplicating rows.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,12 +26,17 @@ def stream_path(root: str, table: str) -> str:
 
 
 def ingest_files(spark: SparkSession, landing_dir: str, schema: T.StructType, root: str, table: str,
-                 checkpoint: str | None = None, max_files_per_trigger: int | None = None, fmt: str = "parquet"):
-    """Start an availableNow stream landing new files of ``landing_dir``; returns the query."""
+                 checkpoint: str | None = None, max_files_per_trigger: int | None = None, fmt: str = "parquet",
+                 shape: Callable[[DataFrame], DataFrame] | None = None):
+    """Start an availableNow stream landing new files of ``landing_dir``; returns the query.
+
+    ``shape`` maps the files' rows to the table's before they are tagged."""
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.load(landing_dir)
+    if shape:
+        src = shape(src)
     target = stream_path(root, table)
 
     def land(df: DataFrame, epoch_id: int) -> None:

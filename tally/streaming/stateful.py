@@ -15,9 +15,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tally.operators import aml, sessions
+from tally.operators import aml, ledger, sessions
 
 
 def _set_timeout(state: GroupState, ms: int) -> None:
@@ -85,46 +86,42 @@ def aml_stream(transfers: DataFrame, velocity_count: int = aml.VELOCITY_COUNT, v
 
 # ---------------------------------------------------------------- ST3: replay / conflict per idempotency key
 
-REPLAY_OUT = "request_id long, idempotency_key string, replay_status string"
-REPLAY_STATE = "rid long, t long, f long, to_ long, amount string"
 
 
-def replay_stream(requests: DataFrame, retention: str = "24 hours", lateness: str = "10 minutes") -> DataFrame:
-    """EXECUTED for the first request of a key, REPLAY for the same payload,
-    CONFLICT otherwise; a key is remembered for ``retention`` of event time."""
-    keep_ms = aml._micros(retention) // 1000
-    src = requests.withColumn("_et", F.col("requested_at").cast("timestamp")).withWatermark("_et", lateness).withColumn(
-        "t_us", F.unix_micros(F.col("requested_at").cast("timestamp")))
+def replay_stream(requests: DataFrame, out: str, checkpoint: str):
+    """Start an availableNow stream that classifies arriving requests; returns the query.
 
-    def fn(key, pdfs, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        new = pd.concat(list(pdfs), ignore_index=True).sort_values(["t_us", "request_id"], kind="stable")
-        first = state.get if state.exists else None
-        out = []
-        for r in new.itertuples(index=False):
-            payload = (int(r.from_account_id), int(r.to_account_id), str(r.amount))
-            if first is None:
-                first = (int(r.request_id), int(r.t_us), *payload)
-                status = "EXECUTED"
-            elif (first[2], first[3], first[4]) == payload:
-                status = "REPLAY"
-            else:
-                status = "CONFLICT"
-            out.append((r.request_id, r.idempotency_key, status))
-        state.update(first)
-        _set_timeout(state, int(first[1] // 1000 + keep_ms))
-        yield pd.DataFrame(out, columns=["request_id", "idempotency_key", "replay_status"])
-
-    return src.groupBy("idempotency_key").applyInPandasWithState(
-        fn, REPLAY_OUT, REPLAY_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def replay_suppressed(requests: DataFrame, lateness: str = "24 hours") -> DataFrame:
-    """Only the first request per idempotency key (duplicates within the watermark dropped)."""
-    return (requests.withColumn("_et", F.col("requested_at").cast("timestamp")).withWatermark("_et", lateness)
-            .dropDuplicatesWithinWatermark(["idempotency_key"]).drop("_et"))
+    ``requests`` has the boolean column ``accepted`` (see ``ledger.own_reason``).  Each
+    micro-batch is held against the transfers saved by earlier ones and then decided by
+    the batch operator, so a key is remembered for ever, a busy key is spread as in the
+    batch operator, and no row is too late.  The results at ``out``, in a folder per
+    epoch, are the store: a repeated epoch rewrites its folder and reads only earlier ones.
+    """
+    columns = ["request_id", "idempotency_key", "from_account_id", "to_account_id", "amount"]
+    schema = T.StructType([*(requests.schema[c] for c in columns), T.StructField("replay_status", T.StringType()),
+                           T.StructField("_epoch", T.LongType())])
+
+    def decide(df: DataFrame, epoch: int) -> None:
+        spark = df.sparkSession
+        saved = spark.createDataFrame([], schema)
+        if epoch:
+            saved = spark.read.schema(schema).parquet(out).filter((F.col("_epoch") < epoch) & (F.col("replay_status") == "EXECUTED"))
+        saved = saved.select("idempotency_key", F.struct("from_account_id", "to_account_id", "amount").alias("_saved"))
+        known = df.join(saved, "idempotency_key", "left")
+        payload = F.struct("from_account_id", "to_account_id", "amount")
+        late = known.filter(F.col("_saved").isNotNull()).select(
+            *columns, F.when(payload == F.col("_saved"), "REPLAY").otherwise("CONFLICT").alias("replay_status"))
+        fresh = known.filter(F.col("_saved").isNull()).drop("_saved")
+        fresh = ledger.replay_classification(fresh, accepted=ledger.SAVED).select(*columns, "replay_status")
+        late.unionByName(fresh).write.mode("overwrite").parquet(f"{out}/_epoch={epoch}")
+
+    return (requests.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def replay_suppressed(requests: DataFrame) -> DataFrame:
+    """Only the first arrival per idempotency key; keys are remembered for ever."""
+    return requests.dropDuplicates(["idempotency_key"])
 
 
 # ---------------------------------------------------------------- ST4: login limiter + lockout

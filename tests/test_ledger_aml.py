@@ -87,6 +87,31 @@ def test_eligibility_precedence_and_kyc(spark):
     }
 
 
+def test_a_rejected_request_does_not_own_its_key(spark):
+    """Rejected then retried, rejected then changed, and a changed one after the transfer was saved."""
+    at = lambda k: dt.datetime(2024, 1, 1, 0, 0, k)
+    req = [
+        (1, "a", 2, 1, Decimal(5), at(0), 2),            # more than the balance
+        (2, "a", 2, 1, Decimal(5), at(1), 2),            # the same again: rejected again, no replay
+        (3, "a", 1, 2, Decimal(7), at(2), 1),            # another payload that passes: owns the key
+        (4, "a", 1, 2, Decimal(7), at(3), 1),            # REPLAY
+        (5, "a", 2, 1, Decimal(5), at(4), 2),            # CONFLICT
+        (6, "a", 1, 2, Decimal(0), at(5), 1),            # invalid before its key counts
+        (7, "b", 2, 1, Decimal(5), at(0), 2),            # nobody owns this key
+        (8, "a", 1, 2, Decimal(7), at(3000 // 60), 1),   # long after: still known
+    ]
+    df = spark.createDataFrame(req, "request_id long, idempotency_key string, from_account_id long, to_account_id long, "
+                                    "amount decimal(19,4), requested_at timestamp_ntz, caller_user_id long")
+    got = {r["request_id"]: (r["decision"], r["reason"]) for r in
+           ledger.transfer_eligibility(df, _accounts(spark), _users(spark)).collect()}
+    assert got == {
+        1: ("REJECTED", "INSUFFICIENT_FUNDS"), 2: ("REJECTED", "INSUFFICIENT_FUNDS"), 3: ("EXECUTED", None), 4: ("REPLAY", "REPLAY"),
+        5: ("REJECTED", "CONFLICT"), 6: ("REJECTED", "INVALID_REQUEST"), 7: ("REJECTED", "INSUFFICIENT_FUNDS"), 8: ("REPLAY", "REPLAY")}
+    checked = ledger.own_reason(df, _accounts(spark), _users(spark))
+    got = {r["request_id"]: r["replay_status"] for r in ledger.replay_classification(checked, accepted=ledger.SAVED).collect()}
+    assert got == {1: "REJECTED", 2: "REJECTED", 3: "EXECUTED", 4: "REPLAY", 5: "CONFLICT", 6: "CONFLICT", 7: "REJECTED", 8: "REPLAY"}
+
+
 def test_running_balance_overdraft(spark):
     e = spark.createDataFrame([
         (1, 1, 1, "DEBIT", Decimal(150), dt.datetime(2024, 1, 1)),

@@ -93,14 +93,14 @@ def test_gate_rules_catch_bypassed_rows(spark):
             (2, "A1", "y", "BOGUS", "JPY", Decimal("1"), "CUSTOMER", 2),
             (None, "A3", "z", "ACTIVE", "JPY", Decimal("-9"), "SYSTEM", None)]
     df = spark.createDataFrame(rows, ACC)
-    got = {r["rule_name"]: r["rows_failed"] for r in R.gate_counts(df, M.gate_expectations("accounts")).collect()}
+    got = {r["rule_name"]: r["rows_failed"] for r in R.gate_counts(df, M.gate_rules("accounts")).collect()}
     assert got == {"gx:expect_column_values_to_not_be_null:id": 1,
                    "gx:expect_column_values_to_be_unique:account_number": 2,
                    "gx:expect_column_values_to_be_in_set:status": 1,
                    "gx:expect_column_values_to_be_between:balance": 1}
     with pytest.raises(R.GateFailed):
         R.assert_gate([{**r.asDict(), "table_name": "accounts"} for r in
-                       R.gate_counts(df, M.gate_expectations("accounts")).collect()])
+                       R.gate_counts(df, M.gate_rules("accounts")).collect()])
 
 
 def test_single_pass_plan_scans_bronze_once_per_output(spark):
