@@ -16,8 +16,8 @@ def norm(a: Column) -> Column:
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
-    """1 - a.b / (|a| |b|); NULL when either side is NULL."""
-    return F.lit(1.0) - dot(a, b) / (norm(a) * norm(b))
+    """1 - a.b / (|a| |b|); NULL when either side is NULL or a zero vector, or lengths differ."""
+    return F.when(F.size(a) == F.size(b), F.lit(1.0) - F.try_divide(dot(a, b), norm(a) * norm(b)))
 
 
 def dot_fixed(a: Column, b: Column, dim: int) -> Column:
@@ -40,27 +40,12 @@ def has_dimensions(a: Column, dim: int) -> Column:
     return F.size(a) == F.lit(dim)
 
 
-@F.pandas_udf(T.LongType())
-def _byte_sum(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: sum(t.encode("utf-8")), na_action="ignore").astype("Int64")
-
-
 @F.pandas_udf(T.LongType())
 def _embedding_seed(texts: pd.Series) -> pd.Series:
     # NULL for blank text (Python's str.strip: Unicode whitespace, as the reference)
     return texts.map(lambda t: sum(t.encode("utf-8")) % 1000 if t.strip() else None, na_action="ignore").astype("Int64")
 
 
-def utf8_byte_sum(text: Column) -> Column:
-    """Sum of the UTF-8 bytes of the whole text.
-
-    Spark has no byte-level fold, and the hex/regex route is quadratic-ish on
-    long texts, so this one step is an Arrow-batched pandas UDF (C-speed
-    ``sum(bytes)`` per value).
-    """
-    return _byte_sum(text)
-
-
 def fake_embedding(text: Column, dimensions: int = 8) -> Column:
     """Deterministic test embedding: v = byte sum mod 1000, e[i] = ((v + i) mod 1000) / 1000.
 

@@ -1,16 +1,17 @@
 """FAQ-style retrieval: embed, upsert, exact cosine top-k with over-fetch,
 numeric (yen amount) rerank, and hit-rate evaluation.
 
-A batch of queries is scored against the whole corpus in one job.  The query
-side is broadcast only after its row count is checked; larger query sets are
-scored in broadcast-sized slices (exact, never sampled).  Top-k per query uses
-``row_number() <= k``, which Spark plans as a partial WindowGroupLimit before
-the shuffle, so each task ships at most k candidates per query.
+The stated queries are scored against the whole corpus in blocks of at most
+``BLOCK`` queries: a document row meets every block of queries in the part of the
+corpus it falls into, whatever the numbers of either (exact, never sampled).
+Top-k per query uses ``row_number() <= k``, which Spark plans as a partial
+WindowGroupLimit before the shuffle, so each task ships at most k candidates per
+query.  A vector that is missing, zero or of another length than the queries' has no
+distance and is no candidate.
 """
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 from typing import Iterator
 
 import pandas as pd
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 from tally.functions.text import DOCUMENT_PREFIX, QUERY_PREFIX, is_blank, with_prefix, yen_amounts
 from tally.functions.vectors import cosine_distance, dot_fixed, fake_embedding, has_dimensions, norm_fixed
 
-MAX_BROADCAST_QUERIES = 10_000
+BLOCK = 256  # queries that a document row meets at a time
 DISTANCE_DIGITS = 9
 
 
@@ -63,54 +64,44 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str = "faq_id") -> Dat
     return keep.unionByName(incoming.select(*existing.columns))
 
 
-def _scored(docs: DataFrame, queries: DataFrame, dim: int | None) -> DataFrame:
-    """(query_id, doc_id, distance) for every document and every query of a
-    broadcast-sized query slice.  With a known common dimension the norms are
-    computed once per side and the per-pair dot product is unrolled (codegen);
-    otherwise higher-order functions handle any length."""
-    d = docs.filter(F.col("embedding").isNotNull()).select("doc_id", "embedding")
+def _distance(dim: int | None) -> Column:
     if dim is None:
-        q = F.broadcast(queries.select("query_id", F.col("query_embedding").alias("_qv")))
-        dist = cosine_distance(F.col("embedding"), F.col("_qv"))
-        return d.join(q, how="cross").select("query_id", "doc_id", F.round(dist, DISTANCE_DIGITS).alias("distance"))
-    d = d.filter(F.size("embedding") == dim).withColumn("_dn", norm_fixed(F.col("embedding"), dim))
-    q = F.broadcast(queries.select("query_id", F.col("query_embedding").alias("_qv"))
-                    .withColumn("_qn", norm_fixed(F.col("_qv"), dim)))
-    dist = F.lit(1.0) - dot_fixed(F.col("embedding"), F.col("_qv"), dim) / (F.col("_dn") * F.col("_qn"))
-    return d.join(q, how="cross").select("query_id", "doc_id", F.round(dist, DISTANCE_DIGITS).alias("distance"))
+        return cosine_distance(F.col("embedding"), F.col("_qv"))
+    # a known length: the dot product is plain arithmetic (codegen), norms are per side
+    return F.lit(1.0) - F.try_divide(dot_fixed(F.col("embedding"), F.col("_qv"), dim), F.col("_dn") * F.col("_qn"))
 
 
-def cosine_topk(docs: DataFrame, queries: DataFrame, k: int, max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+def cosine_topk(docs: DataFrame, queries: DataFrame, k: int, dim: int | None = None) -> DataFrame:
     """Nearest ``k`` documents per query (ties by doc_id), exact.
 
-    ``docs``: (doc_id, embedding); ``queries``: (query_id, query_embedding).
-    The query side is sized first (one small aggregate): it is broadcast only
-    up to ``max_broadcast`` rows, larger sets are scored slice by slice.
+    ``docs``: (doc_id, embedding); ``queries``: (query_id, query_embedding).  ``dim`` is
+    the declared length of the vectors, if they have one; others are left out.
     """
     if k <= 0:
         raise ValueError("limit must be greater than zero")
-    stats = queries.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("query_embedding")).alias("lo"),
-                        F.max(F.size("query_embedding")).alias("hi")).first()
-    n = stats["n"]
-    dim = stats["lo"] if stats["lo"] is not None and stats["lo"] == stats["hi"] and stats["lo"] > 0 else None
-    if n <= max_broadcast:
-        slices = [queries]
-    else:
-        parts = -(-n // max_broadcast)
-        sliced = queries.withColumn("_slice", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
-        slices = [sliced.filter(F.col("_slice") == i).drop("_slice") for i in range(parts)]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = docs.filter(F.col("embedding").isNotNull()).select("doc_id", "embedding")
+    q = queries.filter(F.col("query_embedding").isNotNull()).select("query_id", F.col("query_embedding").alias("_qv"))
+    if dim is not None:
+        d = d.filter(has_dimensions(F.col("embedding"), dim)).withColumn("_dn", norm_fixed(F.col("embedding"), dim))
+        q = q.filter(has_dimensions(F.col("_qv"), dim)).withColumn("_qn", norm_fixed(F.col("_qv"), dim))
+    # one row: the number of blocks
+    blocks = F.broadcast(queries.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("_n")))
+    d = (d.crossJoin(blocks).withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
+         .withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n"))
+    q = (q.crossJoin(blocks).withColumn("_block", F.pmod(F.xxhash64("query_id"), F.col("_n")).cast("int")).drop("_n")
+         .withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>"))))
+    scored = d.join(q, ["_block", "_part"]).select("query_id", "doc_id", F.round(_distance(dim), DISTANCE_DIGITS).alias("distance"))
     w = Window.partitionBy("query_id").orderBy("distance", "doc_id")
-    ranked = [_scored(docs, s, dim).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-              for s in slices]
-    return reduce(DataFrame.unionByName, ranked)
+    return (scored.filter(F.col("distance").isNotNull()).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            .select("query_id", "doc_id", "distance", "rank"))
 
 
 def overfetch(limit: int) -> int:
     return max(limit * 3, 10)
 
 
-def retrieve(docs: DataFrame, queries: DataFrame, limit: int = 3, provider: EmbeddingProvider = FAKE,
-             max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+def retrieve(docs: DataFrame, queries: DataFrame, limit: int = 3, provider: EmbeddingProvider = FAKE) -> DataFrame:
     """Top ``limit`` FAQs per query: over-fetch by distance, then put documents
     sharing a yen amount with the query first (distance order kept within each
     group; no-op when the query names no amount).
@@ -123,12 +114,11 @@ def retrieve(docs: DataFrame, queries: DataFrame, limit: int = 3, provider: Embe
     q = queries.filter(~is_blank(F.col("query_text"))).select(
         "query_id", provider.embed_query(F.col("query_text")).alias("query_embedding"),
         yen_amounts(F.col("query_text")).alias("_qa"))
-    cand = cosine_topk(docs, q.select("query_id", "query_embedding"), overfetch(limit), max_broadcast)
-    # Candidates are bounded (checked query count x over-fetch), so they are
-    # broadcast against the corpus; amounts are computed for candidate rows only.
-    j = (docs.select("doc_id", "question").join(F.broadcast(cand), "doc_id")
+    cand = cosine_topk(docs, q.select("query_id", "query_embedding"), overfetch(limit), provider.dimensions)
+    # amounts are computed for candidate rows only
+    j = (docs.select("doc_id", "question").join(cand, "doc_id")
          .withColumn("_da", yen_amounts(F.col("question"))).drop("question")
-         .join(F.broadcast(q.select("query_id", "_qa")), "query_id"))
+         .join(q.select("query_id", "_qa"), "query_id"))
     match = F.when(F.size("_qa") > 0, F.arrays_overlap("_qa", "_da").cast("int")).otherwise(F.lit(0))
     w = Window.partitionBy("query_id").orderBy(F.desc("_match"), "rank")
     return (j.withColumn("_match", F.coalesce(match, F.lit(0)))

@@ -463,3 +463,10 @@ def rule_referential_integrity(spark, sf_dir):
     acc = _silver(spark, sf_dir)["accounts"].clean
     le = bank.ledger_entries(spark, sf_dir).select("id", "account_id")
     return _failing(le, R.referential_integrity("account_id", acc, "id"))
+
+
+@register("account_summary", """
+SELECT id, account_number, status, currency, balance, account_type FROM accounts
+""")
+def account_summary(spark, sf_dir):
+    return ledger.account_summary(bank.accounts(spark, sf_dir))

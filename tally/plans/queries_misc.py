@@ -226,21 +226,35 @@ _RE2_YEN = r"(?:([0-9０-９]+(?:,[0-9０-９]+)*)\s*万円|([0-9０-９]+(?:,[0
 
 def _sql_amounts(col: str) -> str:
     def num(g):
-        return (f"TRY_CAST(translate(replace({g}, ',', ''), '０１２３４５６７８９', '0123456789') AS DECIMAL(38,0))")
+        return f"translate(replace({g}, ',', ''), '０１２３４５６７８９', '0123456789')"
 
-    return (f"list_sort(list_distinct(list_filter(list_transform(list_zip("
+    return (f"list_transform(list_sort(list_transform(list_distinct(list_transform(list_transform(list_zip("
             f"regexp_extract_all({col}, '{_RE2_YEN}', 1), regexp_extract_all({col}, '{_RE2_YEN}', 2)), "
-            f"lambda p: CASE WHEN p[1] IS NOT NULL AND p[1] <> '' THEN {num('p[1]')} * 10000 ELSE {num('p[2]')} END), "
-            f"lambda v: v IS NOT NULL)))")
+            f"lambda p: CASE WHEN p[1] IS NOT NULL AND p[1] <> '' THEN {num('p[1]')} || '0000' ELSE {num('p[2]')} END), "
+            f"lambda v: coalesce(nullif(ltrim(v, '0'), ''), '0'))), lambda v: {{'n': len(v), 'v': v}})), lambda p: p.v)")
+
+
+# Notices that name amounts, made from orders: the price in yen, the key in man-yen with full-width digits.
+_NOTICE_SQL = ("concat('入金 ', CAST(floor(o_totalprice) AS BIGINT), ' 円、上限 ', "
+               "translate(CAST(o_orderkey AS VARCHAR), '0123456789', '０１２３４５６７８９'), '万円 (', o_orderkey % 7, ',000円)')")
 
 
 @register("amount_extraction", f"""
-SELECT doc_id, {_sql_amounts('text')} AS amounts FROM documents
+, named AS (SELECT 'document' AS kind, doc_id AS id, text FROM documents
+            UNION ALL SELECT 'notice', o_orderkey, {_NOTICE_SQL} FROM orders)
+SELECT kind, id, coalesce(array_to_string({_sql_amounts('text')}, ','), '') AS amounts FROM named
 """)
 def amount_extraction(spark, sf_dir):
+    """Yen amounts of every document and of a notice per order, as one string per row."""
     from tally.functions.text import yen_amounts
 
-    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", yen_amounts(F.col("text")).alias("amounts"))
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    wide = F.translate(F.col("o_orderkey").cast("string"), "0123456789", "０１２３４５６７８９")
+    notice = F.concat(F.lit("入金 "), F.floor("o_totalprice").cast("string"), F.lit(" 円、上限 "), wide, F.lit("万円 ("),
+                      (F.col("o_orderkey") % 7).cast("string"), F.lit(",000円)"))
+    notices = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").select(
+        F.lit("notice").alias("kind"), F.col("o_orderkey").alias("id"), notice.alias("text"))
+    return docs.unionByName(notices).select("kind", "id", F.coalesce(F.array_join(yen_amounts(F.col("text")), ","), F.lit("")).alias("amounts"))
 
 
 def _sql_fake_embedding(col: str, dims: int = 8) -> str:
@@ -271,11 +285,14 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance,
 """
 
 
+VECTOR_LENGTH = 64  # of the embeddings table
+
+
 def _centroid_topk(spark, sf_dir, k):
     emb = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
     q = retrieval.label_centroids(emb)
     docs = emb.select(F.col("vec_id").alias("doc_id"), "embedding")
-    return retrieval.cosine_topk(docs, q, k)
+    return retrieval.cosine_topk(docs, q, k, VECTOR_LENGTH)
 
 
 @register("vector_topk", _CENTROIDS_SQL + f"""
@@ -323,21 +340,20 @@ def faq_retrieval(spark, sf_dir):
 
 
 @register("faq_upsert", f"""
-, old AS (SELECT doc_id AS faq_id, text AS question, source AS answer FROM documents WHERE lang = 'en'),
-new AS (SELECT doc_id AS faq_id, text AS question, lang AS answer FROM documents WHERE lang <> 'de')
+, old AS (SELECT doc_id AS faq_id, text AS question, source AS answer FROM documents WHERE doc_id % 3 <> 0),
+new AS (SELECT doc_id AS faq_id, text AS question, lang AS answer FROM documents WHERE doc_id % 3 <> 1)
 SELECT faq_id, question, answer, {_sql_fake_embedding('question')} AS embedding FROM (
     SELECT * FROM old WHERE faq_id NOT IN (SELECT faq_id FROM new)
     UNION ALL SELECT * FROM new)
 """)
 def faq_upsert(spark, sf_dir):
-    """The English documents are the stored corpus; a new load (all but German)
-    inserts new ids and overwrites known ones."""
+    """Every document is stored, loaded anew or both, by its key: the load inserts ids
+    that are new and overwrites known ones; the result holds them all."""
     d = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
-    old = retrieval.embed_corpus(d.filter(F.col("lang") == "en").select(
-        F.col("doc_id").alias("faq_id"), F.col("text").alias("question"), F.col("source").alias("answer")))
-    new = retrieval.embed_corpus(d.filter(F.col("lang") != "de").select(
-        F.col("doc_id").alias("faq_id"), F.col("text").alias("question"), F.col("lang").alias("answer")))
-    return retrieval.upsert(old, new)
+    key = F.col("doc_id") % 3
+    old = d.filter(key != 0).select(F.col("doc_id").alias("faq_id"), F.col("text").alias("question"), F.col("source").alias("answer"))
+    new = d.filter(key != 1).select(F.col("doc_id").alias("faq_id"), F.col("text").alias("question"), F.col("lang").alias("answer"))
+    return retrieval.embed_corpus(retrieval.upsert(old, new))
 
 
 @register("blank_texts", """

@@ -70,6 +70,34 @@ def test_yen_amounts_and_text(spark):
     assert spark.range(1).select(mask_keep_two(F.lit("alice")), mask_keep_two(F.lit("a"))).first() == ("al***", "a")
 
 
+def test_yen_amounts_of_any_length(spark):
+    """Amounts beyond every decimal type and digits of other scripts are kept exactly."""
+    long = "9" * 60
+    df = spark.createDataFrame([(f"{long}万円と{long}円",), ("٣٤円",), ("000円 007万円",)], "t string")
+    got = [r[0] for r in df.select(yen_amounts(F.col("t"))).collect()]
+    assert [[int(x) for x in g] for g in got] == [[int(long), int(long) * 10000], [34], [0, 70000]]
+
+
+def test_topk_leaves_out_vectors_without_a_distance(spark):
+    """Zero vectors, missing ones and those of another length are no candidates, whatever the queries' lengths."""
+    docs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0]), (4, None), (5, [1.0, 1.0])], "doc_id long, embedding array<double>")
+    for queries in ([(1, [1.0, 0.0])], [(1, [1.0, 0.0]), (2, [0.5]), (3, [0.0, 0.0]), (4, None)]):
+        q = spark.createDataFrame(queries, "query_id long, query_embedding array<double>")
+        for dim in (None, 2):
+            got = [(r.query_id, r.doc_id, r["rank"]) for r in retrieval.cosine_topk(docs, q, 5, dim).orderBy("query_id", "rank").collect()]
+            assert got == [(1, 1, 1), (1, 5, 2)] + ([(2, 3, 1)] if len(queries) > 1 and dim is None else [])
+
+
+def test_topk_over_many_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 3)
+    vectors = [(i, [float(i % 7) + 1, float(i % 5) + 1]) for i in range(40)]
+    docs = spark.createDataFrame(vectors, "doc_id long, embedding array<double>")
+    q = spark.createDataFrame(vectors[:10], "query_id long, query_embedding array<double>")
+    few = sorted(map(tuple, retrieval.cosine_topk(docs, q, 4, 2).collect()))
+    monkeypatch.setattr(retrieval, "BLOCK", 1000)
+    assert few == sorted(map(tuple, retrieval.cosine_topk(docs, q, 4, 2).collect())) and len(few) == 40
+
+
 def test_fake_embedding_matches_python(spark):
     texts = ["hello", "日本語のテキスト", "x" * 5000]
     df = spark.createDataFrame([(t,) for t in texts] + [("   ",)], "t string")
@@ -83,7 +111,7 @@ def test_fake_embedding_matches_python(spark):
 def test_cosine_topk_matches_numpy(spark):
     emb = table(spark, SF, "embeddings", "vec_id", "embedding", "label")
     q = retrieval.label_centroids(emb)
-    got = retrieval.cosine_topk(emb.select(F.col("vec_id").alias("doc_id"), "embedding"), q, 3, max_broadcast=4)
+    got = retrieval.cosine_topk(emb.select(F.col("vec_id").alias("doc_id"), "embedding"), q, 3)
     rows = emb.collect()
     ids = np.array([r["vec_id"] for r in rows])
     m = np.array([r["embedding"] for r in rows], dtype=np.float64)
