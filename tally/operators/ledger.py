@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tally.functions.money import MONEY, TOTAL, credit_part, debit_part, signed_amount, total
 
@@ -17,12 +18,24 @@ KYC_TRANSFER_THRESHOLD = "100000.00"
 ENTRY_COLUMNS = ["id", "transaction_id", "account_id", "entry_type", "amount", "created_at"]
 
 
+def uuid_of(name: Column) -> Column:
+    """A UUID string (version 3 layout) that depends on the name only."""
+    h = F.md5(name)
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("3"), F.substring(h, 14, 3)),
+                       F.concat(F.lit("8"), F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
 def post_transfers(transfers: DataFrame) -> DataFrame:
     """Each valid transfer becomes a DEBIT (from) and a CREDIT (to) entry.
 
     Self-transfers are rejected (no entries).  Entry ids are derived from the
-    transfer id (2*id, 2*id+1) so reruns are repeatable.
+    transfer id so reruns are repeatable: 2*id and 2*id+1 of a whole number, for
+    other keys (UUID strings) a name-based UUID of the id and the leg.
     """
+    if isinstance(transfers.schema["id"].dataType, T.IntegralType):
+        entry_id = F.col("id") * 2 + F.col("e.leg")
+    else:
+        entry_id = uuid_of(F.concat_ws(":", F.col("id"), F.col("e.entry_type")))
     legs = F.array(
         F.struct(F.lit("DEBIT").alias("entry_type"), F.col("from_account_id").alias("account_id"), F.lit(0).alias("leg")),
         F.struct(F.lit("CREDIT").alias("entry_type"), F.col("to_account_id").alias("account_id"), F.lit(1).alias("leg")),
@@ -31,7 +44,7 @@ def post_transfers(transfers: DataFrame) -> DataFrame:
         transfers.filter(F.col("from_account_id") != F.col("to_account_id"))
         .select("id", "amount", "created_at", F.explode(legs).alias("e"))
         .select(
-            (F.col("id") * 2 + F.col("e.leg")).alias("id"),
+            entry_id.alias("id"),
             F.col("id").alias("transaction_id"),
             F.col("e.account_id").alias("account_id"),
             F.col("e.entry_type").alias("entry_type"),

@@ -90,6 +90,11 @@ def between(column: str, low=None, high=None, strict_low: bool = False, conditio
     return row_rule(name or f"between:{column}", failing)
 
 
+def distinct_columns(left: str, right: str) -> Expectation:
+    """Rows whose two columns hold the same value (a transfer to its own account); NULL passes."""
+    return row_rule("distinct_accounts", F.col(left) == F.col(right))
+
+
 def unique(column: str) -> Expectation:
     return Expectation(f"unique:{column}", "unique", column=column)
 

@@ -167,20 +167,27 @@ def presentation_checks(presentations: DataFrame, tokens: DataFrame) -> DataFram
     """
     p = presentations.withColumn("_hash", F.sha2(F.col("raw_token"), 256))
     t = tokens.select(F.col("token_hash").alias("_hash"), F.col("id").alias("token_id"), "family_id",
-                      "expires_at", "revoked_at")
+                      "created_at", "expires_at", "revoked_at")
     j = p.join(t, "_hash", "left")
     verdict = (F.when(F.col("token_id").isNull(), "UNKNOWN")
                .when(F.col("revoked_at").isNotNull() & (F.col("revoked_at") < F.col("ts")), "REUSED")
                .when(F.col("expires_at") <= F.col("ts"), "EXPIRED").otherwise("VALID"))
-    return j.select("presentation_id", "token_id", "family_id", "ts", verdict.alias("verdict"))
+    return j.select("presentation_id", "token_id", "family_id", "created_at", "ts", verdict.alias("verdict"))
 
 
 def token_family_audit(presentations: DataFrame, tokens: DataFrame) -> DataFrame:
     """Families to revoke: first reuse time, number of reuses, and how many of
-    the family's tokens were still active at the first reuse."""
-    checks = presentation_checks(presentations, tokens).filter(F.col("verdict") == "REUSED")
-    fam = checks.groupBy("family_id").agg(F.min("ts").alias("first_reuse_at"),
-                                          F.count(F.lit(1)).cast("long").alias("reuse_count"))
+    the family's tokens were still active at the first reuse.
+
+    The first reuse revokes every token that the family has by then, so whatever is
+    presented of them later is a reuse as well.
+    """
+    checks = presentation_checks(presentations, tokens).filter(F.col("family_id").isNotNull())
+    reused = F.col("verdict") == "REUSED"
+    first = checks.filter(reused).groupBy("family_id").agg(F.min("ts").alias("first_reuse_at"))
+    revoked_then = (F.col("created_at") <= F.col("first_reuse_at")) & (F.col("ts") > F.col("first_reuse_at"))
+    fam = (checks.join(first, "family_id").filter(reused | revoked_then)
+           .groupBy("family_id", "first_reuse_at").agg(F.count(F.lit(1)).cast("long").alias("reuse_count")))
     live = tokens.join(fam, "family_id").filter(
         (F.col("created_at") <= F.col("first_reuse_at"))
         & (F.col("revoked_at").isNull() | (F.col("revoked_at") > F.col("first_reuse_at")))

@@ -22,11 +22,15 @@ from tally.operators import audit, checks, contract, gold, rules
 from tally.plans import medallion as M
 from tally.sources import lake
 
-EVENT_SCHEMA = ("batch_id string, dag_run_id string, task_id string, layer string, source_table string, "
-                "business_date string, status string, started_at timestamp, rows_read long, rows_written long, "
-                "error_message string")
-DQ_SCHEMA = ("batch_id string, rule_name string, layer string, table_name string, severity string, "
-             "rows_checked long, rows_failed long, passed boolean, details string, business_date string")
+EVENT_SCHEMA = ("batch_id string, dag_run_id string, task_id string, attempt int, layer string, source_table string, "
+                "business_date string, status string, started_at timestamp, ended_at timestamp, rows_read long, "
+                "rows_written long, error_message string")
+DQ_SCHEMA = ("check_id string, batch_id string, rule_name string, layer string, table_name string, severity string, "
+             "rows_checked long, rows_failed long, passed boolean, details string, business_date string, created_at timestamp")
+
+
+def _now() -> dt.datetime:
+    return dt.datetime.now(dt.timezone.utc)
 
 
 class SlotRefused(RuntimeError):
@@ -38,23 +42,33 @@ class Run:
         self.spark, self.root, self.date, self.run_id, self.fail_at = spark, root, business_date, run_id, fail_at
 
     # ------------------------------------------------------------ audit
-    def _event(self, batch_id, task_id, layer, table, status, rows_read=None, rows_written=None, error=None):
-        row = [(batch_id, self.run_id, task_id, layer, table, self.date, status, dt.datetime.now(dt.timezone.utc),
-                rows_read, rows_written, error)]
+    def _event(self, batch_id, task_id, attempt, layer, table, status, started, rows_read=None, rows_written=None, error=None):
+        row = [(batch_id, self.run_id, task_id, attempt, layer, table, self.date, status, started,
+                None if status == "RUNNING" else _now(), rows_read, rows_written, error)]
         lake.append(self.spark.createDataFrame(row, EVENT_SCHEMA), self.root, "audit", "batch_control")
 
-    def decision(self, layer: str, table: str) -> str:
+    def decision(self, layer: str, table: str) -> tuple[str, int, int]:
+        """What to do about a slot, how often it was started, and how often by this run."""
         events = lake.read_events(self.spark, self.root, "audit", "batch_control")
         if events is None:
-            return "PROCEED"
+            return "PROCEED", 0, 0
         req = self.spark.createDataFrame([(layer, table, self.date, self.run_id)],
                                          "layer string, source_table string, business_date string, dag_run_id string")
-        return audit.slot_decision(req, events).first()["decision"]
+        mine = (F.col("layer") == layer) & (F.col("source_table") == table) & (F.col("business_date") == self.date)
+        n = events.filter(mine & (F.col("status") == "RUNNING")).agg(
+            F.count("*").alias("all"), F.count_if(F.col("dag_run_id") == self.run_id).alias("own")).first()
+        return audit.slot_decision(req, events).first()["decision"], n["all"], n["own"]
+
+    def claim(self, layer: str, table: str, started: int) -> bool:
+        """Takes the slot's next start.  Two runs that read the same log try to create the
+        same marker, and one of them gets it."""
+        return lake.create_once(self.spark, f"{self.root.rstrip('/')}/audit/_claims/{layer}.{table}.{self.date}.{started}")
 
     def record_dq(self, batch_id: str, counts: DataFrame, layer: str, table: str) -> list:
         details = F.to_json(F.struct(F.lit("tally").alias("engine"), F.lit(__version__).alias("version"),
                                      F.lit(self.run_id).alias("run")))
-        rows = counts.withColumn("batch_id", F.lit(batch_id)).withColumn("layer", F.lit(layer)).withColumn(
+        rows = counts.withColumn("check_id", F.uuid()).withColumn("created_at", F.lit(_now())).withColumn(
+            "batch_id", F.lit(batch_id)).withColumn("layer", F.lit(layer)).withColumn(
             "table_name", F.lit(table)).withColumn("details", details).withColumn(
             "business_date", F.lit(self.date)).select(*[c.split()[0] for c in DQ_SCHEMA.split(", ")])
         collected = rows.collect()  # one row per rule: bounded by the rule set
@@ -62,21 +76,21 @@ class Run:
         return collected
 
     def step(self, task_id: str, layer: str, table: str, fn):
-        d = self.decision(layer, table)
+        d, starts, own = self.decision(layer, table)
         if d == "SKIP":
             return None
-        if d == "REFUSE":
+        if d == "REFUSE" or not self.claim(layer, table, starts):
             raise SlotRefused(f"slot ({layer}, {table}, {self.date}) is held by another run")
-        batch_id = str(uuid.uuid4())
-        self._event(batch_id, task_id, layer, table, "RUNNING")
+        batch_id, began, attempt = str(uuid.uuid4()), _now(), own + 1
+        self._event(batch_id, task_id, attempt, layer, table, "RUNNING", began)
         try:
             if self.fail_at == task_id:
                 raise RuntimeError(f"simulated failure injected for {task_id}")
             read, written = fn(batch_id)
         except Exception as exc:  # noqa: BLE001 - recorded, then re-raised
-            self._event(batch_id, task_id, layer, table, "FAILED", error=str(exc))
+            self._event(batch_id, task_id, attempt, layer, table, "FAILED", began, error=str(exc))
             raise
-        self._event(batch_id, task_id, layer, table, "SUCCESS", read, written)
+        self._event(batch_id, task_id, attempt, layer, table, "SUCCESS", began, read, written)
         return batch_id
 
 
@@ -175,7 +189,8 @@ def run_day(spark: SparkSession, sources: dict, root: str, business_date: str, r
         if g is None or g.limit(1).count() == 0:
             raise RuntimeError(f"no gold.reconciliation_summary row for business_date={business_date}")
         src = gold.reconciliation_summary(day["ledger_entries"].withColumn("business_date", F.lit(business_date)))
-        res = gold.reconcile(g.drop(lake.SNAPSHOT), src).withColumn("batch_id", F.lit(batch_id))
+        res = gold.reconcile(g.drop(lake.SNAPSHOT), src).withColumns({
+            "batch_id": F.lit(batch_id), "recon_id": F.lit(str(uuid.uuid4())), "created_at": F.lit(_now())})
         row = res.first()
         lake.append(res, root, "audit", "reconciliation_results")
         if not row["within_tolerance"]:

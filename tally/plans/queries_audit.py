@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tally.operators import audit, ledger
 from tally.plans import medallion as M
+from tally.plans import queries_aml
 from tally.plans.registry import register
 from tally.sources import bank
 
@@ -156,7 +157,7 @@ def batch_status_counts(spark, sf_dir):
             .agg(F.count(F.lit(1)).cast("long").alias("batches")))
 
 
-@register("foreign_key_audit", """
+@register("foreign_key_audit", queries_aml._FLAGS_SQL + """
 , tok AS (SELECT event_id AS id, user_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS replaced_by
           FROM events)
 SELECT 'accounts.owner_user_id' AS relation, CAST(count(*) AS BIGINT) AS rows_checked,
@@ -173,24 +174,33 @@ UNION ALL
 SELECT 'transfers.to_account_id', count(*),
        count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM accounts a WHERE a.id = t.to_account_id)) FROM transfers t
 UNION ALL
+SELECT 'suspicious_activities.user_id', count(*),
+       count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.id = f.user_id)) FROM flags f
+UNION ALL
+SELECT 'suspicious_activities.transfer_id', count(*),
+       count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM transfers t WHERE t.id = f.transfer_id)) FROM flags f
+UNION ALL
 SELECT 'refresh_tokens.user_id', count(*),
        count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.id = k.user_id)) FROM tok k
 UNION ALL
 SELECT 'refresh_tokens.replaced_by', count(*),
        count(*) FILTER (WHERE replaced_by IS NOT NULL
                         AND NOT EXISTS (SELECT 1 FROM tok k2 WHERE k2.id = k.replaced_by)) FROM tok k
-""".replace("\n, tok AS", ", tok AS", 1))
+""")
 def foreign_key_audit(spark, sf_dir):
     """Referential integrity of every foreign key (optional keys may be NULL)."""
     from tally.operators import rules as R
 
     acc, users = bank.accounts(spark, sf_dir), bank.users(spark, sf_dir)
     tok = bank.refresh_tokens(spark, sf_dir)
+    flags = queries_aml._flags(spark, sf_dir)
     checks = [
         ("accounts.owner_user_id", acc, R.referential_integrity("owner_user_id", users, "id", allow_null=True)),
         ("ledger_entries.account_id", bank.ledger_entries(spark, sf_dir), R.referential_integrity("account_id", acc, "id")),
         ("transfers.from_account_id", bank.transfers(spark, sf_dir), R.referential_integrity("from_account_id", acc, "id")),
         ("transfers.to_account_id", bank.transfers(spark, sf_dir), R.referential_integrity("to_account_id", acc, "id")),
+        ("suspicious_activities.user_id", flags, R.referential_integrity("user_id", users, "id")),
+        ("suspicious_activities.transfer_id", flags, R.referential_integrity("transfer_id", bank.transfers(spark, sf_dir), "id")),
         ("refresh_tokens.user_id", tok, R.referential_integrity("user_id", users, "id")),
         ("refresh_tokens.replaced_by", tok, R.referential_integrity("replaced_by", tok, "id", allow_null=True)),
     ]

@@ -4,9 +4,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tally.operators import gold, ledger
+from tally.operators import rules as R
 from tally.operators.dedup import duplicate_keys, latest_per_key
 from tally.plans import medallion as M
-from tally.plans.registry import register
+from tally.plans.registry import ORACLE, QUERIES, register
 from tally.sources import bank
 from tally.sources.testdata import table
 
@@ -470,3 +471,41 @@ SELECT id, account_number, status, currency, balance, account_type FROM accounts
 """)
 def account_summary(spark, sf_dir):
     return ledger.account_summary(bank.accounts(spark, sf_dir))
+
+
+@register("rule_result_counts", f"""
+SELECT table_name, CAST(count(*) AS BIGINT) AS rules, CAST(sum(CAST(NOT passed AS INTEGER)) AS BIGINT) AS rules_failed,
+       CAST(sum(rows_failed) AS BIGINT) AS rows_failed
+FROM ({ORACLE["dq_results"]}) GROUP BY table_name
+""", prelude=False)
+def rule_result_counts(spark, sf_dir):
+    """Per table, how many rule results were recorded and how many of them failed."""
+    return QUERIES["dq_results"](spark, sf_dir).groupBy("table_name").agg(
+        F.count("*").alias("rules"), F.count_if(~F.col("passed")).alias("rules_failed"), F.sum("rows_failed").alias("rows_failed"))
+
+
+@register("transfer_constraints", """
+, t AS (SELECT * FROM transfers UNION ALL
+        SELECT o_orderkey, NULL, o_custkey, o_custkey, CAST(-o_totalprice AS DECIMAL(19,4)), CAST(o_orderdate AS TIMESTAMP)
+        FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT rule_name, CAST(count(*) AS BIGINT) AS rows_checked, CAST(sum(CAST(failed AS INTEGER)) AS BIGINT) AS rows_failed
+FROM (SELECT unnest([
+    {'rule_name': 'not_null:id', 'failed': id IS NULL},
+    {'rule_name': 'not_null:idempotency_key', 'failed': idempotency_key IS NULL},
+    {'rule_name': 'distinct_accounts', 'failed': coalesce(from_account_id = to_account_id, FALSE)},
+    {'rule_name': 'positive:amount', 'failed': coalesce(NOT amount > 0, FALSE)}], recursive := true) FROM t)
+GROUP BY rule_name
+""")
+def transfer_constraints(spark, sf_dir):
+    """What the source's transfer table forbids, over the transfers and over corrupted rows that
+    urgent orders give (no key, the same account twice, a negative amount)."""
+    t = bank.transfers(spark, sf_dir)
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+    bad = o.filter("o_orderpriority = '1-URGENT'").select(
+        F.col("o_orderkey").alias("id"), F.lit(None).cast("string").alias("idempotency_key"), F.col("o_custkey").alias("from_account_id"),
+        F.col("o_custkey").alias("to_account_id"), (-F.col("o_totalprice")).cast("decimal(19,4)").alias("amount"),
+        F.col("o_orderdate").cast("timestamp_ntz").alias("created_at"))
+    both = t.select(*bad.columns).unionByName(bad)
+    evaluated = R.evaluate(both, [R.not_null("id"), R.not_null("idempotency_key"), R.distinct_columns("from_account_id", "to_account_id"),
+                                  R.positive("amount")], id_column="id")
+    return evaluated.counts().select("rule_name", "rows_checked", "rows_failed")

@@ -112,9 +112,11 @@ def token_status(spark, sf_dir):
 
 
 @register("token_family_audit", _TOKENS_SQL + """
-, chk AS (SELECT p.presentation_id, t.family_id, p.ts FROM pres p JOIN tokens t ON t.token_hash = sha256(p.raw_token)
-          WHERE t.revoked_at IS NOT NULL AND t.revoked_at < p.ts),
-fam AS (SELECT family_id, min(ts) AS first_reuse_at, count(*) AS reuse_count FROM chk GROUP BY family_id),
+, chk AS (SELECT p.presentation_id, t.family_id, t.created_at, p.ts, coalesce(t.revoked_at < p.ts, FALSE) AS spent
+        FROM pres p JOIN tokens t ON t.token_hash = sha256(p.raw_token)),
+caught AS (SELECT *, min(ts) FILTER (WHERE spent) OVER (PARTITION BY family_id) AS first_reuse_at FROM chk),
+fam AS (SELECT family_id, first_reuse_at, count(*) AS reuse_count FROM caught
+        WHERE spent OR (ts > first_reuse_at AND created_at <= first_reuse_at) GROUP BY ALL),
 live AS (SELECT f.family_id, count(*) AS n FROM fam f JOIN tokens t ON t.family_id = f.family_id
          WHERE t.created_at <= f.first_reuse_at AND (t.revoked_at IS NULL OR t.revoked_at > f.first_reuse_at)
            AND t.expires_at > f.first_reuse_at GROUP BY f.family_id)

@@ -2,14 +2,33 @@
 
 A full-table JDBC read is one task unless it is split: with a numeric
 ``partition_column`` the read is cut into ``num_partitions`` range queries
-(bounds from a cheap min/max query when not given), so a large source table
-is extracted in parallel.
+(bounds from a cheap min/max query when not given), with a UUID ``key_column``
+into as many key ranges, so a large source table is extracted in parallel.
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
+def key_ranges(column: str, parts: int) -> list[str]:
+    """Predicates that cut UUID keys (or lower-case hex strings) into ranges; each row, NULL
+    keys included, is in exactly one."""
+    bounds = [str(uuid.UUID(int=(i << 128) // parts)) for i in range(1, parts)]
+    if not bounds:
+        return ["1 = 1"]
+    inner = [f"{column} >= '{lo}' AND {column} < '{hi}'" for lo, hi in zip(bounds, bounds[1:])]
+    return [f"{column} < '{bounds[0]}' OR {column} IS NULL", *inner, f"{column} >= '{bounds[-1]}'"]
+
+
+def read_by_key(spark: SparkSession, url: str, table: str, key_column: str, num_partitions: int = 8,
+                properties: dict | None = None, fetch_size: int = 10_000) -> DataFrame:
+    """Parallel read of a table with UUID keys, a task per key range."""
+    return spark.read.jdbc(url, table, predicates=key_ranges(key_column, num_partitions),
+                           properties={"fetchsize": str(fetch_size), **(properties or {})})
+
+
 def read_table(spark: SparkSession, url: str, table: str, properties: dict | None = None,
                partition_column: str | None = None, num_partitions: int = 8,
                lower_bound: int | None = None, upper_bound: int | None = None, fetch_size: int = 10_000) -> DataFrame:

@@ -129,6 +129,21 @@ def read_snapshot(spark: SparkSession, root: str, layer: str, table: str, busine
     return spark.read.parquet(path).withColumn(DATE, F.lit(business_date))
 
 
+def create_once(spark: SparkSession, path: str) -> bool:
+    """Creates an empty file unless it is there; of several callers exactly one gets True
+    (on file systems whose create without overwrite is atomic, as HDFS)."""
+    from py4j.protocol import Py4JJavaError
+
+    fs, p = _fs(spark, path)
+    try:
+        fs.create(p, False).close()
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
 def append(df: DataFrame, root: str, layer: str, table: str) -> None:
     """Append-only event tables (audit log)."""
     df.write.mode("append").parquet(table_path(root, layer, table))

@@ -28,8 +28,9 @@ def _set_timeout(state: GroupState, ms: int) -> None:
 
 # ---------------------------------------------------------------- ST2: AML velocity + structuring
 
-AML_OUT = ("id long, from_account_id long, created_at timestamp_ntz, amount decimal(19,4), "
-           "velocity_count long, structuring_count long, velocity_flag boolean, structuring_flag boolean")
+AML_KEYS = ("id", "from_account_id", "created_at", "amount")  # of the types the transfers have
+AML_OUT = [("velocity_count", T.LongType()), ("structuring_count", T.LongType()), ("velocity_flag", T.BooleanType()),
+           ("structuring_flag", T.BooleanType())]
 AML_STATE = "ts array<long>, qual array<int>"
 
 
@@ -80,8 +81,9 @@ def aml_stream(transfers: DataFrame, velocity_count: int = aml.VELOCITY_COUNT, v
             "velocity_flag": vc >= velocity_count, "structuring_flag": sc >= structuring_count,
         })
 
+    out = T.StructType([*(transfers.schema[c] for c in AML_KEYS), *(T.StructField(n, t) for n, t in AML_OUT)])
     return src.groupBy("from_account_id").applyInPandasWithState(
-        fn, AML_OUT, AML_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        fn, out, AML_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---------------------------------------------------------------- ST3: replay / conflict per idempotency key

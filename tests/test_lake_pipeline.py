@@ -152,3 +152,25 @@ def test_daily_run_on_testdata_detects_quarantine_gap(spark, tmp_root):
     assert not rec["within_tolerance"] and rec["diff_amount"] > 0
     src_rows = led.filter(F.date_format("created_at", "yyyy-MM-dd") == day).count()
     assert rec["source_row_count"] == src_rows and rec["gold_row_count"] < src_rows
+
+
+def test_two_runs_cannot_both_start_a_slot(spark, tmp_root):
+    """Both read the log before either writes to it; one gets the marker, the other is refused."""
+    a, b = (daily_run.Run(spark, tmp_root, D, name) for name in ("a", "b"))
+    assert a.decision("bronze", "accounts")[0] == b.decision("bronze", "accounts")[0] == "PROCEED"
+    assert [a.claim("bronze", "accounts", 0), b.claim("bronze", "accounts", 0)] == [True, False]
+    assert b.claim("bronze", "transfers", 0)
+    with pytest.raises(daily_run.SlotRefused):
+        b.step("t", "bronze", "accounts", lambda batch: (0, 0))
+
+
+def test_audit_rows_tell_attempts_and_times(spark, tmp_root):
+    run = daily_run.Run(spark, tmp_root, D, "r", fail_at="t")
+    with pytest.raises(RuntimeError):
+        run.step("t", "bronze", "accounts", lambda batch: (0, 0))
+    run.fail_at = None
+    run.step("t", "bronze", "accounts", lambda batch: (3, 2))
+    ev = lake.read_events(spark, tmp_root, "audit", "batch_control").collect()
+    assert sorted((r["attempt"], r["status"]) for r in ev) == [(1, "FAILED"), (1, "RUNNING"), (2, "RUNNING"), (2, "SUCCESS")]
+    assert all((r["ended_at"] is None) == (r["status"] == "RUNNING") for r in ev)
+    assert all(r["ended_at"] >= r["started_at"] for r in ev if r["ended_at"])

@@ -1,5 +1,6 @@
 """Ledger, reconciliation, eligibility, replay and AML golden cases."""
 import datetime as dt
+import uuid
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -87,6 +88,17 @@ def test_eligibility_precedence_and_kyc(spark):
     }
 
 
+def test_posting_of_uuid_keys(spark):
+    """Keys as the source tables have them: entry ids are UUIDs that depend on transfer and leg only."""
+    ids = [str(uuid.uuid5(uuid.NAMESPACE_URL, str(i))) for i in range(4)]
+    t = spark.createDataFrame([(ids[0], ids[1], ids[2], Decimal(5), dt.datetime(2024, 1, 1))],
+                              "id string, from_account_id string, to_account_id string, amount decimal(19,4), created_at timestamp_ntz")
+    a, b = ([tuple(r) for r in ledger.post_transfers(t).orderBy("entry_type").collect()] for _ in range(2))
+    assert a == b and len({r[0] for r in a}) == 2 and all(str(uuid.UUID(r[0])) == r[0] for r in a)
+    assert {(r[1], r[2], r[3]) for r in a} == {(ids[0], ids[1], "DEBIT"), (ids[0], ids[2], "CREDIT")}
+    assert ledger.unbalanced_transactions(ledger.post_transfers(t)).count() == 0
+
+
 def test_a_rejected_request_does_not_own_its_key(spark):
     """Rejected then retried, rejected then changed, and a changed one after the transfer was saved."""
     at = lambda k: dt.datetime(2024, 1, 1, 0, 0, k)

@@ -2,6 +2,7 @@
 import json
 import os
 import tempfile
+import uuid
 from decimal import Decimal
 
 import pytest
@@ -26,6 +27,17 @@ def test_jdbc_partitioned_read(spark):
     assert jdbc.read_table(spark, url, "transfers", {"driver": DERBY}).count() == 100
 
 
+def test_jdbc_read_by_uuid_key(spark):
+    """Each row comes once, from the range of its key, NULL keys included."""
+    url = "jdbc:derby:memory:tallyuuid;create=true"
+    rows = [(str(uuid.uuid5(uuid.NAMESPACE_URL, str(i))), i) for i in range(200)] + [(None, 200)]
+    spark.createDataFrame(rows, "ID string, N long").write.format("jdbc").option("url", url).option("dbtable", "keyed") \
+        .option("driver", DERBY).option("createTableColumnTypes", "ID VARCHAR(36)").mode("overwrite").save()
+    got = jdbc.read_by_key(spark, url, "keyed", "ID", 5, {"driver": DERBY})
+    assert got.rdd.getNumPartitions() == 5 and sorted(r["N"] for r in got.collect()) == list(range(201))
+    assert jdbc.key_ranges("id", 1) == ["1 = 1"]
+
+
 def _write(text):
     d = tempfile.mkdtemp(prefix="tally-corpus-")
     p = os.path.join(d, "faq.json")
