@@ -13,17 +13,23 @@ a / 4 words of the smaller set can differ; it has more words than that (checked
 every document, k grows until it holds), so linked sets share the word of a block that
 is not empty, and equal words at equal places give all candidates (pigeonhole).
 
-Words shared by two classes give a pair; words shared by more give first the links to the
-smallest, which are verified and merged into components; only members of a word that are
-still in different components are then compared in pairs, inside tiles of bounded size,
-by a one-bit-per-shingle parity sketch whose Hamming distance is at most the symmetric
-difference too.  Every surviving pair is verified on the sets (64-bit shingle hashes).
-No pair is dropped and no link missed.
+Words shared by two classes give a pair; words shared by more give first the pairs with
+the class that shares most words of all (the text that the others were copied from, if
+there is one).  They are verified and merged into components; only members of a word that
+are still in different components are then compared in pairs, inside tiles of bounded
+size.  Before sets are read, pairs go through a parity sketch of two bits a shingle and
+more, whose Hamming distance is at most the symmetric difference too.  Every surviving
+pair is verified on the sets (64-bit shingle hashes).  No pair is dropped and no link
+missed.
+
+A class is named by the 128-bit hash of its set.  One pass over the texts gives, per
+document, its class, set size and bit sketch and, per class, the words of its blocks; the
+words are dealt by hash over tasks of bounded size, where equal words meet.
 
 Null and empty texts have an empty set and link with nothing.  Ids are integers; a row
-with a null id gets its set size, itself as a class of its own and a null component.
-Repeated rows with one id are one vertex.  An empty table gives an empty result; columns
-but the id and text are not read.
+with a null id is linked like others, but null is not the smallest id of a component (its
+component is null if no row in it has an id).  Repeated rows are rows of one class.  An
+empty table gives an empty result; columns but the id and text are not read.
 """
 from __future__ import annotations
 
@@ -35,13 +41,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import attach_groups, bounded_batches, salted, shuffle_partitions, written
+from tally.llm.common import attach_groups, bounded_batches, salted, same, shuffle_partitions, written
 from tally.llm.components import components
 
 WIDTH = 5
 BASE, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 MOST_WORDS = 300_000  # hashes a worker remembers
-KEYS_PER_TASK = 2_000_000
+LEAST_TASKS = 48  # in which words meet, so that rows of words do not grow faster than words from small inputs on
+BYTES_PER_TASK = 20_000_000  # of text whose block words one task compares (a word for ten bytes or so)
 TILE = 512
 TOP = 1 << 40  # no set is larger
 
@@ -93,7 +100,7 @@ def blocks(level: int, grown: dict[int, int]) -> int:
     most = int(BANDS[level + 1]) - 1  # size of the smaller set of a pair
     if most // 4 == 0:
         return 0
-    k = 4096 if most < 64 else int(1.1 * (most // 4 + 1) + most ** 0.5) + 8
+    k = 4096 if most < 64 else int(1.03 * (most // 4 + 1) + 0.6 * most ** 0.5) + 6
     return k << grown.get(level, 0)
 
 
@@ -107,8 +114,8 @@ def block_words(shingles: np.ndarray, level: int, k: int) -> np.ndarray:
 
 
 def parity_bits(shingles: np.ndarray) -> bytes:
-    """One bit toggled per shingle, in at least as many bits as shingles (a power of two, 64 or more)."""
-    bits = max(64, 1 << (len(shingles) - 1).bit_length())
+    """One bit toggled per shingle, in at least twice as many bits as shingles (a power of two, 64 or more)."""
+    bits = max(64, 1 << (2 * len(shingles) - 1).bit_length())
     plane = np.bincount((_mixed(shingles) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(plane.astype(np.uint8), bitorder="little").tobytes()
 
@@ -128,46 +135,21 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= 80 * (len(a) + len(b) - both)
 
 
-def _arrow(fn: Callable, schema: str):
-    """A mapInArrow function from one that maps the column lists of a batch to those of another."""
-    types = pa.schema([pa.field(n, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[t])
-                       for n, t in (f.split() for f in schema.split(", "))])
+TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+
+
+def _mapped(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """mapInArrow of a function that yields the column lists of batches."""
+    fields = pa.schema([pa.field(n, TYPES[t]) for n, t in (f.split() for f in schema.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in fn(batches):
             if len(columns[0]):
                 yield pa.RecordBatch.from_arrays(
-                    [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types.types, strict=True)],
-                    schema=types)
-
-    return run
-
-
-def _mapped(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(_arrow(fn, schema), schema)
+                    [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, fields.types, strict=True)],
+                    schema=fields)
 
-
-def _digests(grown: dict[int, int]) -> Callable:
-    def fn(batches):
-        known = _Hashes()
-        for batch in batches:
-            n, hi, lo, keys, short = [], [], [], [], []
-            for s in shingle_sets(batch.column(1).to_pylist(), known):
-                d = xxhash.xxh3_128_digest(s.tobytes())
-                n.append(len(s))
-                hi.append(int.from_bytes(d[:8], "little", signed=True))
-                lo.append(int.from_bytes(d[8:], "little", signed=True))
-                count, level = 0, -1
-                for at in _levels(len(s)):
-                    found = len(block_words(s, at, blocks(at, grown)))
-                    count += found
-                    if at == band(len(s)) and found <= len(s) // 4:
-                        level = at
-                keys.append(count)
-                short.append(level)
-            yield [batch.column(0), n, hi, lo, keys, short]
-
-    return fn
+    return df.mapInArrow(run, schema)
 
 
 def _levels(n: int) -> list[int]:
@@ -175,42 +157,71 @@ def _levels(n: int) -> list[int]:
     return [at for at in (band(n), band(n) - 1) if at >= 0 and blocks(at, {})] if n else []
 
 
-def _keys(grown: dict[int, int], tasks: int) -> Callable:
+# kind 0: a document (id, its class a, n, bits, the level in which it has too few words or -1);
+# kind 1: block words of class a; after they met, 1: classes a and b share a word, 2: class b has
+# the word, as do at least two others
+ROW = "part int, kind int, id long, a binary, n long, bits binary, short int, words binary"
+MET = "kind int, id long, a binary, b binary, n long, bits binary, short int, word long"
+
+
+def _documents_and_words(grown: dict[int, int], tasks: int) -> Callable:
     def fn(batches):
-        known = _Hashes()
+        known, count = _Hashes(), 0
         for batch in batches:
-            part, owner, held = [], [], []
+            out: list[tuple] = []
+            sent: set[bytes] = set()
             for v, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), known), strict=True):
-                levels = _levels(len(s))
-                if not levels:
+                name, levels, short, words = xxhash.xxh3_128_digest(s.tobytes()), _levels(len(s)), -1, []
+                for at in levels:
+                    words.append(block_words(s, at, blocks(at, grown)))
+                    if at == band(len(s)) and len(words[-1]) <= len(s) // 4:
+                        short = at
+                out.append((count % tasks, 0, v, name, len(s), parity_bits(s), short, None))
+                count += 1
+                if not words or name in sent:
                     continue
-                words = np.concatenate([block_words(s, at, blocks(at, grown)) for at in levels])
+                sent.add(name)
+                words = np.concatenate(words)
                 to = (words % np.uint64(tasks)).astype(np.int32)
                 order = np.argsort(to, kind="stable")
                 words, to = words[order], to[order]
                 cuts = np.flatnonzero(np.diff(to, prepend=-1))
-                for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(to)], strict=True):
-                    part.append(int(to[a]))
-                    owner.append(v)
-                    held.append(words[a:b].tobytes())
-            yield [part, owner, held]
+                raw, ends = words.tobytes(), [*(8 * cuts[1:]).tolist(), 8 * len(to)]
+                out += [(p, 1, None, name, None, None, None, raw[x:y])
+                        for p, x, y in zip(to[cuts].tolist(), (8 * cuts).tolist(), ends, strict=True)]
+            if out:
+                yield list(zip(*out, strict=True))
 
     return fn
 
 
-def _shared_words(batches):
-    """(word, smallest, member) per pair of a word: words of two classes once per pair
-    (word 0), words of more with every member."""
-    owner, held = [], []
+def _classes_of(names: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The sorted distinct names, and the place of each given one."""
+    distinct = sorted(set(names))
+    place = {x: i for i, x in enumerate(distinct)}
+    return distinct, np.fromiter(map(place.__getitem__, names), np.int64, len(names))
+
+
+def _meet(batches):
+    """Documents as they are, and the words of one task that more than one class has."""
+    owner, size, held = [], [], []
     for batch in batches:
-        raw = batch.column(2)
-        sizes = np.diff(np.frombuffer(raw.buffers()[1], np.int32)[raw.offset:raw.offset + len(raw) + 1]) // 8
-        owner.append(np.repeat(batch.column(1).to_numpy(), sizes))
-        held.append(np.frombuffer(b"".join(raw.to_pylist()), "<u8"))
-    if not held:
+        kind = batch.column("kind").to_numpy()
+        docs = batch.filter(pa.array(kind == 0))
+        if docs.num_rows:
+            none = [None] * docs.num_rows
+            yield [docs.column("kind"), docs.column("id"), docs.column("a"), none, docs.column("n"), docs.column("bits"), docs.column("short"), none]
+        rest = batch.filter(pa.array(kind == 1))
+        raw = rest.column("words").to_pylist()
+        owner += rest.column("a").to_pylist()
+        size += [len(x) // 8 for x in raw]
+        held.append(b"".join(raw))
+    if not owner:
         return
-    key, who = np.concatenate(held), np.concatenate(owner)
-    del held, owner
+    names, who = _classes_of(owner)
+    who = np.repeat(who, size)
+    key = np.frombuffer(b"".join(held), "<u8")
+    del owner, held
     order = np.lexsort((who, key))
     key, who = key[order], who[order]
     keep = np.ones(len(key), bool)
@@ -219,88 +230,127 @@ def _shared_words(batches):
     starts = np.flatnonzero(np.diff(key, prepend=~key[0]))
     sizes = np.diff(starts, append=len(key))
     two = starts[sizes == 2]
-    pairs = np.unique(np.stack([who[two], who[two + 1]]), axis=1)
-    yield [np.zeros(pairs.shape[1], np.int64), pairs[0], pairs[1]]
+    pairs = np.unique(who[two] * len(names) + who[two + 1])
+    yield _met(1, [names[i] for i in (pairs // len(names)).tolist()], [names[i] for i in (pairs % len(names)).tolist()], [None] * len(pairs))
     many, sizes = starts[sizes > 2], sizes[sizes > 2]
     at = np.repeat(many, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    for a in range(0, len(at), 100_000):
-        piece = at[a:a + 100_000]
-        yield [key[piece].view(np.int64) | 1, np.repeat(who[many], sizes)[a:a + 100_000], who[piece]]
+    for x in range(0, len(at), 50_000):
+        piece = at[x:x + 50_000]
+        yield _met(2, [None] * len(piece), [names[i] for i in who[piece].tolist()], key[piece].view(np.int64))
+
+
+def _met(kind: int, a: list, b: list, word) -> list:
+    none = [None] * len(a)
+    return [[kind] * len(a), none, a, b, none, none, none, word]
 
 
 def _sets(batches):
-    known = _Hashes()
+    """Class and set of each text, once per task."""
+    known, sent = _Hashes(), set()
     for batch in batches:
-        found = list(shingle_sets(batch.column(1).to_pylist(), known))
-        yield [batch.column(0), [len(s) for s in found], [s.tobytes() for s in found], [parity_bits(s) for s in found]]
+        names, sets = [], []
+        for s in shingle_sets(batch.column(0).to_pylist(), known):
+            raw = s.tobytes()
+            name = xxhash.xxh3_128_digest(raw)
+            if name not in sent:
+                sent.add(name)
+                names.append(name)
+                sets.append(raw)
+        yield [names, sets]
 
 
 def _verify(batches):
     for batch in batches:
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        sets = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-        yes = [linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in sets]
-        yield [[x for x, ok in zip(a, yes, strict=True) if ok], [x for x, ok in zip(b, yes, strict=True) if ok]]
+        a, b, sa, sb = (batch.column(i).to_pylist() for i in range(4))
+        yes = [i for i in range(len(a)) if linked(np.frombuffer(sa[i], "<u8"), np.frombuffer(sb[i], "<u8"))]
+        yield [[a[i] for i in yes], [b[i] for i in yes]]
 
 
-def _tile_pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+def _near(n: int, m: int, far: int) -> bool:
+    return 5 * min(n, m) >= 4 * max(n, m) and 9 * far <= n + m
+
+
+def _sketches_near(batches):
+    for batch in batches:
+        a, b, na, nb, sa, sb = (batch.column(i).to_pylist() for i in range(6))
+        yes = []
+        for i in range(len(a)):
+            words = min(len(sa[i]), len(sb[i])) // 8
+            far = int(np.bitwise_count(folded(sa[i], words) ^ folded(sb[i], words)).sum())
+            if _near(na[i], nb[i], far):
+                yes.append(i)
+        yield [[a[i] for i in yes], [b[i] for i in yes]]
+
+
+def _tile_pairs(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
     """Pairs of one tile that sizes, components and sketches allow."""
-    key, low, high = rows[0][:3]
-    who, label, n, side = (np.array([r[i] for r in rows], np.int64) for i in (3, 4, 5, 6))
+    low, high = rows[0][1:3]
+    _, label = _classes_of([r[4] for r in rows])
+    n, side = (np.array([r[i] for r in rows], np.int64) for i in (5, 6))
     words = min(len(r[7]) for r in rows) // 8
     sketch = np.stack([folded(r[7], words) for r in rows])
     out = []
     for i in np.flatnonzero(side == low).tolist():
         other = np.flatnonzero((label != label[i]) & (5 * np.minimum(n, n[i]) >= 4 * np.maximum(n, n[i]))
-                               & ((side == high) if low != high else (np.arange(len(who)) > i)))
+                               & ((side == high) if low != high else (np.arange(len(rows)) > i)))
         far = np.bitwise_count(sketch[other] ^ sketch[i]).sum(axis=1)
-        other = other[far * 9 <= n[other] + n[i]]
-        out.append(np.stack([np.minimum(who[other], who[i]), np.maximum(who[other], who[i])]))
-    return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        out += [(min(rows[i][3], rows[k][3]), max(rows[i][3], rows[k][3])) for k in other[far * 9 <= n[other] + n[i]].tolist()]
+    return out
 
 
 def _tiles(batches):
     held: list[tuple] = []
     for batch in batches:
-        found = []
+        found: set[tuple[bytes, bytes]] = set()
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if held and row[:3] != held[0][:3]:
-                found.append(_tile_pairs(held))
+                found.update(_tile_pairs(held))
                 held = []
             held.append(row)
         if found:
-            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield [pairs[0], pairs[1]]
-    if held:
-        pairs = np.unique(_tile_pairs(held), axis=1)
-        yield [pairs[0], pairs[1]]
+            yield list(zip(*sorted(found), strict=True))
+    if held and (found := set(_tile_pairs(held))):
+        yield list(zip(*sorted(found), strict=True))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link.  A class with very many partners is spread by salt."""
+def _both_sides(pairs: DataFrame, facts: DataFrame, *columns: str) -> DataFrame:
+    """Pairs (a, b) with the facts (v, columns) of both.  A class with very many partners is spread by salt."""
     pairs = salted(pairs.select("a", "b"), "b")
-    left = pairs.select("a", "_salt").distinct().join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-    full = (pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-            .join(left, ["a", "_salt"]).select("a", "b", "sa", "sb"))
-    return _mapped(full, _verify, "v long, u long")
+    of = lambda side: facts.select(F.col("v").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+    left = pairs.select("a", "_salt").distinct().join(of("a"), "a")
+    full = pairs.join(of("b"), "b").join(left, ["a", "_salt"])
+    return full.select("a", "b", *[f"{c}_{side}" for c in columns for side in "ab"])
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets link, as (v, u)."""
+    pairs = written(pairs, "join-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    wanted = written(wanted.join(classes.select("v", "id"), "v").select("id").distinct(), "join-wanted")
+    sets = written(_mapped(same(texts, wanted, ["id"], "left_semi").select("text"), _sets, "v binary, shingles binary"), "join-sets")
+    return written(_mapped(_both_sides(pairs, sets, "shingles"), _verify, "v binary, u binary"), "join-links")
+
+
+def _with_most_shared(shared: DataFrame) -> DataFrame:
+    """Per word, the pairs of each class with the one that shares most words."""
+    rows = shared.join(shared.groupBy("v").agg(F.count("*").alias("n")), "v")
+    rows = attach_groups(salted(rows, "v"), ["word"], {"most": F.max(F.struct("n", "v"))}, {"most": F.max("most")})
+    return rows.select(F.least("v", "most.v").alias("a"), F.greatest("v", "most.v").alias("b")).filter("a <> b")
 
 
-def _left_to_compare(shared: DataFrame, labels: DataFrame, sets: DataFrame, tasks: int) -> DataFrame:
+def _left_to_compare(shared: DataFrame, labels: DataFrame, classes: DataFrame, tasks: int) -> DataFrame:
     """Pairs of classes that share a word with others but not yet a component."""
-    rows = (shared.filter("word <> 0").select("word", F.col("b").alias("id"))
-            .join(labels.select(F.col("v").alias("id"), "component"), "id", "left")
-            .select("word", "id", F.coalesce("component", "id").alias("label")))
-    rows = attach_groups(salted(rows, "id"), ["word"],
+    rows = shared.join(labels, "v", "left").select("word", "v", F.coalesce("component", "v").alias("label"))
+    rows = attach_groups(salted(rows, "v"), ["word"],
                          {"first": F.min("label"), "last": F.max("label"), "size": F.count("*")},
                          {"first": F.min("first"), "last": F.max("last"), "size": F.sum("size")})
     rows = rows.filter("first <> last").withColumn("parts", F.ceil(F.col("size") / TILE).cast("int"))
-    rows = rows.withColumn("side", F.pmod(F.xxhash64("id", F.lit(7)), "parts").cast("int"))
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("v", F.lit(7)), "parts").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.join(sets.select("id", "n", "bits"), "id").select(
-        "word", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"),
-        "id", "label", "n", "side", "bits")
+    rows = rows.join(classes.select("v", "n", "bits"), "v").select(
+        "word", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "v", "label", "n", "side", "bits")
     rows = rows.repartition(tasks, "word", "low", "high").sortWithinPartitions("word", "low", "high")
-    return _mapped(rows, _tiles, "a long, b long").distinct()
+    return _mapped(rows, _tiles, "a binary, b binary").distinct()
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,39 +358,35 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(LEAST_TASKS, shuffle_partitions(spark), -(-size // BYTES_PER_TASK))
 
     grown: dict[int, int] = {}
     while True:
-        rows = written(_mapped(texts, _digests(grown), "id long, n long, hi long, lo long, words long, short int"), "join-sets")
+        dealt = _mapped(texts, _documents_and_words(grown, tasks), ROW).repartitionById(tasks, "part")
+        met = written(_mapped(dealt, _meet, MET), "join-met")
+        rows = met.filter("kind = 0").select("id", F.col("a").alias("v"), "n", "bits", "short")
         short = [r[0] for r in rows.filter("short >= 0").select("short").distinct().collect()]  # at most one per band
         if not short:
             break
         grown.update({level: grown.get(level, 0) + 1 for level in short})
 
-    classed = rows.filter("id is not null and n > 0").groupBy("n", "hi", "lo").agg(
-        F.min("id").alias("id"), F.max("words").alias("words"))
-    classed = written(classed.filter("words > 0").select("id", "words"), "join-classes")
-    total = classed.agg(F.sum("words")).first()[0] or 0
-    tasks = max(shuffle_partitions(spark), -(-total // KEYS_PER_TASK))
-
-    whole = texts.join(classed.select("id").distinct(), "id", "left_semi")
-    keys = _mapped(whole, _keys(grown, tasks), "part int, id long, words binary")
-    shared = written(_mapped(keys.repartitionById(tasks, "part"), _shared_words, "word long, a long, b long"), "join-words")
-    pairs = shared.filter("a <> b").select("a", "b").distinct()
-    members = shared.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = written(_mapped(texts.join(members, "id", "left_semi"), _sets, "id long, n long, shingles binary, bits binary"), "join-members")
-
-    links = written(_verified(pairs, sets), "join-links")
-    labels = components(links)
-    rest = _verified(_left_to_compare(shared, labels, sets, tasks), sets)
-    labels = components(labels.select("v", F.col("component").alias("u")).unionByName(rest))
-
-    def labelled(classes: DataFrame) -> DataFrame:
-        return classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select(
-            "n", "hi", "lo", F.coalesce("component", "rep").alias("component"))
-
-    named = rows.filter("id is not null and n > 0").select("id", "n", "hi", "lo")
-    named = attach_groups(salted(named, "id"), ["n", "hi", "lo"], {"rep": F.min("id")}, {"rep": F.min("rep")}, labelled)
-    alone = rows.filter("id is null or n = 0").select("id", "n", F.col("id").alias("component"))
-    return named.select("id", "n", "component").unionByName(alone).select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    classes = written(rows.filter("n > 0").groupBy("v").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")),
+                      "join-classes")
+    shared = met.filter("kind = 2").select("word", F.col("b").alias("v"))
+    pairs = met.filter("kind = 1").select("a", "b").unionByName(_with_most_shared(shared)).distinct()
+    pairs = _mapped(_both_sides(pairs, classes, "n", "bits"), _sketches_near, "a binary, b binary")
+
+    labels = written(components(_verified(pairs, classes, texts)), "join-labels")
+    rest = _verified(_left_to_compare(shared, labels, classes, tasks), classes, texts)
+    if not rest.isEmpty():
+        labels = components(labels.select("v", F.col("component").alias("u")).unionByName(rest))
+
+    named = classes.select("v", "id").join(labels, "v", "left").select("v", "id", F.coalesce("component", "v").alias("component"))
+    least = {"least": F.min("id")}
+    named = attach_groups(salted(named, "v"), ["component"], least, {"least": F.min("least")}).select("v", F.col("least").alias("component_id"))
+    full = attach_groups(salted(rows.filter("n > 0").select("id", "v", "n"), "id"), ["v"], {"rows": F.count("*")}, {"rows": F.sum("rows")},
+                         lambda keys: keys.join(named, "v"))
+    alone = rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
+    return full.select("id", "n", "component_id").unionByName(alone).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
