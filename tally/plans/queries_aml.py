@@ -196,26 +196,34 @@ def duplicate_idempotency_key(spark, sf_dir):
 
 
 @register("orphan_entries", """
-SELECT le.id, le.account_id
-FROM ledger_entries le LEFT JOIN (SELECT * FROM silver_accounts) a ON a.id = le.account_id
-WHERE a.id IS NULL
+, booked AS (SELECT id, account_id FROM ledger_entries
+             UNION ALL SELECT -id, account_id + 1000000000 FROM ledger_entries WHERE amount > 400000)
+SELECT id, account_id FROM booked WHERE account_id NOT IN (SELECT id FROM accounts)
 """)
 def orphan_entries(spark, sf_dir):
-    from tally.plans.queries_ledger import _silver
-
-    known = _silver(spark, sf_dir)["accounts"].clean.select(F.col("id").alias("_aid"))
-    le = bank.ledger_entries(spark, sf_dir)
-    return le.join(known, le.account_id == known._aid, "left_anti").select("id", "account_id")
+    """Entries without a source account, over the ledger and over copies of its large entries
+    that name accounts nobody has."""
+    le = bank.ledger_entries(spark, sf_dir).select("id", "account_id", "amount")
+    lost = le.filter(F.col("amount") > 400000).select((-F.col("id")).alias("id"), (F.col("account_id") + 1_000_000_000).alias("account_id"))
+    booked = le.select("id", "account_id").unionByName(lost)
+    known = bank.accounts(spark, sf_dir).select(F.col("id").alias("_aid"))
+    return booked.join(known, booked.account_id == known._aid, "left_anti")
 
 
 @register("silver_duplicate_account_ids", """
+, landed AS (SELECT business_date, id FROM silver_accounts
+             UNION ALL SELECT business_date, id FROM silver_accounts WHERE account_type = 'SYSTEM' OR balance > 5000)
 SELECT business_date, id, CAST(count(*) AS BIGINT) AS occurrences
-FROM silver_accounts GROUP BY business_date, id HAVING count(*) > 1
+FROM landed GROUP BY business_date, id HAVING count(*) > 1
 """)
 def silver_duplicate_account_ids(spark, sf_dir):
+    """Accounts that stand twice on a date: Silver itself has none, so clearing accounts and
+    those with large balances are landed a second time."""
     from tally.plans.queries_ledger import _silver
 
-    return duplicate_keys(_silver(spark, sf_dir)["accounts"].clean, ["business_date", "id"])
+    silver = _silver(spark, sf_dir)["accounts"].clean.select("business_date", "id", "account_type", "balance")
+    again = silver.filter((F.col("account_type") == "SYSTEM") | (F.col("balance") > 5000))
+    return duplicate_keys(silver.unionByName(again), ["business_date", "id"])
 
 
 @register("row_count_parity", """
