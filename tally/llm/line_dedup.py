@@ -107,7 +107,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     keys = ["hi", "lo", "lines"]
     rows = written(docs.mapInArrow(_chunk_rows, schema), "line-chunks")
     many = written(_firsts(rows, keys).filter("size > 1"), "line-repeats")
-    wanted = many.groupBy("id").agg(F.collect_set("first").alias("wanted"))  # chunks of one document
+    # chunks of one document; as many documents as the corpus has repeats, so always a shuffled join
+    wanted = many.groupBy("id").agg(F.collect_set("first").alias("wanted")).hint("merge")
     schema = T.StructType([T.StructField("id", kind), T.StructField("first", T.LongType()), T.StructField("lines", T.LongType()),
                            T.StructField("raw", T.BinaryType())])
     texts = same(docs, wanted, ["id"], "inner").select("id", "text", "wanted").mapInArrow(_chunk_bytes, schema)
@@ -129,7 +130,7 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     spans = repeated_chunks(rows).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("first", "lines"))).alias("spans"))
-    full = same(rows, spans, ["id"], "left").select("id", "text", "spans")
+    full = same(rows, spans.hint("merge"), ["id"], "left").select("id", "text", "spans")
     schema = T.StructType([full.schema["id"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()),
                            T.StructField("n_removed", T.LongType()), T.StructField("removed", full.schema["spans"].dataType)])
 
