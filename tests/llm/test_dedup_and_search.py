@@ -177,3 +177,33 @@ def test_remove_repeated_lines(spark):
     got = {x.doc_id: x.text for x in remove_repeated_lines(frame(spark, rows)).collect()}
     assert got == want
     assert got[0] == rows[0][1] and len(got[5]) < len(rows[5][1]) and remove_repeated_lines(frame(spark, [])).count() == 0
+
+
+def test_every_repeated_run_of_lines_goes(spark):
+    """Against all runs of two and more lines, whatever stands around them; single repeated lines stay."""
+    r = random.Random(9)
+    short = [[f"run {k} {i}" for i in range(n)] for k, n in enumerate([2, 2, 3, 4, 6, 9])]
+    short[2].insert(1, "")
+    rows = []
+    for d in range(40):
+        lines = []
+        for _ in range(r.randrange(1, 4)):
+            lines += [r.choice(["alone", f"own {d} {r.random()}", ""]) for _ in range(r.randrange(4))] + r.choice(short)
+        rows.append((d, "\n".join(lines + ["echo"] * r.randrange(6))))
+    rows.append((None, rows[3][1]))
+    texts = [t.split("\n") for _, t in rows]
+    first, want = {}, []
+    for k, t in enumerate(texts):
+        gone = set()
+        for n in range(2, len(t) + 1):
+            for at in range(len(t) - n + 1):
+                run = tuple(t[at:at + n])
+                if run[0].strip() and run[-1].strip():
+                    at_doc, at_line = first.setdefault(run, (k, at))
+                    if at_doc != k or at >= at_line + n:
+                        gone |= set(range(at, at + n))
+        want.append((rows[k][0], "\n".join(x for i, x in enumerate(t) if i not in gone), len(gone)))
+    got = remove_repeated_lines(frame(spark, rows)).collect()
+    assert sorted([(x.doc_id, x.text, x.n_removed) for x in got], key=str) == sorted(want, key=str)
+    assert all(sum(s["lines"] for s in x.removed or []) == x.n_removed for x in got)
+    assert any("alone" in t for _, t, _ in want[20:])
