@@ -5,9 +5,14 @@ pages a subtree occurs; subtrees on many pages of a host are its template and ar
 then the main text of what is left is taken: the article without menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, markup and reader comments.
 
-Inside an article (or main) element the prose itself is never template: a paragraph that
-many pages share there is text, and a container is deleted only if it is a small part of
-the article.  On pages without such an element every element below body may be template.
+How many pages make a template depends on what it could be else.  A box without paragraphs
+is one on 3 pages, however large the host: variants of a menu are templates each.  Prose
+(paragraphs, and containers of them) may be quoted by a few pages; it is template on
+``MANY`` pages, slowly more on larger hosts, and outside articles also on a tenth of the
+host's pages.  Inside an article list items, cells, headings and words in a line are never
+template of their own.  Prose stays where little else would be left of the page's text, as
+on pages that are copies of each other.  Articles (or main) that hold a small part of what
+is left are teasers, and the text is read beside them.
 
 A null page is empty; broken markup is read as browsers read it as far as open and close
 tags go; a url without a host shares one empty host.  Repeated rows are rows of their own,
@@ -30,8 +35,12 @@ from pyspark.sql import types as T
 from tally.llm.common import attach_groups, bounded_batches, salted, same, written
 
 LEAST_PAGES = 3  # pages of a host that a template subtree is on, at least
-SHARE = 0.1  # and at least this share of the host's pages
-SMALL_PART = 0.3  # of an article's text, that a template container inside it may hold
+SHARE = 0.1  # of the host's pages, on which prose outside articles is template
+MANY = 10  # pages that template prose is on, at least, and
+MANY_GROWS = 2.0  # so many for each doubling of the host
+SMALL_PART = 0.3  # of an article's text, that a box inside it may hold, and of a page's, that its articles hold at least
+REST = 0.2  # of the main text, that is left when template prose goes
+BOX, EITHER, QUOTED, PART = range(4)  # kinds of subtrees: the pages that make them template, see templates()
 WORDS = r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])"
 
 # Element kinds of HTML.
@@ -44,6 +53,9 @@ HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 NEVER = set("script style noscript template iframe object embed svg math canvas audio video head title nav footer aside form "
             "button select textarea input label option datalist dialog menu search map".split())
 PROSE = HEADINGS | set("p blockquote pre li dd dt td th figcaption em strong b i a span code q cite abbr time u s small sub sup mark br".split())
+QUOTABLE = set("p blockquote pre".split())
+ITEMS = HEADINGS | set("li dd dt td th figcaption".split())
+LINE = PROSE - QUOTABLE - ITEMS
 # Words in a class, id or role that mark what is no main text.
 MARKS = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent "
             "gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup paywall comment "
@@ -124,9 +136,14 @@ class Tree(HTMLParser):
         names = re.split(WORDS, f"{a.get('class') or ''} {a.get('id') or ''} {a.get('role') or ''}")
         return any(x.lower() in MARKS for x in names)
 
-    def landmarks(self) -> list[int]:
-        """The outermost article elements that are not marked, or else main elements."""
-        dead = self.dead()
+    def landmarks(self, gone: set[int] = frozenset()) -> list[int]:
+        """The outermost article elements that are not marked or gone, or else main elements;
+        none if they hold a small part of the text that is not marked or gone."""
+        dead = self.dead(gone)
+        size = [0] * len(self.tag)
+        for n in range(len(self.tag) - 1, -1, -1):
+            if not dead[n]:
+                size[n] += sum(len("".join(c.split())) if isinstance(c, str) else size[c] for c in self.children[n])
         for tags in ({"article"}, {"main"}):
             found, inside = [], [False] * len(self.tag)
             for n in range(1, len(self.tag)):
@@ -134,14 +151,14 @@ class Tree(HTMLParser):
                 inside[n] = inside[up] or (up > 0 and self.tag[up] in tags)
                 if (self.tag[n] in tags or tags == {"main"} and self.attrs[n].get("role") == "main") and not inside[n] and not dead[n]:
                     found.append(n)
-            if found:
+            if found and sum(size[n] for n in found) >= SMALL_PART * size[0]:
                 return found
         return []
 
-    def dead(self) -> list[bool]:
+    def dead(self, gone: set[int] = frozenset()) -> list[bool]:
         out = [False] * len(self.tag)
         for n in range(1, len(self.tag)):
-            out[n] = out[self.parent[n]] or self.marked(n)
+            out[n] = out[self.parent[n]] or n in gone or self.marked(n)
         return out
 
     def subtrees(self) -> tuple[list[int], list[int]]:
@@ -159,25 +176,48 @@ class Tree(HTMLParser):
             hashes[n] = h.intdigest()
         return hashes, size
 
-    def candidates(self) -> dict[int, int]:
-        """Elements that may be template, with their hash (signed)."""
+    def candidates(self) -> dict[int, tuple[int, int]]:
+        """Elements that may be template, with their hash (signed) and kind."""
         hashes, size = self.subtrees()
-        within, prose = [0] * len(self.tag), set(self.landmarks())
+        within, article = [0] * len(self.tag), set(self.landmarks())
+        line = [False] * len(self.tag)  # inside a block of prose
+        prose = [t in QUOTABLE for t in self.tag]  # is or holds one
+        for n in range(len(self.tag) - 1, 0, -1):
+            prose[self.parent[n]] |= prose[n]
         out = {}
         for n in range(1, len(self.tag)):
-            up = self.parent[n]
-            within[n] = n if n in prose else within[up]
-            if not size[n] or self.tag[n] in ("html", "head", "body", "article", "main"):
+            up, tag = self.parent[n], self.tag[n]
+            within[n] = n if n in article else within[up]
+            line[n] = line[up] or self.tag[up] in QUOTABLE | ITEMS
+            if not size[n] or tag in ("html", "head", "body", "article", "main"):
                 continue
-            if within[n] and (self.tag[n] in PROSE or size[n] > SMALL_PART * size[within[n]]):
+            if tag in ITEMS | LINE and (within[n] or tag in LINE and line[n]):
                 continue
-            out[n] = hashes[n] - (1 << 64) if hashes[n] >> 63 else hashes[n]
+            small = not within[n] or tag not in QUOTABLE and size[n] <= SMALL_PART * size[within[n]]
+            kind = PART if tag in ITEMS else QUOTED if not small else EITHER if prose[n] else BOX
+            out[n] = (hashes[n] - (1 << 64) if hashes[n] >> 63 else hashes[n], kind)
         return out
 
+    def kinds(self) -> list[tuple[int, int]]:
+        """(hash, kind) of the subtrees that may be template; of several kinds the one that asks for most pages."""
+        out: dict[int, int] = {}
+        for h, kind in self.candidates().values():
+            out[h] = max(kind, out.get(h, kind))
+        return sorted(out.items())
+
     def text(self, template: set[int]) -> str:
-        """The main text, in which elements with these hashes are deleted."""
-        gone = {n for n, h in self.candidates().items() if h in template} if template else set()
-        roots = self.landmarks() or [0]
+        """The main text without the elements of these hashes; their prose stays if little else is left."""
+        found = {n: kind for n, (h, kind) in self.candidates().items() if h in template} if template else {}
+        text = self._read(set(found))
+        prose = {n for n, kind in found.items() if kind in (EITHER, QUOTED)}
+        if prose:
+            whole = self._read(set(found) - prose)
+            if len(text) < REST * len(whole):
+                return whole
+        return text
+
+    def _read(self, gone: set[int]) -> str:
+        roots = self.landmarks(gone) or [0]
         blocks: list[str] = []
         line: list[str] = []
 
@@ -225,20 +265,31 @@ def host(url: str | None) -> str:
 def _candidate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hosts = [host(u) for u in batch.column(1).to_pylist()]
-        hashes = [sorted(set(Tree(h).candidates().values())) if h else [] for h in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hosts, pa.string()), pa.array(hashes, pa.list_(pa.int64()))],
-                                         names=["page", "host", "hashes"])
+        pairs = [Tree(h).kinds() if h else [] for h in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([xxhash.xxh3_64_intdigest(h.encode("utf-8", "surrogatepass")) >> 1 for h in hosts], pa.int64()),
+             pa.array([[h for h, _ in p] for p in pairs], pa.list_(pa.int64())), pa.array([[k for _, k in p] for p in pairs], pa.list_(pa.int8()))],
+            names=["page", "host", "hashes", "kinds"])
 
 
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
     """(page, hash) of the template subtrees on each page; rows (page, url, html) with one page number are one page."""
-    rows = pages.mapInArrow(_candidate_rows, "page long, host string, hashes array<long>")
-    rows = written(rows, "html-subtrees").groupBy("page", "host").agg(F.first("hashes").alias("hashes"))
-    count = {"pages": F.count("*")}
-    rows = attach_groups(salted(rows, "page"), ["host"], count, {"pages": F.sum("pages")})
-    each = rows.select("page", "host", "pages", "_salt", F.explode("hashes").alias("hash"))
-    each = attach_groups(each, ["host", "hash"], {"n": F.count("*")}, {"on": F.sum("n")})
-    return each.filter((F.col("on") >= least_pages) & (F.col("on") >= F.col("pages") * share)).select("page", "hash")
+    rows = pages.mapInArrow(_candidate_rows, "page long, host long, hashes array<long>, kinds array<byte>")
+    rows = written(rows, "html-subtrees")
+    # equal pages once; the lists stay out of the count of a host's pages
+    one = rows.groupBy("page", "host").agg(F.first(F.arrays_zip("hashes", "kinds")).alias("found"))
+    hosts = rows.select("page", "host").distinct()
+    hosts = attach_groups(salted(hosts, "page"), ["host"], {"pages": F.count("*")}, {"pages": F.sum("pages")}).drop("_salt")
+    one = one.join(hosts, ["page", "host"])
+    # a subtree of a host is one number, so that rows to count are short
+    each = one.select(
+        "page", "host", F.col("pages").cast("int").alias("pages"), F.explode("found").alias("x")).select(
+        "page", "pages", F.xxhash64("host", "x.hashes").alias("key"), F.col("x.hashes").alias("hash"), F.col("x.kinds").alias("kind"))
+    each = attach_groups(salted(each, "page"), ["key"], {"n": F.count("*")}, {"on": F.sum("n")}, lambda groups: groups.filter(F.col("on") >= least_pages))
+    many = F.greatest(F.lit(float(MANY)), F.log2("pages") * MANY_GROWS)
+    tenth = F.col("pages") * share
+    enough = F.when(F.col("kind") == BOX, F.lit(0.0)).when(F.col("kind") == EITHER, F.least(many, tenth)).when(F.col("kind") == PART, tenth).otherwise(many)
+    return each.filter(F.col("on") >= enough).select("page", "hash")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",

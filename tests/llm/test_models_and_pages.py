@@ -110,6 +110,30 @@ def test_site_templates_are_removed(spark):
     assert main_text(pages.limit(0)).count() == 0
 
 
+def test_menu_variants_of_a_large_host_go(spark):
+    """50 unmarked menus on a host of 2000 pages, none on a tenth of them; and a box shared by two pages stays."""
+    rows = [(i, "http://big.example/%d" % i, f"<body><div><a>Home {i % 50}</a><a>About</a></div><div><p>own <b>text</b> of page {i}</p></div>"
+             + "<div>pair</div>" * (i < 2)) for i in range(2000)]
+    got = {x.page_id: x.text for x in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"own text of page {i}" + "\n\npair" * (i < 2) for i in range(2000)}
+
+
+def test_repeated_prose_in_articles_goes(spark):
+    """A paragraph and a list on every page of a host go, in the article too; what a few pages quote stays, and copies of a page keep their text."""
+    tail = "<p>Write to us and read our news every week.</p><ul><li>More news</li><li>Archive</li></ul>"
+    quote = "<p>A passage that some pages quote, word for word and at some length.</p>"
+    body = "<article><h1>Title %d</h1><p>own words of page %d, which stand here only</p>%s%s</article>"
+    rows = [(i, "http://n.example/%d" % i, body % (i, i, quote if i < 5 else "", tail)) for i in range(40)]
+    rows += [(100 + i, "http://m.example/%d" % i, body % (0, 0, quote, f"<p>seen {i}</p>")) for i in range(30)]
+    cards = "".join(f"<article><a>Teaser {k} of %d</a></article>" for k in range(2))
+    rows.append((200, "http://t.example", "<body>" + (cards % (1, 2)) + "<div><p>" + "the long text of this page " * 9 + "</p></div>"))
+    got = {x.page_id: x.text for x in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    passage = "\n\nA passage that some pages quote, word for word and at some length."
+    assert all(got[i] == f"Title {i}\n\nown words of page {i}, which stand here only" + passage * (i < 5) for i in range(40))
+    assert all(got[100 + i] == "Title 0\n\nown words of page 0, which stand here only" + passage + f"\n\nseen {i}" for i in range(30))
+    assert "the long text of this page the long" in got[200]
+
+
 def test_host():
     assert html_text.host("HTTPS://User@A.Example:80/x") == "a.example" and html_text.host(None) == html_text.host("nonsense") == ""
 
