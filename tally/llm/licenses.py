@@ -3,8 +3,11 @@
 Texts are cut into sections (a line, or consecutive lines that each hold a word of the
 templates; comment marks are no words).  Sections and templates become sparse TF-IDF
 vectors over words; idf comes from all sections of the corpus.  A section's license is its
-nearest template with a cosine of at least ``threshold``; a file has the license of its best
-section.  A file is a licence file if its name says so or its text as a whole is near a
+nearest template with a cosine of at least ``threshold`` among those that agree with it on
+names and numbers: the section has all of the template's, and no other license's name.  So a
+license without a template is unknown rather than its sibling.  Templates are notices, title
+lines and opening sentences, not whole texts; the BSD sentence is told by the clauses that
+the text has besides.  A file has the license of its best section.  A file is a licence file if its name says so or its text as a whole is near a
 template.  A file without a license of its own inherits that of the licence file in the
 nearest directory above it.
 
@@ -18,7 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,9 +57,34 @@ TEMPLATES = {
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC0-1.0": ["Licensed under CC0 1.0.", "CC0 1.0 Universal Public Domain Dedication", "SPDX-License-Identifier: CC0-1.0"],
+    "ISC": ["Licensed under the ISC License.", "ISC License", "SPDX-License-Identifier: ISC",
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+            "provided that the above copyright notice and this permission notice appear in all copies."],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", "BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.",
+                 "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+                 "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+                 "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+                 "SPDX-License-Identifier: AGPL-3.0"],
+    "LGPL-2.1": ["This work is licensed under the GNU Lesser General Public License, version 2.1.",
+                 "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "SPDX-License-Identifier: LGPL-2.1"],
+    "EPL-2.0": ["Licensed under the Eclipse Public License, Version 2.0.", "Eclipse Public License - v 2.0", "SPDX-License-Identifier: EPL-2.0"],
+    "EPL-1.0": ["Licensed under the Eclipse Public License, Version 1.0.", "Eclipse Public License - v 1.0", "SPDX-License-Identifier: EPL-1.0"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0.", "Boost Software License - Version 1.0", "SPDX-License-Identifier: BSL-1.0"],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+                     "SPDX-License-Identifier: CC-BY-ND-4.0"],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.", "SPDX-License-Identifier: CC-BY-NC-SA-4.0",
+                        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-NC-ND-4.0": ["Licensed under CC BY-NC-ND 4.0.", "SPDX-License-Identifier: CC-BY-NC-ND-4.0",
+                        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
-# Words without which a section states no license.
+# Words that name one license or a variant, in one spelling.
+NAMES = {w: w for w in "apache mit isc bsd 0bsd gnu gpl lgpl agpl lesser affero mozilla mpl eclipse epl boost bsl zlib artistic eupl wtfpl cc0 "
+         "academic python openssl postgresql microsoft sa nc nd".split()}
+NAMES |= {"sharealike": "sa", "noncommercial": "nc", "noderivatives": "nd", "noderivs": "nd"}
+NUMBERED = re.compile(r"([a-z]*?)v?([1-9](?:[.][0-9]+)*)")  # a version or clause number, and what stands before it
+# Words without which a section states no license, unless a template has none of them.
 ANCHORS = set("license licence licensed licenses released redistribution permission domain dedication spdx free cc cc0 mit bsd apache gnu mozilla".split())
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|unlicense|notice)([-_.][^/]*)?$"
 WORD = re.compile(r"[a-z0-9]+(?:[.][0-9]+)*")
@@ -70,14 +98,46 @@ def vocabulary(templates: dict[str, list[str]]) -> set[str]:
     return {w for notes in templates.values() for t in notes for w in words(t)}
 
 
-def sections(text: str, known: set[str]) -> Iterator[Counter]:
+def marks(found: Iterable[str]) -> tuple[set[str], set[str]]:
+    """Names, and version and clause numbers, among words."""
+    names, numbers = set(), set()
+    for w in found:
+        if w in NAMES:
+            names.add(NAMES[w])
+        elif m := NUMBERED.fullmatch(w):
+            names |= {NAMES[m[1]]} if m[1] in NAMES else set()
+            if not m[1] or m[1] in NAMES:
+                numbers.add(re.sub(r"(?:[.]0)+$", "", m[2]))
+    return names, numbers
+
+
+def anchors(templates: dict[str, list[str]]) -> set[str]:
+    """Words one of which a section must have: of a template without a usual one, its names and longer words."""
+    out = set(ANCHORS)
+    for note in (n for notes in templates.values() for n in notes):
+        w = set(words(note))
+        if w.isdisjoint(ANCHORS):
+            out |= {x for x in w if x in NAMES or len(x) > 4} or w
+    return out
+
+
+def told_by_clauses(license: str | None, text: str) -> str | None:
+    """Of a text with the sentence that the BSD licenses share, the license by its clauses; none if it has none."""
+    if license != "BSD-3-Clause" or (found := " ".join(words(text))).find("bsd 3 clause") >= 0:
+        return license
+    if "endorse or promote" in found:
+        return license
+    return "BSD-2-Clause" if "binary form must reproduce" in found else None
+
+
+def sections(text: str, known: set[str], anchored_by: set[str]) -> Iterator[Counter]:
     """Word counts of the lines with an anchor word, and of runs of such and neighbouring lines of template words."""
     run: list[list[str]] = []
     anchored = 0
     for line in [*text.split("\n"), ""]:
         w = words(line) if line.strip() else []
         hits = sum(x in known for x in w)
-        anchor = not ANCHORS.isdisjoint(w)
+        anchor = not anchored_by.isdisjoint(w)
         if anchor:
             yield Counter(w)
         if w and 2 * hits >= len(w):
@@ -95,13 +155,14 @@ class Cosine:
     def __init__(self, templates: dict[str, list[str]], idf: dict[str, float], rare: float):
         self.idf, self.rare = idf, rare
         self.at: dict[str, list[tuple[int, float]]] = {}
-        self.names = []
+        self.names, self.marks = [], []
         for name in sorted(templates):
             for note in templates[name]:
                 v = self._vector(Counter(words(note)))
                 for w, x in v.items():
                     self.at.setdefault(w, []).append((len(self.names), x))
                 self.names.append(name)
+                self.marks.append(marks(v))
 
     def _vector(self, counts: Counter) -> dict[str, float]:
         v = {w: (1 + math.log(n)) * self.idf.get(w, self.rare) for w, n in counts.items()}
@@ -113,6 +174,8 @@ class Cosine:
         for w, x in self._vector(counts).items():
             for i, y in self.at.get(w, ()):
                 total[i] += x * y
+        names, numbers = marks(counts)
+        total = {i: x for i, x in total.items() if self.marks[i][0] == names and self.marks[i][1] <= numbers}
         if not total:
             return 0.0, None
         i = min(total, key=lambda k: (-round(total[k], 12), k))
@@ -145,7 +208,7 @@ def word_weights(docs: DataFrame, templates: dict[str, list[str]], text_col: str
 def stated(docs: DataFrame, templates: dict[str, list[str]], threshold: float) -> DataFrame:
     """(id, path, license, score, whole): the best section of every text, and the cosine of the text as a whole."""
     idf, rare = word_weights(docs, templates)
-    known = vocabulary(templates)
+    known, anchored_by = vocabulary(templates), anchors(templates)
     schema = T.StructType([docs.schema["id"], docs.schema["path"], T.StructField("license", T.StringType()),
                            T.StructField("score", T.DoubleType()), T.StructField("whole", T.DoubleType())])
 
@@ -154,9 +217,10 @@ def stated(docs: DataFrame, templates: dict[str, list[str]], threshold: float) -
         for batch in batches:
             names, scores, whole = [], [], []
             for text in batch.column(2).to_pylist():
-                best = max((cosine.nearest(s) for s in sections(text or "", known)), key=lambda x: x[0], default=(0.0, None))
-                ok = best[0] >= threshold
-                names.append(best[1] if ok else None)
+                best = max((cosine.nearest(s) for s in sections(text or "", known, anchored_by)), key=lambda x: x[0], default=(0.0, None))
+                name = told_by_clauses(best[1], text) if best[0] >= threshold else None
+                ok = name is not None
+                names.append(name)
                 scores.append(round(best[0], 9) if ok else None)
                 whole.append(cosine.nearest(Counter(words(text)))[0] if ok and text else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64()),

@@ -152,6 +152,24 @@ def test_licenses(spark):
     assert license_of_files(docs).count() == len(rows) and license_of_files(docs.limit(0)).count() == 0
 
 
+def test_licenses_without_a_template_are_not_siblings(spark):
+    """Names, versions and clauses decide; what no template has is unknown, and nothing of it is inherited."""
+    bsd = licenses.TEMPLATES["BSD-3-Clause"][2] + ":\n\n1. Redistributions in binary form must reproduce the above copyright notice.\n\n"
+    texts = {"Licensed under the ISC License.": "ISC", "BSD 2-Clause License": "BSD-2-Clause", "Eclipse Public License, Version 2.0": "EPL-2.0",
+             licenses.TEMPLATES["GPL-3.0"][2].replace("GNU", "GNU Affero"): "AGPL-3.0", licenses.TEMPLATES["GPL-3.0"][2]: "GPL-3.0",
+             licenses.TEMPLATES["LGPL-3.0"][0].replace("3", "2.1"): "LGPL-2.1", "Licensed under CC BY-ND 4.0.": "CC-BY-ND-4.0",
+             "Licensed under CC BY 3.0.": None, "Licensed under the Artistic License.": None, "Apache License Version 1.1": None,
+             licenses.TEMPLATES["GPL-3.0"][0].replace("3", "1"): None, bsd: "BSD-2-Clause",
+             bsd + "Neither the name may be used to endorse or promote products.": "BSD-3-Clause", licenses.TEMPLATES["ISC"][3]: "ISC",
+             licenses.TEMPLATES["MIT"][4]: "MIT", "BSD 3-Clause License": "BSD-3-Clause"}
+    rows = [(2 * i, f"d{i}/LICENSE", t) for i, t in enumerate(texts)] + [(2 * i + 1, f"d{i}/x.py", "code") for i in range(len(texts))]
+    docs = spark.createDataFrame(rows + [(99, "z", "prose\nProprietary material of Acme")], "doc_id long, path string, text string")
+    got = {x.doc_id: x.license for x in license_of_files(docs).collect()}
+    assert [got[2 * i] for i in range(len(texts))] == list(texts.values()) == [got[2 * i + 1] for i in range(len(texts))]
+    own = {x.doc_id: x.license for x in license_of_files(docs, templates={"Acme": ["Proprietary material of Acme"]}).collect()}
+    assert own[99] == own[0] == "Acme"  # a licence file at the root
+
+
 def test_cosine_by_hand():
     c = licenses.Cosine({"A": ["red fox"], "B": ["blue fox"]}, {"red": 2.0, "blue": 2.0, "fox": 1.0}, 3.0)
     score, name = c.nearest(licenses.Counter(["red", "fox", "runs"]))
