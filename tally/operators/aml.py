@@ -7,18 +7,19 @@
                the current transfer need not qualify itself
 * flags        one record per (transfer, failed rule), customer senders only
 
-Look-back windows are evaluated per (account, time bucket): each transfer is
-copied into its own bucket and the next ``fanout`` ones (bucket = W / fanout),
-so every look-back frame lies inside one partition and a busy account is
-spread over its buckets instead of landing in one task; partitions are
-bounded by one account's traffic within one bucket.
+A look-back count is the difference of two prefix counts: of all qualifying transfers of
+the account up to now, and of those up to the start of the window.  Transfers are first
+counted per (account, instant); each instant gives its counts and, for each window, a mark at
+the window's start; all are put in slices by (account, time) and summed up there.  No row
+is copied, the length of a window doesn't matter, and a busy account lies in many slices.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tally.functions.money import MONEY
+from tally.operators.slices import prefix_sums, sliced
 
 # Reference defaults (parameters of every function).
 THRESHOLD = "1000000.00"
@@ -44,44 +45,55 @@ def _ts_micros(col: str = "created_at"):
     return F.unix_micros(F.col(col).cast("timestamp"))
 
 
-def window_counts(transfers: DataFrame, window: str, qualifying=None, account: str = "from_account_id",
-                  ts: str = "created_at", out: str = "window_count", fanout: int = 1) -> DataFrame:
-    """For every transfer: how many (qualifying) transfers of the same account
-    fall in (t - window, t], peers with equal t included.
-
-    Time is cut into buckets of ``window / fanout``; every row is also copied
-    into the next ``fanout`` buckets, so each look-back frame lies inside one
-    (account, bucket) partition.  ``fanout`` trades replication for smaller
-    partitions when one account is very busy inside a single window.
-    """
-    if fanout < 1:
-        raise ValueError("fanout must be >= 1")
-    w = _micros(window)
-    size = -(-w // fanout)
-    q = (qualifying if qualifying is not None else F.lit(True)).cast("int")
-    base = transfers.withColumn("_t", _ts_micros(ts)).withColumn("_q", q)
-    copies = base.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(fanout)))).withColumn(
-        "_b", F.floor(F.col("_t") / F.lit(size)) + F.col("_k"))
-    frame = Window.partitionBy(account, "_b").orderBy("_t").rangeBetween(-(w - 1), 0)
-    counted = copies.withColumn(out, F.sum("_q").over(frame).cast("long"))
-    return counted.filter(F.col("_k") == 0).drop("_t", "_b", "_k", "_q")
+def look_back_counts(transfers: DataFrame, looks: dict[str, tuple[str, Column | None]], account: str = "from_account_id",
+                     ts: str = "created_at", slices: int | None = None) -> DataFrame:
+    """For every transfer and each (window, qualifying) of ``looks``: how many qualifying transfers
+    (all, if None) of the same account fall in (t - window, t], peers with equal t included.
+    A transfer without a time counts 0."""
+    names = list(looks)
+    base = transfers.withColumn("_t", _ts_micros(ts))
+    weigh = [F.sum(F.coalesce(F.lit(1) if q is None else q.cast("int"), F.lit(0))).alias(f"_n{i}") for i, (_, q) in enumerate(looks.values())]
+    instants = base.filter(F.col("_t").isNotNull()).groupBy(F.col(account).alias("_key"), "_t").agg(*weigh)
+    # at the same time, the transfers (kind 0) come before the marks: a transfer just a window old is outside
+    marks = [F.struct(F.col("_t").alias("at"), F.lit(0).alias("kind"))]
+    marks += [F.struct((F.col("_t") - F.lit(_micros(w))).alias("at"), F.lit(i).alias("kind")) for i, (w, _) in enumerate(looks.values(), 1)]
+    points = instants.withColumn("_m", F.explode(F.array(*marks))).select(
+        "_key", F.col("_m.at").alias("_at"), F.col("_m.kind").alias("_kind"), "_t",
+        *[F.when(F.col("_m.kind") == 0, F.col(f"_n{i}")).otherwise(0).alias(f"_n{i}") for i in range(len(names))])
+    order = ["_at", "_kind", "_t"]
+    rows = sliced(points, "_key", *order, slices=slices, name="instants")
+    sums = prefix_sums(rows, ["_key"], order, {f"_sum{i}": F.col(f"_n{i}") for i in range(len(names))})
+    counts = sums.groupBy("_key", F.col("_t").alias("_of")).agg(
+        *[F.sum(F.when(F.col("_kind") == 0, F.col(f"_sum{i}")).when(F.col("_kind") == i + 1, -F.col(f"_sum{i}"))).cast("long").alias(f"_count{i}")
+          for i in range(len(names))])
+    out = base.join(counts, F.col(account).eqNullSafe(F.col("_key")) & (F.col("_t") == F.col("_of")), "left")
+    return out.select(*transfers.columns, *[F.coalesce(F.col(f"_count{i}"), F.lit(0)).cast("long").alias(n) for i, n in enumerate(names)])
+
+
+def window_counts(transfers: DataFrame, window: str, qualifying: Column | None = None, account: str = "from_account_id",
+                  ts: str = "created_at", out: str = "window_count", slices: int | None = None) -> DataFrame:
+    """The one count of :func:`look_back_counts`."""
+    return look_back_counts(transfers, {out: (window, qualifying)}, account, ts, slices)
 
 
 def threshold_hits(transfers: DataFrame, threshold: str = THRESHOLD) -> DataFrame:
     return transfers.filter(F.col("amount") > F.lit(threshold).cast(MONEY))
 
 
+def _qualifies(minimum: str, threshold: str) -> Column:
+    return (F.col("amount") >= F.lit(minimum).cast(MONEY)) & (F.col("amount") <= F.lit(threshold).cast(MONEY))
+
+
 def velocity(transfers: DataFrame, count: int = VELOCITY_COUNT, window: str = VELOCITY_WINDOW,
-             fanout: int = 1) -> DataFrame:
-    return window_counts(transfers, window, out="velocity_count", fanout=fanout).withColumn(
+             slices: int | None = None) -> DataFrame:
+    return window_counts(transfers, window, out="velocity_count", slices=slices).withColumn(
         "velocity_flag", F.col("velocity_count") >= count)
 
 
 def structuring(transfers: DataFrame, count: int = STRUCTURING_COUNT, window: str = STRUCTURING_WINDOW,
-                minimum: str = STRUCTURING_MINIMUM, threshold: str = THRESHOLD, fanout: int = 1) -> DataFrame:
-    qualifies = (F.col("amount") >= F.lit(minimum).cast(MONEY)) & (F.col("amount") <= F.lit(threshold).cast(MONEY))
-    return window_counts(transfers, window, qualifying=F.coalesce(qualifies, F.lit(False)),
-                         out="structuring_count", fanout=fanout).withColumn("structuring_flag", F.col("structuring_count") >= count)
+                minimum: str = STRUCTURING_MINIMUM, threshold: str = THRESHOLD, slices: int | None = None) -> DataFrame:
+    return window_counts(transfers, window, qualifying=_qualifies(minimum, threshold), out="structuring_count",
+                         slices=slices).withColumn("structuring_flag", F.col("structuring_count") >= count)
 
 
 def aml_flags(transfers: DataFrame, accounts: DataFrame, threshold: str = THRESHOLD,
@@ -90,18 +102,18 @@ def aml_flags(transfers: DataFrame, accounts: DataFrame, threshold: str = THRESH
               structuring_minimum: str = STRUCTURING_MINIMUM) -> DataFrame:
     """Suspicious-activity records for customer transfers (up to three per transfer).
 
-    SYSTEM senders are left out before any window is computed, which also
-    removes the clearing account, the one structurally hot key.
+    SYSTEM senders are left out before any window is computed; both windows are
+    counted in one pass.
     """
     senders = accounts.filter(F.col("account_type") == "CUSTOMER").select(
         F.col("id").alias("_acc"), F.col("owner_user_id").alias("user_id"))
     t = transfers.join(senders, transfers.from_account_id == senders._acc).drop("_acc")
-    t = velocity(t, velocity_count, velocity_window)
-    t = structuring(t, structuring_count, structuring_window, structuring_minimum, threshold)
+    t = look_back_counts(t, {"_velocity": (velocity_window, None),
+                             "_structuring": (structuring_window, _qualifies(structuring_minimum, threshold))})
     reasons = F.array_compact(F.array(
         F.when(F.col("amount") > F.lit(threshold).cast(MONEY), F.lit("THRESHOLD")),
-        F.when(F.col("velocity_flag"), F.lit("VELOCITY")),
-        F.when(F.col("structuring_flag"), F.lit("STRUCTURING")),
+        F.when(F.col("_velocity") >= velocity_count, F.lit("VELOCITY")),
+        F.when(F.col("_structuring") >= structuring_count, F.lit("STRUCTURING")),
     ))
     return t.select(
         "user_id", F.col("id").alias("transfer_id"), F.explode(reasons).alias("reason"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tally.functions.money import MONEY, TOTAL, credit_part, debit_part, signed_amount, total
+from tally.operators.slices import prefix_sums, sliced
 
 # Fixed values (reference defaults; all are parameters).
 KYC_TRANSFER_THRESHOLD = "100000.00"
@@ -134,27 +135,19 @@ def reconciliation_report(entries: DataFrame) -> DataFrame:
     )
 
 
-def running_balance(entries: DataFrame, accounts: DataFrame | None = None, bucket: str = "day") -> DataFrame:
+def running_balance(entries: DataFrame, accounts: DataFrame | None = None, slices: int | None = None) -> DataFrame:
     """Balance after every entry, per account, in (created_at, id) order.
 
-    Two-level prefix sum so one busy account does not land in one task: a window
-    per (account, time bucket) gives the in-bucket running sum; a much smaller
-    window over per-bucket totals gives each bucket's starting offset.  With
+    Entries are cut into slices of about equal size by (account, time, id); a slice's
+    own running sum starts from the total of the account's earlier slices.  A clearing
+    account, or one day of it, lies in as many slices as it needs.  With
     ``accounts`` the stored balance is the opening balance and CUSTOMER rows
     going below zero are marked as overdraft.
     """
-    e = entries.select(
-        "id", "account_id", "created_at",
-        signed_amount(F.col("entry_type"), F.col("amount")).cast(TOTAL).alias("delta"),
-        F.date_trunc(bucket, F.col("created_at")).alias("_bucket"),
-    )
-    inner = Window.partitionBy("account_id", "_bucket").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    within = e.withColumn("_in", F.sum("delta").over(inner))
-    per_bucket = e.groupBy("account_id", "_bucket").agg(F.sum("delta").alias("_bt"))
-    before = Window.partitionBy("account_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select("account_id", "_bucket", F.coalesce(F.sum("_bt").over(before), F.lit(0)).alias("_off"))
-    out = within.join(offsets, ["account_id", "_bucket"])
-    running = (F.col("_off") + F.col("_in")).cast(TOTAL)
+    e = entries.select("id", "account_id", "created_at", signed_amount(F.col("entry_type"), F.col("amount")).cast(TOTAL).alias("delta"))
+    rows = sliced(e, "account_id", "created_at", "id", slices=slices, name="entries")
+    out = prefix_sums(rows, ["account_id"], ["created_at", "id"], {"running": F.col("delta")})
+    running = F.col("running").cast(TOTAL)
     if accounts is None:
         return out.select("id", "account_id", "created_at", "delta", running.alias("running_balance"))
     acc = accounts.select(F.col("id").alias("account_id"), F.col("balance").alias("_open"), "account_type")

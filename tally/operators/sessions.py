@@ -1,14 +1,19 @@
 """Per-key state machines over event tables: login limiter + lockout, refresh
 token status and reuse, and status-transition checks.
 
-Login outcomes are inherently sequential per user (each window anchor and lock
-depends on the previous one).  They run as a stream over sorted partitions:
-``repartition(username)`` + ``sortWithinPartitions`` + ``mapInPandas`` keeps
-O(1) state per user and never materialises a user's attempts as one group, so
-a very busy user costs time in one task but not memory.
+Login outcomes are sequential per user (each window anchor and lock depends on what
+came before), yet a user may hold a third of all attempts.  Attempts are cut into
+slices of about equal size by (user, time, id), and all slices are replayed at once, each
+from an empty state.  Only the first user of a slice can go on from the slice before; where
+the state left there is not the one that the replay assumed, that user's rows of the slice
+are replayed from it, again all such slices at once, until every slice has begun with the
+state that its predecessor left.  A slice whose end doesn't depend on its beginning (a login
+succeeded, windows ran out) stops the chain, so a few rounds over few slices are usual; an
+attack on one user that never lets a login through costs a round for each of that user's slices.
 """
 from __future__ import annotations
 
+import json
 from typing import Iterator
 
 import numpy as np
@@ -16,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tally.operators.slices import SLICE, joined_on, previous, slice_count, sliced, stored
+
 # Fixed values (reference defaults; parameters of the functions).
 LIMIT_WINDOW_SECONDS = 60
 LIMIT_MAX_REQUESTS = 5
@@ -36,8 +43,7 @@ class LoginMachine:
     """Limiter + lockout state of one username (times in epoch microseconds).
 
     Shared by the batch operator and the streaming one, so both apply the
-    same rules; ``export``/``restore`` turn the state into plain arrays for a
-    streaming state store.
+    same rules.  Windows that have run out are forgotten: they act like none.
     """
 
     def __init__(self, window_us: int, max_requests: int, lock_after: int, lock_us: int):
@@ -45,6 +51,7 @@ class LoginMachine:
         self.windows: dict = {}
         self.failures = 0
         self.locked_until = None
+        self._most = 64  # windows to hold before those that have run out are looked for
 
     def step(self, ip, now: int, success: bool):
         """Returns (outcome, retry_after_seconds, failures, locked_until)."""
@@ -54,6 +61,9 @@ class LoginMachine:
         else:
             w = (w[0], w[1] + 1)
         self.windows[ip] = w
+        if len(self.windows) > self._most:
+            self.forget(now)
+            self._most = max(64, 2 * len(self.windows))
         retry = 0
         if w[1] > self.max_requests:
             outcome = "RATE_LIMITED"
@@ -71,58 +81,75 @@ class LoginMachine:
             outcome = "SUCCESS"
         return outcome, retry, self.failures, self.locked_until
 
-    def export(self) -> tuple:
-        ips = list(self.windows)
-        return (ips, [self.windows[i][0] for i in ips], [self.windows[i][1] for i in ips], self.failures,
-                self.locked_until)
-
-    def restore(self, state: tuple) -> None:
-        ips, starts, counts, failures, locked = state
-        self.windows = {ip: (int(s), int(c)) for ip, s, c in zip(ips, starts, counts)}
-        self.failures = int(failures)
-        self.locked_until = None if locked is None or pd.isna(locked) else int(locked)
-
-
-def apply_machine(machine: LoginMachine, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Run ``machine`` over rows already in (ts, attempt_id) order of one user."""
-    n = len(pdf)
-    ips = pdf["ip"].to_numpy(object)
-    t = pdf["_t"].to_numpy(np.int64)
-    ok = pdf["success"].to_numpy(object)
-    outcome = np.empty(n, dtype=object)
-    retry = np.zeros(n, dtype=np.int64)
-    fails = np.zeros(n, dtype=np.int32)
-    locked = np.full(n, np.nan)
-    for i in range(n):
-        o, r, f, lu = machine.step(ips[i], int(t[i]), bool(ok[i]))
-        outcome[i], retry[i], fails[i] = o, r, f
-        if lu is not None:
-            locked[i] = lu
-    out = pdf.drop(columns=["_t"]).copy()
-    out["outcome"] = outcome
-    out["retry_after_seconds"] = retry
-    out["failed_attempts"] = fails
-    # positional (the batch slice keeps its own index)
-    out["locked_until"] = pd.to_datetime(pd.Series(locked), unit="us").to_numpy()
-    return out
-
-
-def _login_stream(window_us: int, max_requests: int, lock_after: int, lock_us: int):
+    def forget(self, now: int) -> None:
+        self.windows = {ip: w for ip, w in self.windows.items() if w[0] + self.window_us > now}
+
+    def export(self, now: int) -> str:
+        """The state after an attempt at ``now``, the same text for the same state."""
+        self.forget(now)
+        windows = sorted(([ip, *w] for ip, w in self.windows.items()), key=lambda x: (x[0] is not None, x[0] or ""))
+        return json.dumps([windows, self.failures, self.locked_until])
+
+    def restore(self, state: str) -> None:
+        windows, self.failures, self.locked_until = json.loads(state)
+        self.windows = {ip: (start, count) for ip, start, count in windows}
+
+
+NO_STATE = json.dumps([[], 0, None])
+LOGIN_COLUMNS = [c.split()[0] for c in LOGIN_SCHEMA.split(", ")]
+REPLAYED = f"{LOGIN_SCHEMA}, _t long, {SLICE} int, _first boolean, _state string"
+
+
+def login_times(locked: list) -> np.ndarray:
+    """Microseconds or None as datetimes, without a float between."""
+    out = np.full(len(locked), np.iinfo(np.int64).min)
+    for i, t in enumerate(locked):
+        if t is not None:
+            out[i] = t
+    return out.view("datetime64[us]")
+
+
+def login_steps(pdf: pd.DataFrame, machines: list) -> pd.DataFrame:
+    """The four outcome columns of attempts, each taken by its machine in turn."""
+    steps = [m.step(ip, t, bool(ok)) for m, ip, t, ok in
+             zip(machines, pdf["ip"].tolist(), pdf["_t"].tolist(), pdf["success"].tolist(), strict=True)]
+    outcome, retry, fails, locked = zip(*steps, strict=True) if steps else ((), (), (), ())
+    return pdf.assign(outcome=np.array(outcome, object), retry_after_seconds=np.array(retry, np.int64),
+                      failed_attempts=np.array(fails, np.int32), locked_until=login_times(locked))
+
+
+def _replayed(*rules: int):
+    """Replays attempts ordered by (slice, user, time, id).  A (slice, user) starts from the
+    state in ``_in`` of its first row, or empty; the last row of a slice gets the state after it."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, machine = None, None
+        at, machine, held = None, None, None
         for pdf in batches:
-            users = pdf["username"].to_numpy(object)
-            # split the sorted batch into runs of one user; state carries across batches
-            starts = [0] + [i for i in range(1, len(pdf)) if users[i] != users[i - 1]] + [len(pdf)]
-            parts = []
-            for a, b in zip(starts[:-1], starts[1:]):
-                if a == b:
-                    continue
-                if users[a] != user:
-                    user, machine = users[a], LoginMachine(window_us, max_requests, lock_after, lock_us)
-                parts.append(apply_machine(machine, pdf.iloc[a:b]))
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+            if not len(pdf):
+                continue
+            slices, users, times, starts = (pdf[c].tolist() for c in (SLICE, "username", "_t", "_in"))
+            machines, first, state = [], np.zeros(len(pdf), bool), np.full(len(pdf), None, object)
+            if held is not None:
+                if at[0] != slices[0]:
+                    held.loc[held.index[-1], "_state"] = machine.export(int(held["_t"].iloc[-1]))
+                yield held
+            ends = []  # the rows after which a slice ends, with their machines
+            for i, now in enumerate(zip(slices, users, strict=True)):
+                if now != at:
+                    first[i] = at is None or at[0] != now[0]
+                    if first[i] and i:
+                        ends.append((i - 1, machine))
+                    at, machine = now, LoginMachine(*rules)
+                    if starts[i] is not None:
+                        machine.restore(starts[i])
+                machines.append(machine)
+            out = login_steps(pdf, machines)
+            for i, m in ends:
+                state[i] = m.export(times[i])
+            held = out.assign(_first=first, _state=state)[[*LOGIN_COLUMNS, "_t", SLICE, "_first", "_state"]]
+        if held is not None:
+            held.loc[held.index[-1], "_state"] = machine.export(int(held["_t"].iloc[-1]))
+            yield held
 
     return run
 
@@ -140,14 +167,55 @@ def login_outcomes(attempts: DataFrame, window_seconds: int = LIMIT_WINDOW_SECON
     while locked are ignored; success resets; the counter is not reset when a
     lock expires, so the next failure locks again.
     """
-    n = partitions or int(attempts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = attempts.sparkSession
+    n = slice_count(attempts, partitions)
     src = attempts.select(
         "attempt_id", "ip", "username", F.col("ts").cast("timestamp_ntz").alias("ts"), "success",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("_t"),
     )
-    ordered = src.repartition(n, "username").sortWithinPartitions("username", "_t", "attempt_id")
-    fn = _login_stream(window_seconds * 1_000_000, max_requests, lock_after, lock_hours * 3_600_000_000)
-    return ordered.mapInPandas(fn, LOGIN_SCHEMA)
+    replay = _replayed(window_seconds * 1_000_000, max_requests, lock_after, lock_hours * 3_600_000_000)
+    order = ["username", "_t", "attempt_id"]
+    ranged = src.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranged = ranged.withColumn(SLICE, F.spark_partition_id()).withColumn("_in", F.lit(None).cast("string"))
+    rounds = [stored(ranged.mapInPandas(replay, REPLAYED), "login-slices")]
+    whole = rounds[0].groupBy(SLICE).agg(
+        F.max(F.when(F.col("_first"), F.struct("username"))).alias("first"),
+        F.max(F.when(F.col("_state").isNotNull(), F.struct("username", F.sha2("_state", 256).alias("state")))).alias("last"))
+    ends = sorted(whole.collect(), key=lambda r: r[0])  # a row a slice
+    before = {b[0]: a[0] for a, b in zip(ends, ends[1:], strict=False) if a["last"]["username"] == b["first"]["username"]}
+    user = {r[0]: r["first"]["username"] for r in ends}
+    whole_user = {r[0] for r in ends if r["first"]["username"] == r["last"]["username"]}
+    state = {r[0]: r["last"]["state"] for r in ends}
+    nothing = spark.range(1).select(F.sha2(F.lit(NO_STATE), 256)).first()[0]
+    begun, made = dict.fromkeys(before, nothing), dict.fromkeys(state, 0)  # made: the round with a slice's rows of its first user
+    ending = dict.fromkeys(state, 0)  # the round with the state at a slice's end
+    while wrong := [s for s, p in before.items() if begun[s] != state[p]]:
+        left = [rounds[k].filter(F.col("_state").isNotNull()).select(F.lit(k).alias("_round"), F.col(SLICE).alias("_before"), F.col("_state").alias("_in"))
+                for k in sorted({ending[before[s]] for s in wrong})]
+        states = left[0]
+        for more in left[1:]:
+            states = states.unionByName(more)
+        todo = spark.createDataFrame([(s, before[s], ending[before[s]]) for s in wrong], f"{SLICE} int, _before int, _round int")
+        todo = todo.join(states, ["_before", "_round"]).select(SLICE, "_in")
+        names = spark.createDataFrame([(s, user[s]) for s in wrong], f"{SLICE} int, username string")
+        again = joined_on(rounds[0].select(*src.columns, SLICE, "_first"), names, [SLICE, "username"], "left_semi")
+        again = again.join(todo, SLICE).withColumn("_in", F.when(F.col("_first"), F.col("_in"))).drop("_first")
+        again = again.repartition(n, SLICE).sortWithinPartitions(SLICE, "_t", "attempt_id")
+        rounds.append(stored(again.select(*src.columns, SLICE, "_in").mapInPandas(replay, REPLAYED), "login-again"))
+        for s in wrong:
+            begun[s], made[s] = state[before[s]], len(rounds) - 1
+        for r in rounds[-1].filter(F.col("_state").isNotNull()).select(SLICE, F.sha2("_state", 256)).collect():
+            if r[0] in whole_user:
+                state[r[0]], ending[r[0]] = r[1], len(rounds) - 1
+    replaced = [(s, user[s]) for s, k in made.items() if k]
+    if not replaced:
+        return rounds[0].select(*LOGIN_COLUMNS)
+    out = joined_on(rounds[0], spark.createDataFrame(replaced, f"{SLICE} int, username string"), [SLICE, "username"], "left_anti")
+    for k, rows in enumerate(rounds[1:], 1):
+        last = [s for s, r in made.items() if r == k]
+        if last:
+            out = out.unionByName(rows.filter(F.col(SLICE).isin(last)))
+    return out.select(*LOGIN_COLUMNS)
 
 
 def token_status(tokens: DataFrame, as_of: Column) -> DataFrame:
@@ -216,14 +284,15 @@ def previous_value(df: DataFrame, key: str, order: list, value: str, bucket: Col
             .drop("_bk", "_lag", "_rn", "_carry"))
 
 
-def invalid_transitions(snapshots: DataFrame, allowed: list, bucket_unit: str = "month") -> DataFrame:
+def invalid_transitions(snapshots: DataFrame, allowed: list, slices: int | None = None) -> DataFrame:
     """Consecutive status changes per entity that are not allowed.
 
     ``snapshots``: (entity_id, as_of, seq, status); an unchanged status is not a
-    transition.
+    transition.  A busy entity lies in several slices.
     """
-    prev = previous_value(snapshots, "entity_id", ["as_of", "seq"], "status",
-                          F.date_trunc(bucket_unit, F.col("as_of")), out="from_status")
+    order = ["as_of", "seq"]
+    rows = sliced(snapshots.select("entity_id", *order, "status"), "entity_id", *order, slices=slices, name="snapshots")
+    prev = previous(rows, ["entity_id"], order, "status", "from_status")
     ok = F.lit(False)
     for a, b in allowed:
         ok = ok | ((F.col("from_status") == a) & (F.col("status") == b))

@@ -139,8 +139,7 @@ WHERE from_status IS NOT NULL AND from_status <> status
         OR (from_status = 'ACTIVE' AND status = 'FROZEN') OR (from_status = 'ACTIVE' AND status = 'CLOSED'))
 """.replace("\n, s AS", ", s AS", 1))
 def account_status_transitions(spark, sf_dir):
-    return sessions.invalid_transitions(bank.account_status_snapshots(spark, sf_dir), sessions.ACCOUNT_TRANSITIONS,
-                                        bucket_unit="year")
+    return sessions.invalid_transitions(bank.account_status_snapshots(spark, sf_dir), sessions.ACCOUNT_TRANSITIONS)
 
 
 @register("kyc_status_transitions", """
@@ -155,8 +154,7 @@ WHERE from_status IS NOT NULL AND from_status <> status
         OR (from_status = 'PENDING' AND status = 'REJECTED'))
 """.replace("\n, s AS", ", s AS", 1))
 def kyc_status_transitions(spark, sf_dir):
-    return sessions.invalid_transitions(bank.kyc_status_snapshots(spark, sf_dir), sessions.KYC_TRANSITIONS,
-                                        bucket_unit="week")
+    return sessions.invalid_transitions(bank.kyc_status_snapshots(spark, sf_dir), sessions.KYC_TRANSITIONS)
 
 
 # The per-user state machine written as a recursive CTE (one step per attempt

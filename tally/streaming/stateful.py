@@ -128,8 +128,7 @@ def replay_suppressed(requests: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- ST4: login limiter + lockout
 
-_LOGIN_COLS = [c.split()[0] for c in sessions.LOGIN_SCHEMA.split(", ")]
-LOGIN_STATE = "ips array<string>, starts array<long>, counts array<long>, failures long, locked_until long"
+LOGIN_STATE = "state string"
 
 
 def login_stream(attempts: DataFrame, window_seconds: int = sessions.LIMIT_WINDOW_SECONDS,
@@ -148,13 +147,12 @@ def login_stream(attempts: DataFrame, window_seconds: int = sessions.LIMIT_WINDO
         new = pd.concat(list(pdfs), ignore_index=True).sort_values(["_t", "attempt_id"], kind="stable")
         m = sessions.LoginMachine(window_seconds * 1_000_000, max_requests, lock_after, lock_us)
         if state.exists:
-            m.restore(state.get)
-        out = sessions.apply_machine(m, new)
-        ips, starts, counts, failures, locked = m.export()
-        state.update((ips, starts, counts, failures, locked))
+            m.restore(state.get[0])
+        out = sessions.login_steps(new, [m] * len(new))
         last = int(new["_t"].max())
-        _set_timeout(state, int(max(last + window_seconds * 1_000_000, locked or 0, last + lock_us) // 1000))
-        yield out[_LOGIN_COLS]
+        state.update((m.export(last),))
+        _set_timeout(state, int(max(last + window_seconds * 1_000_000, m.locked_until or 0, last + lock_us) // 1000))
+        yield out[sessions.LOGIN_COLUMNS]
 
     return src.groupBy("username").applyInPandasWithState(
         fn, sessions.LOGIN_SCHEMA, LOGIN_STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -170,7 +170,7 @@ def test_velocity_counts_across_bucket_edges(spark):
     rows = [(i, f"k{i}", rnd.randint(1, 3), 9, Decimal(1), base + dt.timedelta(seconds=rnd.randint(0, 7200)))
             for i in range(300)]
     got = {r["id"]: r["velocity_count"] for r in aml.velocity(_transfers(spark, rows)).collect()}
-    got3 = {r["id"]: r["velocity_count"] for r in aml.velocity(_transfers(spark, rows), fanout=3).collect()}
+    got3 = {r["id"]: r["velocity_count"] for r in aml.velocity(_transfers(spark, rows), slices=3).collect()}
     assert got3 == got
     for i, _, acc, _, _, t in rows:
         want = sum(1 for _, _, a2, _, _, t2 in rows if a2 == acc and t - dt.timedelta(minutes=10) < t2 <= t)
