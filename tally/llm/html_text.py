@@ -62,6 +62,9 @@ MARKS = set("ad ads adv advert adverts advertisement advertising adsense sponsor
             "comments respond replies disqus sidebar widget widgets related recommended recommendations share sharing social "
             "breadcrumb breadcrumbs pagination pager menu nav navbar navigation navigational footer masthead toolbar login "
             "search skip topbar contentinfo complementary".split())
+# Elements of a head; any other one, and text, begins the body.
+HEAD = set("base basefont bgsound link meta title style script noscript template".split())
+MOST = 0.5  # of a page's text, that keeps an element from being taken for no main text by a part of its name
 # An element of one of these closes open ones of the same group.
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
            "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
@@ -78,6 +81,19 @@ class Tree(HTMLParser):
         self.open: dict[str, int] = {}  # how many of a tag are open
         self.feed(html)
         self.close()
+        self._weigh()
+
+    def _weigh(self) -> None:
+        """Which elements hold an article or main element, and which most of the page's text."""
+        size, self.holds_main = [0] * len(self.tag), [False] * len(self.tag)
+        for n in range(len(self.tag) - 1, 0, -1):
+            up, tag = self.parent[n], self.tag[n]
+            if tag in NEVER and tag != "form":
+                continue
+            size[n] += sum(len(c.strip()) for c in self.children[n] if isinstance(c, str))
+            size[up] += size[n]
+            self.holds_main[up] |= self.holds_main[n] or tag in ("article", "main") and not self._named(n)
+        self.holds_most = [x > MOST * size[0] for x in size]
 
     def _pop(self) -> str:
         tag = self.tag[self.stack.pop()]
@@ -104,6 +120,8 @@ class Tree(HTMLParser):
             self._pop()
         if tag in IMPLIED:
             self._close(IMPLIED[tag], SCOPE.get(tag, {"table"}))
+        if tag not in HEAD and self.tag[self.stack[-1]] == "head":
+            self._pop()
         n = len(self.tag)
         self.tag.append(tag)
         self.attrs.append(dict(attrs))
@@ -122,19 +140,35 @@ class Tree(HTMLParser):
             self._close({tag}, set() if tag in ("body", "html") else {"body"})
 
     def handle_data(self, data: str) -> None:
+        if self.tag[self.stack[-1]] == "head" and data.strip():
+            self._pop()
         self.children[self.stack[-1]].append(data)
 
+    def _names(self, n: int) -> list[str]:
+        a = self.attrs[n]
+        return f"{a.get('class') or ''} {a.get('id') or ''} {a.get('role') or ''}".split()
+
+    def _named(self, n: int) -> bool:
+        """A class, id or role of it is, as a whole, a word for what is no main text."""
+        return any(x.lower() in MARKS for x in self._names(n))
+
     def marked(self, n: int) -> bool:
-        """No main text by tag, role, class, id or because it is hidden."""
+        """No main text by tag, role, class, id or because it is hidden.  A part of a name doesn't
+        count for an article or main element, for what holds one and for what holds most of the
+        text, nor does the tag of a form around these."""
         tag, a = self.tag[n], self.attrs[n]
-        if tag in NEVER:
+        main = self.holds_main[n] or self.holds_most[n]
+        if tag in NEVER and not (tag == "form" and main):
             return True
         if tag in ("html", "body"):
             return False
         if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in (a.get("style") or "").replace(" ", "").lower():
             return True
-        names = re.split(WORDS, f"{a.get('class') or ''} {a.get('id') or ''} {a.get('role') or ''}")
-        return any(x.lower() in MARKS for x in names)
+        if self._named(n):
+            return True
+        if main or tag in ("article", "main"):
+            return False
+        return any(x.lower() in MARKS for name in self._names(n) for x in re.split(WORDS, name))
 
     def landmarks(self, gone: set[int] = frozenset()) -> list[int]:
         """The outermost article elements that are not marked or gone, or else main elements;

@@ -104,6 +104,28 @@ def best_fit(left: Counter, capacity: int) -> list[Counter]:
     return out
 
 
+def best_fit_of_classes(left: Counter, capacity: int) -> list[tuple[Counter, int]]:
+    """Best fit, longest first, of all equal pieces at once: work goes with the classes, not the pieces."""
+    by_room: dict[int, list[list]] = {}  # [configuration, copies] by the room that they have
+    for length in sorted(left, reverse=True):
+        n = left[length]
+        while n:
+            room = min((r for r in by_room if r >= length), default=None)
+            if room is None:
+                for m, copies in ((capacity // length, n // (capacity // length)), (n % (capacity // length), 1)):
+                    if m and copies:
+                        by_room.setdefault(capacity - m * length, []).append([Counter({length: m}), copies])
+                break
+            config, copies = by_room[room].pop()
+            if copies > n:
+                by_room[room].append([config, copies - n])
+            elif not by_room[room]:
+                del by_room[room]
+            by_room.setdefault(room - length, []).append([config + Counter({length: 1}), min(copies, n)])
+            n -= min(copies, n)
+    return [(config, copies) for same in by_room.values() for config, copies in same]
+
+
 def rounded(left: Counter, capacity: int, cover: float) -> tuple[list[tuple[Counter, int]], Counter]:
     """A fractional solution rounded down: (configuration, copies), and the pieces it leaves."""
     lengths = np.array(sorted(left), np.int64)
@@ -128,16 +150,18 @@ def configurations(histogram: dict[int, int], capacity: int) -> list[tuple[Count
     """(configuration, copies) that hold exactly the pieces of the histogram.
 
     A solution is rounded down and solved again for what it left, which keeps the mixture
-    of classes; each round leaves about a tenth.  Of the last few pieces, as much is left to
-    best fit as makes the fewest sequences.
+    of classes; each round leaves about a tenth (two thirds of pieces over half a sequence).
+    Should a round place next to nothing, the classes are placed by best fit, many equal pieces
+    at once.  Of the last few pieces, as much is left to best fit as makes the fewest sequences.
     """
     left = Counter({k: v for k, v in histogram.items() if v > 0})
     out: list[tuple[Counter, int]] = []
     while (before := sum(left.values())) > FEW:
         more, left = rounded(left, capacity, COVERS[0])
         out += more
-        if 2 * sum(left.values()) > before:
-            break
+        if 10 * sum(left.values()) > 9 * before:
+            out += best_fit_of_classes(left, capacity)
+            left = Counter()
     ends = []
     for cover in COVERS:
         more, rest = rounded(left, capacity, cover) if left else ([], left)

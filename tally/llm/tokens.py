@@ -93,6 +93,8 @@ class Encoder:
         self.word = np.zeros(1 << TABLE_BITS, np.int32)
         self.words = self.used = 0
         self.at, self.length, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
+        self.spelt, self.letters_of, self.spelling, self.spelled = (np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64),
+                                                                    np.zeros(1 << 14, np.uint32), 0)
 
     def _slots(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The slot of each hash, and whether it is there; else a free slot."""
@@ -113,13 +115,21 @@ class Encoder:
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter((x for i in ids for x in i), np.uint32, int(size.sum()))
             while self.words + len(ids) > len(self.at):
-                self.at, self.length = np.concatenate([self.at, self.at]), np.concatenate([self.length, self.length])
+                self.at, self.length, self.spelt, self.letters_of = (
+                    np.concatenate([x, x]) for x in (self.at, self.length, self.spelt, self.letters_of))
             while self.used + len(flat) > len(self.flat):
                 self.flat = np.concatenate([self.flat, self.flat])
             new = slice(self.words, self.words + len(ids))
             self.at[new], self.length[new] = self.used + np.cumsum(size) - size, size
             self.flat[self.used:self.used + len(flat)] = flat
             self.used += len(flat)
+            codes = np.frombuffer("".join(words[start:start + 4096]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            size = np.fromiter(map(len, words[start:start + 4096]), np.int64, len(ids))
+            while self.spelled + len(codes) > len(self.spelling):
+                self.spelling = np.concatenate([self.spelling, self.spelling])
+            self.spelt[new], self.letters_of[new] = self.spelled + np.cumsum(size) - size, size
+            self.spelling[self.spelled:self.spelled + len(codes)] = codes
+            self.spelled += len(codes)
             todo = np.arange(len(ids))
             while len(todo):  # of hashes that meet in a free slot, one stays
                 slot, _ = self._slots(h[start:start + 4096][todo])
@@ -152,6 +162,10 @@ class Encoder:
             self._learn(fresh, [whole[a:b] for a, b in zip(s[at].tolist(), e[at].tolist(), strict=True)])
             slot, found = self._slots(h)
         w = self.word[slot]
+        if not ((self.letters_of[w] == e - s).all()
+                and (self.spelling[np.repeat(self.spelt[w] - s, e - s) + np.arange(len(code))] == code).all()):
+            ids = [np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts]
+            return np.concatenate(ids), np.array(list(map(len, ids)))  # two words have one hash
         size = self.length[w]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.at[w] - (ends - size), size) + np.arange(int(ends[-1]))]

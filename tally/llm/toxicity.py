@@ -32,7 +32,6 @@ from pyspark.sql import types as T
 from tally.llm.common import bounded_batches, written
 
 SAMPLE = 20_000  # labelled documents that the classifier is fitted on, at most
-FEATURES = 20_000  # words and beginnings it keeps, at most
 LEAST_TOXIC = 4  # toxic documents that a feature occurs in, at least
 LEAST_Z = 4.0
 SYMBOLS = 60  # boundary, a-z, U+00DF-U+00FF, any other letter
@@ -85,9 +84,8 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["cell", "n"])
 
     parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "cell int, n long")
-    out = np.zeros(cells)
-    for row in parts.groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        out[row["cell"]] = row["n"]
+    out, sums = np.zeros(cells), parts.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out[sums["cell"].to_numpy()] = sums["n"].to_numpy()
     return out.reshape((SYMBOLS,) * 3)
 
 
@@ -236,7 +234,8 @@ def _feature_counts(sample: DataFrame, logp: np.ndarray, only: set[str] | None)
 
     parts = sample.select("text").mapInArrow(count, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
     # of a sample of fixed size: at most its toxic documents / LEAST_TOXIC features per word
-    return {r["f"]: r["n"] for r in parts.filter(F.col("n") >= (LEAST_TOXIC if only is None else 1)).collect()}
+    found = parts.filter(F.col("n") >= (LEAST_TOXIC if only is None else 1)).toArrow()
+    return dict(zip(found["f"].to_pylist(), found["n"].to_pylist(), strict=True))
 
 
 def regression(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
@@ -264,15 +263,13 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE,
         return model
     in_toxic = _feature_counts(toxic, model.logp, None)
     in_clean = _feature_counts(clean, model.logp, set(in_toxic))
-    ranked = []
     for f, a in in_toxic.items():
         b = in_clean.get(f, 0)
         expected = (a + b) * n1 / (n1 + n0)
         odds = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
         z = (a - expected) / np.sqrt(expected)
         if odds > 1 and z > LEAST_Z:
-            ranked.append((float(z), f, float(odds)))
-    model.weight = {f: odds for _, f, odds in sorted(ranked, reverse=True)[:FEATURES]}
+            model.weight[f] = float(odds)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = model.word_scores()
@@ -280,8 +277,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE,
             x = [document_features(t, scores) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
-    found = rows.select("text", "y").mapInArrow(features, "x array<double>, y int").collect()  # one short row per sampled text
-    model.beta = regression(np.array([r["x"] for r in found]), np.array([r["y"] for r in found], float))
+    found = rows.select("text", "y").mapInArrow(features, "x array<double>, y int").toArrow()  # one short row per sampled text
+    model.beta = regression(np.array(found["x"].to_pylist()), found["y"].to_numpy().astype(float))
     return model
 
 

@@ -177,7 +177,7 @@ def test_cosine_by_hand():
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_against_its_definitions(spark):
@@ -205,3 +205,42 @@ def test_pipeline_against_its_definitions(spark):
     assert {r.doc_id for r in kept["best-fit packing"]} == clean
     whole = corpus_pipeline.run(spark, SF)
     assert whole.select("doc_id").distinct().count() > 0
+
+
+@pytest.mark.parametrize("html", [
+    "<html><head><title>t</title><body><p>text",
+    "<html><head><title>t</title><p>text",
+    "<html><head><meta charset=x>text",
+    '<body><div class="page with-sidebar"><article><p>text</p></article><div class="sidebar">no</div></div>',
+    '<body><form id="aspnetForm"><input type=hidden value=x><div><p>text</p></div><button>no</button></form>',
+    '<body><form id="search-form"><article><p>text</p></article></form><form><p>no</p></form>',
+    '<body><main class="search-results"><p>text</p></main>',
+    '<body><article class="post comments-open"><p>text</p><div class="comments">no</div></article>',
+    '<body><article class="widget-review"><p>text</p></article>',
+    '<body><div id="share-price-report"><p>text</p></div><div class="share-buttons">no</div>',
+])
+def test_names_and_omitted_tags_do_not_lose_the_text(html):
+    assert Tree(html).text(set()) == "text"
+
+
+def test_marked_parts_still_go():
+    html = ('<body><main><p>text of the page that is long enough to be most of it</p></main><div class="post-comments"><article class="comment">no'
+            '</article></div><div class="cookie-bar">no</div><form><p>no</p></form><div class="banner"><article>no</article></div>')
+    assert Tree(html).text(set()) == "text of the page that is long enough to be most of it"
+
+
+def test_pipeline_decides_repeated_and_null_ids_by_row(spark):
+    """Rows that share an id, or have none, with different texts: only copies and contaminated ones go."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    rows = [(1, words("a", 60)), (1, words("b", 60)), (2, words("a", 60) + " more"), (None, words("c", 60)), (None, words("c", 61)),
+            (None, words("d", 60)), (None, words("a", 61)), (3, words("e", 30) + " " + item), (3, words("e", 30)),
+            (None, words("f", 30) + " " + item), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    near = corpus_pipeline.drop_near_copies(spark, docs, SF).collect()
+    gone = {words("a", 60) + " more", words("a", 61)}
+    assert {(r.doc_id, r.text) for r in near if r.doc_id is not None} == {(i, t) for i, t in rows if i is not None and t not in gone}
+    nulls = [r.text for r in near if r.doc_id is None]
+    assert len(nulls) == 3 and words("d", 60) in nulls and sum(t.startswith("c0 ") for t in nulls) == 1
+    clean = corpus_pipeline.drop_contaminated(spark, docs, SF).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in clean) == sorted((str(i), str(t)) for i, t in rows if item not in (t or ""))

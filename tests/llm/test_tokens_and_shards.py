@@ -154,3 +154,38 @@ def test_shards(spark, n, sources):
             assert all(abs(part[s] - whole[s] / 24) <= 3 for s in whole)
     again = interleaved_shards(frame(spark, rows).repartition(7), 24).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
+
+
+def test_words_of_one_hash_keep_their_own_ids(encoder):
+    """A Thue-Morse word and its complement have the same polynomial hash modulo 2^64."""
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    for texts in ([a, b], [b, a, "x " + a], [a + " " + b + " end"]):
+        assert [x.tolist() for x in Encoder(PATH).encode(texts)] == [ids_of(encoder, t) for t in texts]
+
+
+@pytest.mark.parametrize("histogram", [{k: 200 for k in range(513, 1025)}, {k: 200 for k in range(400, 1025)}])
+def test_long_pieces_are_packed_by_the_program(histogram, monkeypatch):
+    """Pieces over half a sequence: the one-by-one best fit never sees more than FEW of them."""
+    seen, plain = [], packing.best_fit
+    monkeypatch.setattr(packing, "best_fit", lambda left, capacity: seen.append(sum(left.values())) or plain(left, capacity))
+    out = configurations(histogram, 1024)
+    total = Counter()
+    for config, copies in out:
+        assert sum(k * m for k, m in config.items()) <= 1024
+        total.update({k: m * copies for k, m in config.items()})
+    assert total == Counter(histogram) and max(seen) <= packing.FEW
+    need = sum(n for k, n in histogram.items() if k > 512)
+    assert sum(n for _, n in out) <= 1.05 * need
+
+
+def test_best_fit_of_classes():
+    r = random.Random(8)
+    for _ in range(50):
+        left = Counter({r.randrange(1, 1025): r.randrange(1, 10_000) for _ in range(r.randrange(1, 60))})
+        total, out = Counter(), packing.best_fit_of_classes(left, 1024)
+        for config, copies in out:
+            assert copies > 0 and sum(k * m for k, m in config.items()) <= 1024
+            total.update({k: m * copies for k, m in config.items()})
+        assert total == left and sum(n for _, n in out) <= 1.5 * sum(k * n for k, n in left.items()) / 1024 + len(left) + sum(
+            n for k, n in left.items() if k > 512)
