@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tally.llm import toxicity
-from tally.llm.common import same, table, written
+from tally.llm.common import table, written
 from tally.llm.decontamination import contained_items
 from tally.llm.exact_dedup import keep_one
 from tally.llm.ngram_join import near_classes
@@ -28,16 +29,27 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one(docs)
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """Adds ``_key``, a hash of id and text: rows that repeat an id, or have none, are decided each by itself."""
+    return docs.withColumn("_key", F.xxhash64(F.col("doc_id"), F.col("text")))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id; empty texts are no group."""
-    others = near_classes(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    keyed = with_row_key(docs)
+    members = near_classes(keyed, "_key").filter("n_shingles > 0").select("_key", "component_id").distinct()
+    members = written(members.join(keyed.select("_key", "doc_id").distinct(), "_key"), "stage-members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("first")
+    kept = members.groupBy("component_id").agg(first).select("first._key")
+    others = members.join(kept, "_key", "left_anti").select("_key")
+    return keyed.join(others, "_key", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return same(docs, found, ["doc_id"], "left_anti").select(*docs.columns)
+    keyed = with_row_key(docs)
+    found = contained_items(keyed, table(spark, sf_dir, "benchmark"), "_key").select("_key").distinct()
+    return keyed.join(found, "_key", "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
