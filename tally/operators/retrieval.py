@@ -1,10 +1,10 @@
 """FAQ-style retrieval: embed, upsert, exact cosine top-k with over-fetch,
 numeric (yen amount) rerank, and hit-rate evaluation.
 
-The stated queries are scored against the whole corpus in blocks of at most
-``BLOCK`` queries: a document row meets every block of queries in the part of the
-corpus it falls into, whatever the numbers of either (exact, never sampled).
-Top-k per query uses ``row_number() <= k``, which Spark plans as a partial
+Vectors of a declared length are searched by pivots (``operators/pivots.py``): a query meets
+only the blocks of the corpus that may hold one of its first k.  Vectors of no declared
+length are scored against the whole corpus in blocks of at most ``BLOCK`` queries.  Both are exact,
+never sampled.  Top-k per query uses ``row_number() <= k``, which Spark plans as a partial
 WindowGroupLimit before the shuffle, so each task ships at most k candidates per
 query.  A vector that is missing, zero or of another length than the queries' has no
 distance and is no candidate.
@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from tally.functions.text import DOCUMENT_PREFIX, QUERY_PREFIX, is_blank, with_prefix, yen_amounts
 from tally.functions.vectors import cosine_distance, dot_fixed, fake_embedding, has_dimensions, norm_fixed
+from tally.operators.pivots import near_pairs
 
 BLOCK = 256  # queries that a document row meets at a time
 DISTANCE_DIGITS = 9
@@ -71,27 +72,36 @@ def _distance(dim: int | None) -> Column:
     return F.lit(1.0) - F.try_divide(dot_fixed(F.col("embedding"), F.col("_qv"), dim), F.col("_dn") * F.col("_qn"))
 
 
-def cosine_topk(docs: DataFrame, queries: DataFrame, k: int, dim: int | None = None) -> DataFrame:
-    """Nearest ``k`` documents per query (ties by doc_id), exact.
-
-    ``docs``: (doc_id, embedding); ``queries``: (query_id, query_embedding).  ``dim`` is
-    the declared length of the vectors, if they have one; others are left out.
-    """
-    if k <= 0:
-        raise ValueError("limit must be greater than zero")
+def _scored(docs: DataFrame, queries: DataFrame, k: int, dim: int | None) -> DataFrame:
+    """Pairs (query_id, doc_id, distance) among which are the first k of each query."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = docs.filter(F.col("embedding").isNotNull()).select("doc_id", "embedding")
     q = queries.filter(F.col("query_embedding").isNotNull()).select("query_id", F.col("query_embedding").alias("_qv"))
+    distance = F.round(_distance(dim), DISTANCE_DIGITS)
     if dim is not None:
-        d = d.filter(has_dimensions(F.col("embedding"), dim)).withColumn("_dn", norm_fixed(F.col("embedding"), dim))
-        q = q.filter(has_dimensions(F.col("_qv"), dim)).withColumn("_qn", norm_fixed(F.col("_qv"), dim))
+        d = d.filter(has_dimensions(F.col("embedding"), dim)).withColumn("_dn", norm_fixed(F.col("embedding"), dim)).filter("_dn > 0")
+        q = q.filter(has_dimensions(F.col("_qv"), dim)).withColumn("_qn", norm_fixed(F.col("_qv"), dim)).filter("_qn > 0")
+        pairs = near_pairs(d, q, k, distance)
+        if pairs is not None:
+            return pairs
     # one row: the number of blocks
     blocks = F.broadcast(queries.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("_n")))
     d = (d.crossJoin(blocks).withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
          .withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n"))
     q = (q.crossJoin(blocks).withColumn("_block", F.pmod(F.xxhash64("query_id"), F.col("_n")).cast("int")).drop("_n")
          .withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>"))))
-    scored = d.join(q, ["_block", "_part"]).select("query_id", "doc_id", F.round(_distance(dim), DISTANCE_DIGITS).alias("distance"))
+    return d.join(q, ["_block", "_part"]).select("query_id", "doc_id", distance.alias("distance"))
+
+
+def cosine_topk(docs: DataFrame, queries: DataFrame, k: int, dim: int | None = None) -> DataFrame:
+    """Nearest ``k`` documents per query (ties by doc_id), exact.
+
+    ``docs``: (doc_id, embedding); ``queries``: (query_id, query_embedding).  ``dim`` is
+    the declared length of the vectors, if they have one; others are left out.
+    """
+    if k <= 0:
+        raise ValueError("limit must be greater than zero")
+    scored = _scored(docs, queries, k, dim)
     w = Window.partitionBy("query_id").orderBy("distance", "doc_id")
     return (scored.filter(F.col("distance").isNotNull()).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select("query_id", "doc_id", "distance", "rank"))
