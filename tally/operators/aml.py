@@ -80,7 +80,7 @@ def threshold_hits(transfers: DataFrame, threshold: str = THRESHOLD) -> DataFram
     return transfers.filter(F.col("amount") > F.lit(threshold).cast(MONEY))
 
 
-def _qualifies(minimum: str, threshold: str) -> Column:
+def qualifies(minimum: str, threshold: str) -> Column:
     return (F.col("amount") >= F.lit(minimum).cast(MONEY)) & (F.col("amount") <= F.lit(threshold).cast(MONEY))
 
 
@@ -92,7 +92,7 @@ def velocity(transfers: DataFrame, count: int = VELOCITY_COUNT, window: str = VE
 
 def structuring(transfers: DataFrame, count: int = STRUCTURING_COUNT, window: str = STRUCTURING_WINDOW,
                 minimum: str = STRUCTURING_MINIMUM, threshold: str = THRESHOLD, slices: int | None = None) -> DataFrame:
-    return window_counts(transfers, window, qualifying=_qualifies(minimum, threshold), out="structuring_count",
+    return window_counts(transfers, window, qualifying=qualifies(minimum, threshold), out="structuring_count",
                          slices=slices).withColumn("structuring_flag", F.col("structuring_count") >= count)
 
 
@@ -109,7 +109,7 @@ def aml_flags(transfers: DataFrame, accounts: DataFrame, threshold: str = THRESH
         F.col("id").alias("_acc"), F.col("owner_user_id").alias("user_id"))
     t = transfers.join(senders, transfers.from_account_id == senders._acc).drop("_acc")
     t = look_back_counts(t, {"_velocity": (velocity_window, None),
-                             "_structuring": (structuring_window, _qualifies(structuring_minimum, threshold))})
+                             "_structuring": (structuring_window, qualifies(structuring_minimum, threshold))})
     reasons = F.array_compact(F.array(
         F.when(F.col("amount") > F.lit(threshold).cast(MONEY), F.lit("THRESHOLD")),
         F.when(F.col("_velocity") >= velocity_count, F.lit("VELOCITY")),

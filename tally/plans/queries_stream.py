@@ -34,12 +34,15 @@ def _stream_transfers(spark, sf_dir):
     return bank.transfers_from_orders(orders, F.lit(n))
 
 
+def _places(spark: SparkSession, name: str) -> tuple[str, str]:
+    """Folders of a run for results and for the checkpoint."""
+    base, run = ensure_checkpoint_dir(spark).rstrip("/"), uuid.uuid4().hex[:12]
+    return f"{base}/stream-out/{name}-{run}", f"{base}/streams/{name}-{run}"
+
+
 def _drain(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    run = uuid.uuid4().hex[:12]
-    out = f"{base}/stream-out/{name}-{run}"
-    q = (stream.writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", f"{base}/streams/{name}-{run}")
+    out, checkpoint = _places(spark, name)
+    q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
@@ -55,9 +58,10 @@ SELECT id, from_account_id,
 FROM transfers
 """)
 def stream_aml_counts(spark, sf_dir):
-    s = stateful.aml_stream(_stream_transfers(spark, sf_dir), CAT_VELOCITY_COUNT, CAT_VELOCITY_WINDOW, CAT_STRUCT_COUNT,
-                            CAT_STRUCT_WINDOW, CAT_STRUCT_MIN, CAT_THRESHOLD, lateness="1 day")
-    return _drain(spark, s, "aml").select("id", "from_account_id", "velocity_count", "structuring_count")
+    out, checkpoint = _places(spark, "aml")
+    stateful.aml_history_stream(_stream_transfers(spark, sf_dir), out, checkpoint, CAT_VELOCITY_COUNT, CAT_VELOCITY_WINDOW,
+                                CAT_STRUCT_COUNT, CAT_STRUCT_WINDOW, CAT_STRUCT_MIN, CAT_THRESHOLD).awaitTermination()
+    return spark.read.parquet(out).select("id", "from_account_id", "velocity_count", "structuring_count")
 
 
 @register("stream_replay", REQUESTS_SQL + """
@@ -67,11 +71,9 @@ def stream_replay(spark, sf_dir):
     t = _stream_transfers(spark, sf_dir).select(
         F.col("id").alias("request_id"), "idempotency_key", "from_account_id", "to_account_id", "amount",
         F.col("created_at").alias("requested_at"), F.col("from_account_id").alias("caller_user_id"))
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    run = uuid.uuid4().hex[:12]
-    out = f"{base}/stream-out/replay-{run}"
+    out, checkpoint = _places(spark, "replay")
     checked = ledger.own_reason(t, bank.accounts(spark, sf_dir), bank.users(spark, sf_dir))
-    stateful.replay_stream(checked, out, f"{base}/streams/replay-{run}").awaitTermination()
+    stateful.replay_stream(checked, out, checkpoint).awaitTermination()
     return spark.read.parquet(out).select("request_id", "idempotency_key", "replay_status")
 
 
@@ -91,27 +93,23 @@ def stream_login(spark, sf_dir):
 
 
 @register("stream_velocity_windows", f"""
-, w AS (SELECT from_account_id, created_at,
-               (SELECT max(created_at) FROM transfers) - INTERVAL 1 DAY AS wm FROM transfers),
-b AS (SELECT from_account_id, created_at, wm,
-             unnest(generate_series(0, 2)) AS k FROM w),
-win AS (SELECT from_account_id, wm,
+, b AS (SELECT from_account_id, created_at, unnest(generate_series(0, 2)) AS k FROM transfers),
+win AS (SELECT from_account_id,
                epoch_ms(CAST(floor(epoch_ms(created_at) / 864000000.0) AS BIGINT) * 864000000 - k * 864000000)
                  AS window_start
         FROM b)
 SELECT window_start, window_start + INTERVAL 30 DAY AS window_end, from_account_id,
        CAST(count(*) AS BIGINT) AS transfers
-FROM win
-WHERE window_start + INTERVAL 30 DAY <= wm
-GROUP BY window_start, from_account_id, wm
+FROM win GROUP BY window_start, from_account_id
 HAVING count(*) >= {CAT_VELOCITY_COUNT}
-""".replace("\n, w AS", ", w AS", 1))
+""".replace("\n, b AS", ", b AS", 1))
 def stream_velocity_windows(spark, sf_dir):
-    """Sliding-window dashboard: windows closed by the final watermark."""
-    s = dashboard.velocity_windows(_stream_transfers(spark, sf_dir), "30 days", "10 days", CAT_VELOCITY_COUNT,
-                                   lateness="1 day")
-    out = _drain(spark, s, "dashboard")
-    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).withColumn(
+    """Sliding-window dashboard: all windows, those that are still open at the end included."""
+    windows = dashboard.velocity_windows(_stream_transfers(spark, sf_dir), "30 days", "10 days", CAT_VELOCITY_COUNT, lateness="1 day")
+    out, checkpoint = _places(spark, "dashboard")
+    dashboard.keep_windows(windows, out, checkpoint).awaitTermination()
+    saved = dashboard.saved_windows(spark, windows, out)
+    return saved.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).withColumn(
         "window_end", F.col("window_end").cast("timestamp_ntz"))
 
 

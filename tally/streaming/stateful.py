@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tally.operators import aml, ledger, sessions
+from tally.operators.slices import joined_on
 
 
 def _set_timeout(state: GroupState, ms: int) -> None:
@@ -86,6 +87,54 @@ def aml_stream(transfers: DataFrame, velocity_count: int = aml.VELOCITY_COUNT, v
         fn, out, AML_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def aml_history_stream(transfers: DataFrame, out: str, checkpoint: str, velocity_count: int = aml.VELOCITY_COUNT,
+                       velocity_window: str = aml.VELOCITY_WINDOW, structuring_count: int = aml.STRUCTURING_COUNT,
+                       structuring_window: str = aml.STRUCTURING_WINDOW, minimum: str = aml.STRUCTURING_MINIMUM,
+                       threshold: str = aml.THRESHOLD, lateness: str = "10 minutes"):
+    """Start an availableNow stream of velocity and structuring counts; returns the query.
+
+    Each micro-batch is counted by the batch operator together with the earlier transfers of its
+    senders that its look-backs can reach.  Those are read from the results themselves, which lie
+    at ``out`` in a folder per epoch and per span of the longest window, so what a batch reads
+    is bounded by a few windows' traffic, not by the history; a busy sender is spread as in the
+    batch operator.  No row is dropped: one that comes more than ``lateness`` behind the newest row of
+    earlier batches is counted all the same and marked in the column ``late``.  A repeated
+    epoch rewrites its folder and reads only earlier ones; a new checkpoint needs a new ``out``.
+    """
+    horizon = max(aml._micros(velocity_window), aml._micros(structuring_window))
+    kept = T.StructType([*(transfers.schema[c] for c in AML_KEYS), *(T.StructField(n, t) for n, t in AML_OUT),
+                         T.StructField("late", T.BooleanType()), T.StructField("_t", T.LongType()),
+                         T.StructField("_epoch", T.LongType()), T.StructField("_span", T.LongType())])
+    looks = {"velocity_count": (velocity_window, None),
+             "structuring_count": (structuring_window, aml.qualifies(minimum, threshold))}
+
+    def decide(df: DataFrame, epoch: int) -> None:
+        spark = df.sparkSession
+        new = df.select(*AML_KEYS, F.unix_micros(F.col("created_at").cast("timestamp")).alias("_t"))
+        first, last = new.agg(F.min("_t"), F.max("_t")).first()
+        newest, known = None, new.withColumn("_new", F.lit(True))
+        if epoch and first is not None:
+            saved = spark.read.schema(kept).parquet(out).filter((F.col("_epoch") < epoch) & (F.col("_span") >= first // horizon - 1))
+            newest = saved.agg(F.max("_t")).first()[0]
+            reached = saved.filter(F.col("_span") <= last // horizon).select(*new.columns, F.lit(False).alias("_new"))
+            known = known.unionByName(joined_on(reached, new.select("from_account_id").distinct(), ["from_account_id"], "left_semi"))
+        counted = aml.look_back_counts(known, looks).filter("_new")
+        behind = F.lit(False) if newest is None else F.coalesce(F.col("_t") < newest - aml._micros(lateness), F.lit(False))
+        (counted.withColumn("velocity_flag", F.col("velocity_count") >= velocity_count)
+         .withColumn("structuring_flag", F.col("structuring_count") >= structuring_count)
+         .withColumn("late", behind).withColumn("_span", F.floor(F.coalesce("_t", F.lit(0)) / horizon))
+         .select(*[f.name for f in kept if f.name != "_epoch"])
+         .write.mode("overwrite").partitionBy("_span").parquet(f"{out}/_epoch={epoch}"))
+
+    return (transfers.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def late_rows(query) -> int:
+    """Rows that the stateful operators of a finished stream dropped behind its watermark."""
+    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"])
+
+
 # ---------------------------------------------------------------- ST3: replay / conflict per idempotency key
 
 
@@ -134,7 +183,11 @@ LOGIN_STATE = "state string"
 def login_stream(attempts: DataFrame, window_seconds: int = sessions.LIMIT_WINDOW_SECONDS,
                  max_requests: int = sessions.LIMIT_MAX_REQUESTS, lock_after: int = sessions.LOCK_AFTER_FAILURES,
                  lock_hours: int = sessions.LOCK_HOURS, lateness: str = "1 minute") -> DataFrame:
-    """Streaming twin of :func:`tally.operators.sessions.login_outcomes`."""
+    """Streaming twin of :func:`tally.operators.sessions.login_outcomes`.
+
+    The state of a user is its open windows, failure count and lock.  Windows go when they have
+    run out, and a user without failures goes with the last of them.
+    """
     lock_us = lock_hours * 3_600_000_000
     src = (attempts.withColumn("_et", F.col("ts").cast("timestamp")).withWatermark("_et", lateness)
            .select("_et", "attempt_id", "ip", "username", F.col("ts").cast("timestamp_ntz").alias("ts"), "success",
@@ -142,7 +195,12 @@ def login_stream(attempts: DataFrame, window_seconds: int = sessions.LIMIT_WINDO
 
     def fn(key, pdfs, state: GroupState):
         if state.hasTimedOut:
-            state.remove()
+            m = sessions.LoginMachine(window_seconds * 1_000_000, max_requests, lock_after, lock_us)
+            m.restore(state.get[0])
+            if m.failures or m.locked_until is not None:  # failures count until a login succeeds, however long that takes
+                state.update((m.export(state.getCurrentWatermarkMs() * 1000),))
+            else:
+                state.remove()
             return
         new = pd.concat(list(pdfs), ignore_index=True).sort_values(["_t", "attempt_id"], kind="stable")
         m = sessions.LoginMachine(window_seconds * 1_000_000, max_requests, lock_after, lock_us)
@@ -151,7 +209,7 @@ def login_stream(attempts: DataFrame, window_seconds: int = sessions.LIMIT_WINDO
         out = sessions.login_steps(new, [m] * len(new))
         last = int(new["_t"].max())
         state.update((m.export(last),))
-        _set_timeout(state, int(max(last + window_seconds * 1_000_000, m.locked_until or 0, last + lock_us) // 1000))
+        _set_timeout(state, (last + window_seconds * 1_000_000) // 1000 + 1)
         yield out[sessions.LOGIN_COLUMNS]
 
     return src.groupBy("username").applyInPandasWithState(
