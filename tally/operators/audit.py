@@ -146,13 +146,52 @@ def layer_parity(bronze: dict, silver: dict, quarantine: dict) -> DataFrame:
     )
 
 
+def parity(evaluations: dict, order: tuple = ("_ingested_at",)) -> DataFrame:
+    """:func:`layer_parity` of rule evaluations by table, from one pass over each table."""
+    out = None
+    for t, evaluation in evaluations.items():
+        counts = evaluation.layer_counts(list(order)).withColumn("table_name", F.lit(t))
+        out = counts if out is None else out.unionByName(counts)
+    left = F.col("bronze") - F.col("silver") - F.col("quarantine")
+    return out.select("table_name", "business_date", F.col("bronze").alias("bronze_count"), F.col("silver").alias("silver_count"),
+                      F.col("quarantine").alias("quarantine_count"), left.alias("deduplicated_count"), (left == 0).alias("parity"))
+
+
 def critical_failures(dq_results: DataFrame) -> DataFrame:
     """Critical rules that failed, per table and business date."""
     return dq_results.filter((F.col("severity") == "critical") & ~F.col("passed"))
 
 
+def rules_that_ran(declared: dict, results: DataFrame) -> DataFrame:
+    """Every declared (table, rule), on how many dates ``results`` has it, and whether it ran at all: a
+    rule that silently did not run fails nothing, so its absence must show."""
+    rows = [(t, name) for t, names in declared.items() for name in names]
+    wanted = results.sparkSession.createDataFrame(rows, "table_name string, rule_name string")
+    seen = results.groupBy("table_name", "rule_name").agg(F.countDistinct("business_date").alias("dates_checked"))
+    dates = F.coalesce(F.col("dates_checked"), F.lit(0)).cast("long")
+    return wanted.join(seen, ["table_name", "rule_name"], "left").select(
+        "table_name", "rule_name", dates.alias("dates_checked"), (dates > 0).alias("ran"))
+
+
+def multiset_print(df: DataFrame) -> DataFrame:
+    """One row that doesn't depend on the order of rows: their count and the sums of two 64-bit hashes of
+    each; a NULL counts as a value of its own."""
+    values = [c for name in df.columns for c in (F.col(name), F.col(name).isNull())]
+    sums = [F.sum(F.xxhash64(F.lit(seed), *values).cast("decimal(38,0)")).alias(f"h{seed}") for seed in (1, 2)]
+    return df.agg(F.count(F.lit(1)).alias("n"), *sums)
+
+
 def multiset_equal(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row: whether a and b hold the same rows with the same multiplicities."""
+    """One row: whether a and b hold the same rows with the same multiplicities.
+
+    Equal sides are told by one pass over each (:func:`multiset_print`); only sides that differ are
+    shuffled to count the rows that one has and the other hasn't.
+    """
+    spark = a.sparkSession
+    typed = b.select(*[F.col(y).cast(t).alias(x) for (x, t), y in zip(a.dtypes, b.columns, strict=True)])
+    if multiset_print(a).first() == multiset_print(typed).first():
+        return spark.range(1).select(F.lit(0).cast("long").alias("only_left"), F.lit(0).cast("long").alias("only_right"),
+                                     F.lit(True).alias("equal"))
     diff = a.exceptAll(b).select(F.lit(1).alias("_side")).unionByName(b.exceptAll(a).select(F.lit(2).alias("_side")))
     return diff.agg(F.count_if(F.col("_side") == 1).alias("only_left"),
                     F.count_if(F.col("_side") == 2).alias("only_right")).withColumn(

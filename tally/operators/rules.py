@@ -129,6 +129,24 @@ class Evaluation:
         ])
         return one.select(*by, F.inline(rows)).withColumn("passed", F.col("rows_failed") == 0)
 
+    def layer_counts(self, order: Sequence[str], date: str = "business_date") -> DataFrame:
+        """Per date the rows of the input (``bronze``), of :meth:`quarantined` and of :meth:`clean_latest`
+        (``silver``), all three from one pass: counts per (id, date) first, then per id, whose
+        dates are few."""
+        rest = [c for c in self.base_columns if c != self.id_column and c not in order]
+        newest = F.max(F.struct(*[F.col(c) for c in (*order, *rest)])).alias("newest")
+        days = self.flagged.select(*self.base_columns, F.coalesce(self._row_failed(), F.lit(False)).alias("_failed")).groupBy(
+            self.id_column, F.col(date).alias("_day")).agg(F.count(F.lit(1)).alias("n"), F.bool_or("_failed").alias("failed"), newest)
+        ids = days.groupBy(self.id_column).agg(F.bool_or("failed").alias("failed"), F.max("newest").alias("newest"),
+                                               F.collect_list(F.struct("_day", "n")).alias("days"))
+        none = F.lit(0).cast("long")
+        row = lambda day, bronze, silver, out: F.struct(
+            day.alias(date), bronze.alias("bronze"), silver.cast("long").alias("silver"), out.alias("quarantine"))
+        landed = F.transform("days", lambda d: row(d["_day"], d["n"], none, F.when(F.col("failed"), d["n"]).otherwise(none)))
+        kept = F.array(row(F.col("newest")[date], none, F.when(F.col("failed"), 0).otherwise(1), none))
+        parts = ids.select(F.inline(F.concat(landed, kept)))
+        return parts.groupBy(date).agg(*[F.sum(c).cast("long").alias(c) for c in ("bronze", "silver", "quarantine")]).filter("bronze > 0")
+
     def failed_rules(self) -> Column:
         names = [F.when(F.col(f), F.lit(r.name)) for r, f in zip(self.rules, self.flag_columns)
                  if r.severity == CRITICAL]

@@ -247,11 +247,8 @@ FROM b LEFT JOIN s ON s.table_name = b.table_name AND s.business_date = b.busine
        LEFT JOIN qq ON qq.table_name = b.table_name AND qq.business_date = b.business_date
 """)
 def row_count_parity(spark, sf_dir):
-    from tally.operators.audit import layer_parity
+    from tally.operators.audit import parity
     from tally.plans import medallion as M
-    from tally.plans.queries_ledger import _silver
 
-    bronze = M.bronze_tables(spark, sf_dir)
-    s = _silver(spark, sf_dir)
-    return layer_parity({t: bronze[t] for t in M.TABLES}, {t: s[t].clean for t in M.TABLES},
-                        {t: s[t].quarantined for t in M.TABLES})
+    s = M.silver_all(M.bronze_tables(spark, sf_dir), share=True)
+    return parity({t: s[t].evaluation for t in M.TABLES})

@@ -123,14 +123,37 @@ UNPIVOT (rows_failed FOR rule_name IN ("not_null:from_account_id", "not_null:to_
 WHERE rows_failed > 0
 """)
 def critical_failures(spark, sf_dir):
+    return audit.critical_failures(_daily_counts(spark, sf_dir)[0]).select("table_name", "business_date", "rule_name", "rows_failed")
+
+
+def _daily_counts(spark, sf_dir):
+    """Results of all rules per table and date, and the Silver results that they come from."""
     from tally.plans.queries_ledger import _silver
 
-    s = _silver(spark, sf_dir)
+    s = _silver(spark, sf_dir, share=True)
     out = None
     for t in M.TABLES:
         c = s[t].evaluation.counts(by=["business_date"]).withColumn("table_name", F.lit(t))
         out = c if out is None else out.unionByName(c)
-    return audit.critical_failures(out).select("table_name", "business_date", "rule_name", "rows_failed")
+    return out, s
+
+
+@register("rules_that_ran", """
+, declared AS (SELECT * FROM (VALUES
+    ('accounts', ['not_null:id', 'not_null:account_number', 'unique:account_number', 'isin:status', 'non_negative:balance']),
+    ('ledger_entries', ['not_null:account_id', 'isin:entry_type', 'positive:amount', 'referential_integrity:account_id->id']),
+    ('transfers', ['not_null:from_account_id', 'not_null:to_account_id', 'positive:amount',
+                   'referential_integrity:from_account_id->id', 'referential_integrity:to_account_id->id'])) AS v(table_name, rules)),
+days AS (SELECT 'accounts' AS table_name, count(DISTINCT business_date) AS n FROM bronze_accounts
+         UNION ALL SELECT 'ledger_entries', count(DISTINCT business_date) FROM bronze_ledger_entries
+         UNION ALL SELECT 'transfers', count(DISTINCT business_date) FROM bronze_transfers)
+SELECT table_name, unnest(rules) AS rule_name, CAST(n AS BIGINT) AS dates_checked, TRUE AS ran
+FROM declared JOIN days USING (table_name)
+""")
+def rules_that_ran(spark, sf_dir):
+    """On how many dates every declared rule left a result; one that left none did not run."""
+    results, s = _daily_counts(spark, sf_dir)
+    return audit.rules_that_ran({t: [r.name for r in s[t].evaluation.rules] for t in M.TABLES}, results)
 
 
 @register("posting_vs_source", """

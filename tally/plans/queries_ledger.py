@@ -12,8 +12,8 @@ from tally.sources import bank
 from tally.sources.testdata import table
 
 
-def _silver(spark, sf_dir):
-    return M.silver_all(M.bronze_tables(spark, sf_dir))
+def _silver(spark, sf_dir, share=False):
+    return M.silver_all(M.bronze_tables(spark, sf_dir), share)
 
 
 def _no_meta(df):
@@ -280,7 +280,7 @@ UNPIVOT (rows_failed FOR rule_name IN ("not_null:from_account_id", "not_null:to_
                                         "referential_integrity:to_account_id->id"))
 """)
 def dq_results(spark, sf_dir):
-    s = _silver(spark, sf_dir)
+    s = _silver(spark, sf_dir, share=True)
     out = None
     for t in M.TABLES:
         c = s[t].counts().withColumn("table_name", F.lit(t))

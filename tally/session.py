@@ -7,6 +7,7 @@ library depends on (UTC session clock, string partition values).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -49,20 +50,19 @@ def apply_required_conf(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the operator sets it to a shared filesystem; we only pick a
-    scratch folder when it is unset (local tests).
+    On a cluster the operator sets it to a shared filesystem, and it is an error if it is
+    unset.  Only a local session (tests, the bench) gets a scratch folder of its own.
     """
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
         sc = None
     current = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
-    if current:
-        if sc is not None and not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return current
-    path = tempfile.mkdtemp(prefix="tally-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    if sc is not None:
-        sc.setCheckpointDir(path)
-    return path
+    if not current:
+        if not (sc and re.match(r"local(\[|$)", sc.master)):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        current = tempfile.mkdtemp(prefix="tally-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", current)
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
+    return current

@@ -92,3 +92,35 @@ def test_scenario_helpers_and_small_functions(spark):
     assert (eq["only_left"], eq["only_right"], eq["equal"]) == (0, 1, False)
     acc = spark.range(1).select(account_number_from_key(F.lit("00000000-0000-0000-0000-000000000001"))).first()[0]
     assert acc.startswith("ACC-") and len(acc) == 12 and acc[4:] == acc[4:].upper()
+
+
+def test_multisets_are_compared_by_print_first(spark):
+    """Equal sides in another order and type; a NULL that moves to the next column; a row twice instead of another."""
+    df = spark.createDataFrame([(1, "a", None), (2, None, "b"), (2, None, "b"), (3, "c", "d")], "i int, x string, y string")
+    same = df.orderBy(F.desc("i")).select(F.col("i").cast("long").alias("j"), "x", "y")
+    assert tuple(audit.multiset_equal(df, same).first()) == (0, 0, True)
+    moved = spark.createDataFrame([(1, None, "a"), (2, None, "b"), (2, None, "b"), (3, "c", "d")], df.schema)
+    assert tuple(audit.multiset_equal(df, moved).first()) == (1, 1, False)
+    twice = spark.createDataFrame([(1, "a", None), (2, None, "b"), (3, "c", "d"), (3, "c", "d")], df.schema)
+    assert tuple(audit.multiset_equal(df, twice).first()) == (1, 1, False)
+    assert tuple(audit.multiset_equal(df.limit(0), df).first()) == (0, 4, False)
+
+
+def test_no_machine_local_folder_on_a_cluster(monkeypatch):
+    from tally import session
+
+    class Conf:
+        get = staticmethod(lambda *a: None)
+
+    class Spark:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "local-cluster[2,1,1024]", "getCheckpointDir": staticmethod(lambda: None)})()
+
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(Spark())
+
+
+def test_a_rule_that_did_not_run_shows(spark):
+    results = spark.createDataFrame([("t", "a", "d1"), ("t", "a", "d2"), ("u", "a", "d1")], "table_name string, rule_name string, business_date string")
+    got = audit.rules_that_ran({"t": ["a", "b"], "u": ["a"]}, results).collect()
+    assert sorted(map(tuple, got)) == [("t", "a", 2, True), ("t", "b", 0, False), ("u", "a", 1, True)]
