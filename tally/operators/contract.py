@@ -2,9 +2,9 @@
 
 Kinds, in precedence order: missing_table, missing_column, type_changed,
 nullability_loosened, ok; live columns absent from the contract are
-``new_column`` warnings (not breaking).  Live nullability is *observed*
-(a column is nullable when it holds a NULL) because parquet readers report
-every column as nullable.
+``new_column`` warnings (not breaking).  Live nullability is what the database declares
+(``sources/jdbc.py: live_contract``); for files it is *observed* (a column is nullable
+when it holds a NULL), because parquet readers report every column as nullable.
 """
 from __future__ import annotations
 
@@ -80,6 +80,12 @@ def live_schema(spark: SparkSession, tables: dict) -> DataFrame:
     return out
 
 
+def declared_schema(spark: SparkSession, schemas: dict) -> DataFrame:
+    """(table, column, type, nullable) of schemas whose nullability is declared, by table."""
+    rows = [(t, f.name, canonical_type(f.dataType), f.nullable) for t, schema in schemas.items() for f in schema.fields]
+    return spark.createDataFrame(rows, CONTRACT_SCHEMA)
+
+
 def contract_diff(contract: DataFrame, live: DataFrame) -> DataFrame:
     """One row per contracted column plus one per uncontracted live column."""
     c = contract.select("table_name", "column_name", F.col("data_type").alias("c_type"),

@@ -11,6 +11,8 @@ injects a failure for recovery tests.
 from __future__ import annotations
 
 import datetime as dt
+import json
+import os
 import uuid
 
 from pyspark import StorageLevel
@@ -22,6 +24,7 @@ from tally.operators import audit, checks, contract, gold, rules
 from tally.plans import medallion as M
 from tally.sources import lake
 
+CONTRACT = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "checks", "contracts", "source_contract.json")
 EVENT_SCHEMA = ("batch_id string, dag_run_id string, task_id string, attempt int, layer string, source_table string, "
                 "business_date string, status string, started_at timestamp, ended_at timestamp, rows_read long, "
                 "rows_written long, error_message string")
@@ -95,9 +98,10 @@ class Run:
 
 
 def run_day(spark: SparkSession, sources: dict, root: str, business_date: str, run_id: str,
-            contract_doc: dict | None = None, fail_at: str | None = None) -> Run:
+            contract_doc: dict | None = None, fail_at: str | None = None, live: DataFrame | None = None) -> Run:
     """``sources``: source DataFrames ``accounts`` (full snapshot), ``ledger_entries`` and
-    ``transfers`` (rows of the day are selected by created_at)."""
+    ``transfers`` (rows of the day are selected by created_at).  ``live`` is the source's schema as
+    its database declares it, which the contract is held against; without it NULLs are looked for."""
     r = Run(spark, root, business_date, run_id, fail_at)
     begin = dt.date.fromisoformat(business_date)
     # a range on the bare column, so that it reaches the scan or the database
@@ -108,8 +112,8 @@ def run_day(spark: SparkSession, sources: dict, root: str, business_date: str, r
     # contract gate
     if contract_doc is not None:
         def _contract(batch_id):
-            live = contract.live_schema(spark, sources)
-            diff = contract.contract_diff(contract.contract_frame(spark, contract_doc), live)
+            seen = contract.live_schema(spark, sources) if live is None else live
+            diff = contract.contract_diff(contract.contract_frame(spark, contract_doc), seen)
             counts = diff.select(
                 F.concat(F.lit("contract:"), F.when(F.col("kind") == "new_column", F.lit("new_column:")).otherwise(F.lit("")),
                          F.col("table_name"), F.lit("."), F.col("column_name")).alias("rule_name"),
@@ -221,6 +225,7 @@ def main(argv=None) -> None:
 
     from tally.session import ensure_checkpoint_dir, local_session
     from tally.sources import bank
+    from tally.sources.testdata import table
 
     ap = argparse.ArgumentParser(description=main.__doc__)
     ap.add_argument("--sf-dir", required=True)
@@ -233,7 +238,10 @@ def main(argv=None) -> None:
     root = a.root or f"{ensure_checkpoint_dir(spark).rstrip('/')}/lake"
     sources = {"accounts": bank.accounts(spark, a.sf_dir), "ledger_entries": bank.ledger_entries(spark, a.sf_dir),
                "transfers": bank.transfers(spark, a.sf_dir)}
-    run_day(spark, sources, root, a.date, a.run_id, fail_at=a.fail_at)
+    with open(CONTRACT, encoding="utf-8") as f:
+        doc = json.load(f)
+    live = contract.live_schema(spark, {t: table(spark, a.sf_dir, t, *columns) for t, columns in doc["tables"].items()})
+    run_day(spark, sources, root, a.date, a.run_id, doc, a.fail_at, live)
     print(root)
 
 

@@ -10,6 +10,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from tally.operators.contract import declared_schema
 
 
 def key_ranges(column: str, parts: int) -> list[str]:
@@ -49,8 +52,35 @@ def read_table(spark: SparkSession, url: str, table: str, properties: dict | Non
             .option("upperBound", upper_bound + 1).option("numPartitions", num_partitions).load())
 
 
-def information_schema_columns(spark: SparkSession, url: str, schema: str, properties: dict | None = None) -> DataFrame:
-    """Live (table, column, type, nullable) of a JDBC schema, for the contract diff."""
-    q = ("SELECT table_name, column_name, data_type, is_nullable FROM information_schema.columns "
-         f"WHERE table_schema = '{schema}'")
-    return spark.read.format("jdbc").option("url", url).option("query", q).options(**(properties or {})).load()
+def nullable_columns(spark: SparkSession, url: str, table: str, properties: dict | None = None) -> dict[str, bool]:
+    """Per column whether the database lets it be NULL, from JDBC's own catalogue (Spark reads every
+    column as nullable); none for a table that it doesn't have."""
+    jvm = spark._jvm
+    given = jvm.java.util.Properties()
+    for k, v in (properties or {}).items():
+        given.setProperty(k, v)
+    connection = jvm.java.sql.DriverManager.getConnection(url, given)
+    try:
+        schema, _, name = table.rpartition(".")
+        for spelled in (str, str.upper, str.lower):  # databases fold unquoted names either way
+            rows, found = connection.getMetaData().getColumns(None, spelled(schema) or None, spelled(name), None), {}
+            while rows.next():
+                found[rows.getString("COLUMN_NAME")] = rows.getString("IS_NULLABLE") != "NO"
+            if found:
+                return found
+        return {}
+    finally:
+        connection.close()
+
+
+def live_contract(spark: SparkSession, url: str, tables: list[str], properties: dict | None = None) -> DataFrame:
+    """(table, column, type, nullable) as the database declares them, for the contract diff.  Only
+    metadata is read; a column is nullable where NULL is allowed, whether or not it holds one.
+    A table that the database doesn't have has no rows."""
+    found = {}
+    for name in tables:
+        nullable = nullable_columns(spark, url, name, properties)
+        if nullable:
+            schema = read_table(spark, url, name, properties).schema
+            found[name] = T.StructType([T.StructField(f.name, f.dataType, nullable.get(f.name, True)) for f in schema.fields])
+    return declared_schema(spark, found)

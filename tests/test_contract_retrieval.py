@@ -149,3 +149,37 @@ def test_upsert_inserts_then_updates(spark):
     assert retrieval.validate_embeddings(second, 8).count() == 0
     bad = copy.deepcopy(DOC)
     assert bad == DOC
+
+
+def test_declared_nullability_breaks_the_contract_without_a_null(spark, tmp_root):
+    """The database's own declarations: NOT NULL -> nullable stops the run although no NULL is there."""
+    from decimal import Decimal
+
+    from pyspark.sql import types as T
+
+    from tally.plans.daily_run import run_day
+    from tally.sources import bank, jdbc
+    from tests.test_sources_helpers import DERBY
+
+    url, props = "jdbc:derby:memory:tallycontract;create=true", {"driver": DERBY}
+
+    def land(name, rows, *fields):
+        schema = T.StructType([T.StructField(n, t, null) for n, t, null in fields])
+        spark.createDataFrame(rows, schema).write.mode("overwrite").jdbc(url, name, properties=props)
+
+    def accounts(null, kind=T.LongType()):
+        land("accounts", [(1, Decimal(1))] if kind == T.LongType() else [("1", Decimal(1))], ("id", kind, False), ("balance", T.DecimalType(19, 4), null))
+
+    doc = {"tables": {"accounts": {"id": {"type": "BIGINT", "nullable": False}, "balance": {"type": "DECIMAL(19,4)", "nullable": False}},
+                      "transfers": {"amount": {"type": "DECIMAL(19,4)", "nullable": True}}}}
+    kinds = lambda: {(r["table_name"], r["column_name"]): r["kind"] for r in contract.contract_diff(
+        contract.contract_frame(spark, doc), jdbc.live_contract(spark, url, ["accounts", "transfers"], props)).collect()}
+    accounts(False)
+    assert kinds()[("transfers", "amount")] == "missing_table"
+    land("transfers", [(Decimal(2),)], ("amount", T.DecimalType(19, 4), True))
+    assert set(kinds().values()) == {"ok"}
+    accounts(True)
+    assert kinds() == {("accounts", "id"): "ok", ("accounts", "balance"): "nullability_loosened", ("transfers", "amount"): "ok"}
+    sources = {"accounts": bank.accounts(spark, SF), "ledger_entries": bank.ledger_entries(spark, SF), "transfers": bank.transfers(spark, SF)}
+    with pytest.raises(RuntimeError, match="accounts.balance"):
+        run_day(spark, sources, tmp_root, "1995-01-02", "r1", doc, live=jdbc.live_contract(spark, url, ["accounts", "transfers"], props))
