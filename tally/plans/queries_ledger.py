@@ -288,8 +288,7 @@ def dq_results(spark, sf_dir):
     return out.select("table_name", "rule_name", "severity", "rows_checked", "rows_failed", "passed")
 
 
-@register("gate_results", """
-, sa AS (SELECT * FROM silver_accounts), sl AS (SELECT * FROM silver_ledger_entries)
+_GATE_SQL = """
 SELECT 'accounts' AS table_name, 'gx:expect_column_values_to_not_be_null:id' AS rule_name,
        CAST((SELECT count(*) FROM sa) AS BIGINT) AS rows_checked,
        CAST((SELECT count(*) FROM sa WHERE id IS NULL) AS BIGINT) AS rows_failed
@@ -308,18 +307,49 @@ UNION ALL SELECT 'ledger_entries', 'gx:expect_column_values_to_be_in_set:entry_t
        (SELECT count(*) FROM sl WHERE NOT entry_type IN ('DEBIT', 'CREDIT'))
 UNION ALL SELECT 'ledger_entries', 'gx:expect_column_values_to_be_between:amount', (SELECT count(*) FROM sl),
        (SELECT count(*) FROM sl WHERE NOT (amount > 0))
-""".replace("\n, sa AS", ", sa AS", 1))
+"""
+
+
+@register("gate_results", ", sa AS (SELECT * FROM silver_accounts), sl AS (SELECT * FROM silver_ledger_entries)" + _GATE_SQL)
 def gate_results(spark, sf_dir):
+    s = _silver(spark, sf_dir)
+    return _gate({t: s[t].clean for t in ("accounts", "ledger_entries")})
+
+
+def _gate(frames):
     from tally.operators.rules import gate_counts
 
-    s = _silver(spark, sf_dir)
     out = None
-    for t in ("accounts", "ledger_entries"):
-        c = gate_counts(s[t].clean, M.gate_rules(t)).withColumn("table_name", F.lit(t))
+    for t, df in frames.items():
+        c = gate_counts(df, M.gate_rules(t)).withColumn("table_name", F.lit(t))
         out = c if out is None else out.unionByName(c)
     return out.select("table_name", "rule_name", "rows_checked", "rows_failed")
 
 
+@register("gate_failures", """
+, sa AS (SELECT id, account_number, status, account_type, balance FROM silver_accounts
+         UNION ALL SELECT CASE WHEN id % 5 <> 0 THEN id END, account_number, CASE WHEN id % 3 = 0 THEN 'LOST' ELSE status END,
+                          account_type, -balance - 1 FROM silver_accounts WHERE id % 2 = 0),
+sl AS (SELECT id, account_id, entry_type, amount FROM silver_ledger_entries
+       UNION ALL SELECT id, CASE WHEN id % 4 <> 0 THEN account_id END, CASE WHEN id % 7 = 0 THEN 'REFUND' ELSE entry_type END,
+                        CASE WHEN id % 6 = 0 THEN amount - amount ELSE amount END FROM silver_ledger_entries WHERE amount > 200000)
+""".rstrip() + _GATE_SQL)
+def gate_failures(spark, sf_dir):
+    """The gate over Silver output that was damaged afterwards: copies of half the accounts and of large
+    entries with lost ids, unknown states and amounts that are not positive."""
+    s = _silver(spark, sf_dir)
+    acc = s["accounts"].clean.select("id", "account_number", "status", "account_type", "balance")
+    led = s["ledger_entries"].clean.select("id", "account_id", "entry_type", "amount")
+    pick = lambda column, n, other: F.when(F.col("id") % n == 0, other).otherwise(F.col(column))
+    lost = acc.filter("id % 2 = 0").select(
+        pick("id", 5, F.lit(None)).alias("id"), "account_number", pick("status", 3, F.lit("LOST")).alias("status"), "account_type",
+        (-F.col("balance") - 1).cast(acc.schema["balance"].dataType).alias("balance"))
+    bad = led.filter("amount > 200000").select(
+        "id", pick("account_id", 4, F.lit(None)).alias("account_id"), pick("entry_type", 7, F.lit("REFUND")).alias("entry_type"),
+        pick("amount", 6, F.col("amount") - F.col("amount")).cast(led.schema["amount"].dataType).alias("amount"))
+    return _gate({"accounts": acc.unionByName(lost), "ledger_entries": led.unionByName(bad)})
+
+
 @register("dedup_latest", """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
        l_returnflag, l_linestatus, l_shipdate
