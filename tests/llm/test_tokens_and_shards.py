@@ -189,3 +189,28 @@ def test_best_fit_of_classes():
             total.update({k: m * copies for k, m in config.items()})
         assert total == left and sum(n for _, n in out) <= 1.5 * sum(k * n for k, n in left.items()) / 1024 + len(left) + sum(
             n for k, n in left.items() if k > 512)
+
+
+def test_shards_equal_their_definition(spark):
+    """Shard and slot of every row from the rows' hashes, by sorting in plain Python."""
+    from pyspark.sql import functions as F
+
+    from tally.llm.sharding import unit
+
+    r = random.Random(6)
+    rows = [(i, "x" * r.randrange(30), r.choice(["a", "a", "a", "b", None, f"s{i % 40}"])) for i in range(700)] + [(3, "x", "a"), (None, None, "b")]
+    df = frame(spark, rows)
+    hashes = df.select("doc_id", "text", "source", unit(F.col("doc_id"), seed=17).alias("u"), unit(F.col("source"), seed=18).alias("p")).collect()
+    kept = [(h.source, h.u, h.doc_id, len(h.text or "") + 8, zlib.crc32((h.text or "").encode()), h.p) for h in hashes]
+    none_first = lambda x: (x is not None, x)
+    placed = []
+    for source in {k[0] for k in kept}:
+        own = sorted((k for k in kept if k[0] == source), key=lambda k: (k[1], none_first(k[2]), k[3], k[4]))
+        placed += [((rank + k[5] / 2.0 ** 63) / len(own), *k) for rank, k in enumerate(own)]
+    placed.sort(key=lambda k: (k[0], k[2], none_first(k[1]), none_first(k[3]), k[4], k[5]))
+    n, shards, want = len(placed), 24, []
+    for pos, (_, source, _, i, size, crc, _) in enumerate(placed):
+        shard = pos * shards // n
+        want.append((i, source, size, crc, shard, pos - (shard * n + shards - 1) // shards))
+    got = [tuple(x) for x in interleaved_shards(df, shards).select("doc_id", "source", "size", "text_crc32", "shard", "slot").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
