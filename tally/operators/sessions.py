@@ -13,6 +13,7 @@ attack on one user that never lets a login through costs a round for each of tha
 """
 from __future__ import annotations
 
+import hashlib
 import json
 from typing import Iterator
 
@@ -186,7 +187,7 @@ def login_outcomes(attempts: DataFrame, window_seconds: int = LIMIT_WINDOW_SECON
     user = {r[0]: r["first"]["username"] for r in ends}
     whole_user = {r[0] for r in ends if r["first"]["username"] == r["last"]["username"]}
     state = {r[0]: r["last"]["state"] for r in ends}
-    nothing = spark.range(1).select(F.sha2(F.lit(NO_STATE), 256)).first()[0]
+    nothing = hashlib.sha256(NO_STATE.encode()).hexdigest()
     begun, made = dict.fromkeys(before, nothing), dict.fromkeys(state, 0)  # made: the round with a slice's rows of its first user
     ending = dict.fromkeys(state, 0)  # the round with the state at a slice's end
     while wrong := [s for s, p in before.items() if begun[s] != state[p]]:

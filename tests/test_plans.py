@@ -1,4 +1,6 @@
 """Physical-plan properties the scale design relies on."""
+import re
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
@@ -43,10 +45,9 @@ def test_no_window_holds_a_whole_account(spark):
     """Look-backs and running balances: rows in windows by (key, slice), over the key alone only slice totals."""
     for name, key in (("aml_velocity", "_key"), ("running_balance", "account_id")):
         plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
-        windows = [line for line in plan.splitlines() if " Window [" in line]
-        rows = [w for w in windows if f"[{key}#" in w and "_slice#" in w.split("windowspecdefinition(")[1].split(" ASC")[0]]
-        totals = [w for w in windows if w not in rows]
-        assert rows and totals and all("_slice#" in w.split("windowspecdefinition(")[1] and "_t" in w for w in totals), name
+        parts = re.findall(r" Window \[.*?\], \[([^\]]*)\], \[([^\]]*)\]", plan)
+        assert any("_slice#" in by and key in by for by, _ in parts), name
+        assert all("_slice#" in by or order.startswith("_slice#") for by, order in parts), name
 
 
 def test_parity_reads_each_table_few_times(spark):
