@@ -25,6 +25,7 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +34,7 @@ from tally.llm.common import attach_groups, bounded_batches, salted, same, writt
 
 BASE, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 ENDS_EVERY = 3  # a chunk ends at one of so many lines on average, after its second line
+LEVEL = 6  # of the compression of texts on their way to the spans
 MOST_LINES = 64  # a longer chunk is ended (the next line begins another)
 
 
@@ -85,10 +87,28 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["id", "first", "lines", "hi", "lo"])
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(id, text) with the texts compressed, as they are to be shuffled."""
+    schema = T.StructType([docs.schema["id"], T.StructField("text", T.BinaryType())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False)
+        for batch in batches:
+            raw = [None if t is None else tool.compress(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["id", "text"])
+
+    return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(pack, schema)
+
+
+def _unpacked(column: pa.Array) -> list[str | None]:
+    tool = zstandard.ZstdDecompressor()
+    return [None if x is None else tool.decompress(x).decode("utf-8", "surrogatepass") for x in column.to_pylist()]
+
+
 def _chunk_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         row, out = [], []
-        for r, (text, wanted) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+        for r, (text, wanted) in enumerate(zip(_unpacked(batch.column(1)), batch.column(2).to_pylist(), strict=True)):
             asked, reach = set(), 0
             for first, n, goes in sorted(((w["first"], w["lines"], w["goes"]) for w in wanted), key=lambda w: (w[0], -w[1])):
                 if goes and first + n <= reach:
@@ -131,7 +151,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     many = written(_firsts(rows, keys), "line-repeats")
     # windows of one document; as many documents as the corpus has repeats, so always a shuffled join
     wanted = many.groupBy("id").agg(F.collect_set(F.struct("first", "lines", _goes().alias("goes"))).alias("wanted")).hint("merge")
-    texts = same(docs, wanted, ["id"], "inner").select("id", "text", "wanted").mapInArrow(
+    texts = same(packed(docs), wanted, ["id"], "inner").select("id", "text", "wanted").mapInArrow(
         _chunk_bytes, T.StructType([*place, T.StructField("raw", T.BinaryType())]))
     # of one place, rows repeated with one id may hold different texts: each is held against the first's bytes
     texts = written(same(texts, many, ["id", "first", "lines"], "inner").select(
@@ -163,14 +183,14 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     spans = repeated_chunks(rows).groupBy("id").agg(F.sort_array(F.collect_list(F.struct(
         F.col("first").cast("long").alias("first"), F.col("lines").cast("long").alias("lines")))).alias("spans"))
-    full = same(rows, spans.hint("merge"), ["id"], "left").select("id", "text", "spans")
+    full = same(packed(rows), spans.hint("merge"), ["id"], "left").select("id", "text", "spans")
     schema = T.StructType([full.schema["id"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()),
                            T.StructField("n_removed", T.LongType()), T.StructField("removed", full.schema["spans"].dataType)])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n_lines, n_removed, removed = [], [], [], []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, spans in zip(_unpacked(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 lines = text.split("\n") if text else []
                 keep = np.ones(len(lines), bool)
                 for s in spans or []:
