@@ -19,15 +19,22 @@ tags go; a url without a host shares one empty host.  Repeated rows are rows of
 but count as one page.  An empty table gives an empty result; columns but the id, url and
 html are not read.  Character references are decoded, white space inside a block is one
 space, blocks are joined by two line breaks.
+
+The page itself doesn't travel to its templates: what can still decide its text (elements
+that are not marked, with their texts) does, packed and compressed, and the templates come
+as numbers among the page's own subtrees.
 """
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +47,9 @@ MANY = 10  # pages that template prose is on, at least, and
 MANY_GROWS = 2.0  # so many for each doubling of the host
 SMALL_PART = 0.3  # of an article's text, that a box inside it may hold, and of a page's, that its articles hold at least
 REST = 0.2  # of the main text, that is left when template prose goes
+LEVEL = 3  # of the compression of packed pages
 BOX, EITHER, QUOTED, PART = range(4)  # kinds of subtrees: the pages that make them template, see templates()
+BROADCAST_KEYS = 50_000  # subtrees on most pages, that are sent to every executor at most
 WORDS = r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])"
 
 # Element kinds of HTML.
@@ -65,23 +74,136 @@ MARKS = set("ad ads adv advert adverts advertisement advertising adsense sponsor
 # Elements of a head; any other one, and text, begins the body.
 HEAD = set("base basefont bgsound link meta title style script noscript template".split())
 MOST = 0.5  # of a page's text, that keeps an element from being taken for no main text by a part of its name
+BREAKS = BLOCK | {"br", "td", "th", "#page"}  # of which also an empty one parts words
 # An element of one of these closes open ones of the same group.
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
            "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}}
 
 
-class Tree(HTMLParser):
+@lru_cache(10_000)
+def names_mark(names: str) -> tuple[bool, bool]:
+    """Whether one of the names is a word for what is no main text, and whether a part of one is."""
+    found = names.split()
+    return any(x.lower() in MARKS for x in found), any(x.lower() in MARKS for name in found for x in re.split(WORDS, name))
+
+
+class Page:
+    """What decides a page's text: tag, parent and children (numbers or text) of its elements in
+    page order, which are marked, which are main by their role, and what may be template."""
+
+    def __init__(self, packed: bytes):
+        tags, self.children, main, found, marked = json.loads(packed)
+        self.tag, self.main = tags.split(" "), set(main)
+        self.found = {n: (at, kind) for n, at, kind in found}
+        self.parent = [-1] * len(self.tag)
+        for n, kids in enumerate(self.children):
+            for c in kids:
+                if isinstance(c, int):
+                    self.parent[c] = n
+        self.marks = [False] * len(self.tag)
+        for n in marked:
+            self.marks[n] = True
+
+    def numbered(self) -> dict[int, tuple[int, int]]:
+        """Elements that may be template: the number of their hash among the page's, and kind."""
+        return self.found
+
+    def landmarks(self, gone: set[int] = frozenset()) -> list[int]:
+        """The outermost article elements that are not marked or gone, or else main elements;
+        none if they hold a small part of the text that is not marked or gone."""
+        dead = self.dead(gone)
+        size = [0] * len(self.tag)
+        for n in range(len(self.tag) - 1, -1, -1):
+            if not dead[n]:
+                size[n] += sum(len("".join(c.split())) if isinstance(c, str) else size[c] for c in self.children[n])
+        for tags in ({"article"}, {"main"}):
+            found, inside = [], [False] * len(self.tag)
+            for n in range(1, len(self.tag)):
+                up = self.parent[n]
+                inside[n] = inside[up] or (up > 0 and self.tag[up] in tags)
+                if (self.tag[n] in tags or tags == {"main"} and n in self.main) and not inside[n] and not dead[n]:
+                    found.append(n)
+            if found and sum(size[n] for n in found) >= SMALL_PART * size[0]:
+                return found
+        return []
+
+    @cached_property
+    def unread(self) -> list[bool]:
+        """Which elements are marked, or inside such a one."""
+        return self._inside(frozenset())
+
+    def dead(self, gone: set[int] = frozenset()) -> list[bool]:
+        return self._inside(gone) if gone else self.unread
+
+    def _inside(self, gone: set[int]) -> list[bool]:
+        out = [False] * len(self.tag)
+        for n in range(1, len(self.tag)):
+            out[n] = out[self.parent[n]] or n in gone or self.marks[n]
+        return out
+
+    def text(self, template: set[int]) -> str:
+        """The main text without the subtrees of these numbers; their prose stays if little else is left."""
+        found = {n: kind for n, (at, kind) in self.numbered().items() if at in template} if template else {}
+        text = self._read(set(found))
+        prose = {n for n, kind in found.items() if kind in (EITHER, QUOTED)}
+        if prose:
+            whole = self._read(set(found) - prose)
+            if len(text) < REST * len(whole):
+                return whole
+        return text
+
+    def _read(self, gone: set[int]) -> str:
+        roots = self.landmarks(gone) or [0]
+        blocks: list[str] = []
+        line: list[str] = []
+
+        def end_block() -> None:
+            if words := "".join(line).split():
+                blocks.append(" ".join(words))
+            line.clear()
+
+        for root in roots:
+            todo: list = [(root, False)]
+            while todo:
+                item, ends = todo.pop()
+                if isinstance(item, str):
+                    line.append(item)
+                    continue
+                tag = self.tag[item]
+                if ends:
+                    end_block()
+                    continue
+                if item != root and (item in gone or self.marks[item]):
+                    if tag in BLOCK:
+                        end_block()
+                    continue
+                kids = self.children[item]
+                if tag == "header":  # of a header only its headings are text
+                    kids = [c for c in kids if isinstance(c, int) and (self.tag[c] in HEADINGS | {"hgroup"})] if root else []
+                if tag in BLOCK or item == root:
+                    end_block()
+                    todo.append((item, True))
+                elif tag in ("br", "td", "th"):
+                    line.append(" ")
+                todo.extend((c, False) for c in reversed(kids))
+            end_block()
+        return "\n\n".join(blocks)
+
+
+class Tree(Page, HTMLParser):
     """Elements in page order: tag, attributes, parent and children (numbers or text)."""
 
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
+        HTMLParser.__init__(self, convert_charrefs=True)
         self.tag, self.attrs, self.parent, self.children = ["#page"], [{}], [-1], [[]]
         self.stack = [0]
         self.open: dict[str, int] = {}  # how many of a tag are open
         self.feed(html)
         self.close()
         self._weigh()
+        self.main = {n for n, a in enumerate(self.attrs) if a.get("role") == "main"}
+        self.marks = [n > 0 and self.marked(n) for n in range(len(self.tag))]
 
     def _weigh(self) -> None:
         """Which elements hold an article or main element, and which most of the page's text."""
@@ -95,6 +217,9 @@ class Tree(HTMLParser):
             self.holds_main[up] |= self.holds_main[n] or tag in ("article", "main") and not self._named(n)
         self.holds_most = [x > MOST * size[0] for x in size]
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # nobody asks for lines
+
     def _pop(self) -> str:
         tag = self.tag[self.stack.pop()]
         self.open[tag] -= 1
@@ -144,13 +269,13 @@ class Tree(HTMLParser):
             self._pop()
         self.children[self.stack[-1]].append(data)
 
-    def _names(self, n: int) -> list[str]:
+    def _names(self, n: int) -> str:
         a = self.attrs[n]
-        return f"{a.get('class') or ''} {a.get('id') or ''} {a.get('role') or ''}".split()
+        return f"{a.get('class') or ''} {a.get('id') or ''} {a.get('role') or ''}" if a else ""
 
     def _named(self, n: int) -> bool:
         """A class, id or role of it is, as a whole, a word for what is no main text."""
-        return any(x.lower() in MARKS for x in self._names(n))
+        return names_mark(self._names(n))[0]
 
     def marked(self, n: int) -> bool:
         """No main text by tag, role, class, id or because it is hidden.  A part of a name doesn't
@@ -160,40 +285,12 @@ class Tree(HTMLParser):
         main = self.holds_main[n] or self.holds_most[n]
         if tag in NEVER and not (tag == "form" and main):
             return True
-        if tag in ("html", "body"):
+        if not a or tag in ("html", "body"):
             return False
         if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in (a.get("style") or "").replace(" ", "").lower():
             return True
-        if self._named(n):
-            return True
-        if main or tag in ("article", "main"):
-            return False
-        return any(x.lower() in MARKS for name in self._names(n) for x in re.split(WORDS, name))
-
-    def landmarks(self, gone: set[int] = frozenset()) -> list[int]:
-        """The outermost article elements that are not marked or gone, or else main elements;
-        none if they hold a small part of the text that is not marked or gone."""
-        dead = self.dead(gone)
-        size = [0] * len(self.tag)
-        for n in range(len(self.tag) - 1, -1, -1):
-            if not dead[n]:
-                size[n] += sum(len("".join(c.split())) if isinstance(c, str) else size[c] for c in self.children[n])
-        for tags in ({"article"}, {"main"}):
-            found, inside = [], [False] * len(self.tag)
-            for n in range(1, len(self.tag)):
-                up = self.parent[n]
-                inside[n] = inside[up] or (up > 0 and self.tag[up] in tags)
-                if (self.tag[n] in tags or tags == {"main"} and self.attrs[n].get("role") == "main") and not inside[n] and not dead[n]:
-                    found.append(n)
-            if found and sum(size[n] for n in found) >= SMALL_PART * size[0]:
-                return found
-        return []
-
-    def dead(self, gone: set[int] = frozenset()) -> list[bool]:
-        out = [False] * len(self.tag)
-        for n in range(1, len(self.tag)):
-            out[n] = out[self.parent[n]] or n in gone or self.marked(n)
-        return out
+        whole, part = names_mark(self._names(n))
+        return whole or part and not main and tag not in ("article", "main")
 
     def subtrees(self) -> tuple[list[int], list[int]]:
         """A 64-bit hash of every subtree, and the characters of its text."""
@@ -239,53 +336,35 @@ class Tree(HTMLParser):
             out[h] = max(kind, out.get(h, kind))
         return sorted(out.items())
 
-    def text(self, template: set[int]) -> str:
-        """The main text without the elements of these hashes; their prose stays if little else is left."""
-        found = {n: kind for n, (h, kind) in self.candidates().items() if h in template} if template else {}
-        text = self._read(set(found))
-        prose = {n for n, kind in found.items() if kind in (EITHER, QUOTED)}
-        if prose:
-            whole = self._read(set(found) - prose)
-            if len(text) < REST * len(whole):
-                return whole
-        return text
+    def numbered(self) -> dict[int, tuple[int, int]]:
+        found = self.candidates()
+        number = {h: at for at, h in enumerate(sorted({h for h, _ in found.values()}))}  # the order of kinds()
+        return {n: (number[h], kind) for n, (h, kind) in found.items()}
 
-    def _read(self, gone: set[int]) -> str:
-        roots = self.landmarks(gone) or [0]
-        blocks: list[str] = []
-        line: list[str] = []
-
-        def end_block() -> None:
-            if words := "".join(line).split():
-                blocks.append(" ".join(words))
-            line.clear()
-
-        for root in roots:
-            todo: list = [(root, False)]
-            while todo:
-                item, ends = todo.pop()
-                if isinstance(item, str):
-                    line.append(item)
-                    continue
-                tag = self.tag[item]
-                if ends:
-                    end_block()
-                    continue
-                if item != root and (item in gone or self.marked(item)):
-                    if tag in BLOCK:
-                        end_block()
-                    continue
-                kids = self.children[item]
-                if tag == "header":  # of a header only its headings are text
-                    kids = [c for c in kids if isinstance(c, int) and (self.tag[c] in HEADINGS | {"hgroup"})] if root else []
-                if tag in BLOCK or item == root:
-                    end_block()
-                    todo.append((item, True))
-                elif tag in ("br", "td", "th"):
-                    line.append(" ")
-                todo.extend((c, False) for c in reversed(kids))
-            end_block()
-        return "\n\n".join(blocks)
+    def packed(self) -> bytes:
+        """The page for ``Page``: of a marked element only that it is there, runs of white space as one space."""
+        dead, tags, children, main, marked, new = self.dead(), [], [], [], [], {}
+        for n, tag in enumerate(self.tag):
+            if n and dead[self.parent[n]] or not self.children[n] and tag not in BREAKS:
+                continue
+            new[n] = len(tags)
+            tags.append(tag)
+            children.append([] if dead[n] else self.children[n])
+            if dead[n]:
+                marked.append(new[n])
+            elif n in self.main:
+                main.append(new[n])
+        children = [[new.get(c) if isinstance(c, int) else _spaced(c) for c in kids] for kids in children]
+        children = [[c for c in kids if c is not None] for kids in children]
+        found = [(new[n], at, kind) for n, (at, kind) in self.numbered().items() if not dead[n]]
+        return json.dumps((" ".join(tags), children, main, found, marked), ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass")
+
+
+def _spaced(text: str) -> str:
+    words = text.split()
+    if not words:
+        return " "
+    return " " * text[0].isspace() + " ".join(words) + " " * text[-1].isspace()
 
 
 HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
@@ -307,7 +386,7 @@ def _candidate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """(page, hash) of the template subtrees on each page; rows (page, url, html) with one page number are one page."""
+    """(page, at) of the template subtrees on each page, by their number among the page's; rows (page, url, html) with one page number are one page."""
     rows = pages.mapInArrow(_candidate_rows, "page long, host long, hashes array<long>, kinds array<byte>")
     rows = written(rows, "html-subtrees")
     # equal pages once; the lists stay out of the count of a host's pages
@@ -317,13 +396,25 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = S
     one = one.join(hosts, ["page", "host"])
     # a subtree of a host is one number, so that rows to count are short
     each = one.select(
-        "page", "host", F.col("pages").cast("int").alias("pages"), F.explode("found").alias("x")).select(
-        "page", "pages", F.xxhash64("host", "x.hashes").alias("key"), F.col("x.hashes").alias("hash"), F.col("x.kinds").alias("kind"))
-    each = attach_groups(salted(each, "page"), ["key"], {"n": F.count("*")}, {"on": F.sum("n")}, lambda groups: groups.filter(F.col("on") >= least_pages))
+        "page", "host", F.col("pages").cast("int").alias("pages"), F.posexplode("found").alias("at", "x")).select(
+        "page", "pages", F.xxhash64("host", "x.hashes").alias("key"), "at", F.col("x.kinds").alias("kind"))
+    # one count per key and task is dealt by the key; rows of keys on many pages meet theirs by broadcast, not in one task
+    counts = written(each.groupBy("key").agg(F.count("*").alias("on")).filter(F.col("on") >= least_pages), "html-counts")
+    most = (counts.agg(F.sum("on")).first()[0] or 0) // BROADCAST_KEYS
+    met = each.join(F.broadcast(counts.filter(F.col("on") > most)), "key", "left")
+    rest = met.filter("on is null").drop("on").join(counts.filter(F.col("on") <= most), "key")
+    each = met.filter("on is not null").unionByName(rest)
     many = F.greatest(F.lit(float(MANY)), F.log2("pages") * MANY_GROWS)
     tenth = F.col("pages") * share
     enough = F.when(F.col("kind") == BOX, F.lit(0.0)).when(F.col("kind") == EITHER, F.least(many, tenth)).when(F.col("kind") == PART, tenth).otherwise(many)
-    return each.filter(F.col("on") >= enough).select("page", "hash")
+    return each.filter(F.col("on") >= enough).select("page", "at")
+
+
+def _packed_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tool = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False)
+    for batch in batches:
+        packed = [tool.compress(Tree(h).packed()) if h else None for h in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary())], names=["id", "url", "page", "packed"])
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -333,13 +424,16 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     rows = rows.withColumn("page", F.xxhash64("id", "url", "html"))  # equal rows are one page
     found = templates(rows.select("page", "url", "html"), least_pages, share)
-    found = found.groupBy("page").agg(F.collect_set("hash").alias("template"))  # at most the page's own elements
-    full = same(rows, found, ["page"], "left").select("id", "url", "html", "template")
+    found = found.groupBy("page").agg(F.collect_set("at").alias("template"))  # at most the page's own elements
+    short = T.StructType([rows.schema["id"], rows.schema["url"], T.StructField("page", T.LongType()), T.StructField("packed", T.BinaryType())])
+    packed = rows.select("id", "url", "page", "html").mapInArrow(_packed_pages, short)
+    full = same(packed, found, ["page"], "left").select("id", "url", "packed", "template")
     schema = T.StructType([full.schema["id"], full.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = zstandard.ZstdDecompressor()
         for batch in batches:
-            texts = [Tree(h).text(set(t or ())) if h else "" for h, t in
+            texts = [Page(tool.decompress(p)).text(set(t or ())) if p else "" for p, t in
                      zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()),
                                               pa.array([len(t) for t in texts], pa.int64())], names=schema.names)

@@ -134,6 +134,34 @@ def test_repeated_prose_in_articles_goes(spark):
     assert "the long text of this page the long" in got[200]
 
 
+def test_packed_pages_read_alike():
+    """What travels in place of a page gives its text, whichever subtrees are template."""
+    r = random.Random(3)
+    html = (PAGE % "<nav>home</nav>") + "".join(f"<div class='{c}'><p>{i} <b>bold</b>&nbsp;x</p><br><ul><li>{i}</ul></div>" for i, c in enumerate(["", "ad", "x"] * 5))
+    for page in [html, "plain", "<div>" * 5000 + "deep", "<div role=main>a<img>b <i> c</i></div><p>d" * 3, *(html[:a] + html[a + 40:] for a in range(0, 300, 7))]:
+        tree = Tree(page)
+        packed = html_text.Page(tree.packed())
+        for share in (0, 0.3, 1):
+            gone = {i for i in range(len(tree.kinds())) if r.random() < share}
+            assert packed.text(gone) == tree.text(gone)
+
+
+def test_counts_meet_by_broadcast_and_by_shuffle_alike(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://h{i % 3}/", f"<div>menu {i % 6}</div><p>{i} {'words ' * 30}</p>") for i in range(60)], "page_id long, url string, html string")
+    got = []
+    for keys in (50_000, 4, 1):  # all by broadcast, some, none
+        monkeypatch.setattr(html_text, "BROADCAST_KEYS", keys)
+        got.append(sorted(tuple(x) for x in main_text(pages).collect()))
+    assert got[0] == got[1] == got[2] and len(got[0]) == 60 and not any("menu" in x[2] for x in got[0])
+
+
+def test_what_is_joined_with_templates_is_smaller_than_the_pages(spark):
+    """Of a page travel neither its markup nor its marked parts."""
+    html = "<html><body><nav>" + "".join(f"<a href='/{random.Random(1).random()}/{i}'>link {i}</a>" for i in range(300)) + "</nav><article><p>text</p></article></body></html>"
+    batch = next(html_text._packed_pages(iter([spark.createDataFrame([(1, "u", 2, html)], "id long, url string, page long, html string").toArrow().to_batches()[0]])))
+    assert len(batch.column(3)[0].as_py()) < 300 and html_text.Page(Tree(html).packed()).text(set()) == "text"
+
+
 def test_host():
     assert html_text.host("HTTPS://User@A.Example:80/x") == "a.example" and html_text.host(None) == html_text.host("nonsense") == ""
 
